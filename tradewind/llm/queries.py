@@ -6,10 +6,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, simhash, url_rules
+from . import chat, packing, quality, simhash, toxicity, url_rules
+from .labelled import fold
 from .shared import read, staged
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
+    ranking = quality.learn_quality(docs, read(spark, sf_dir, "labels").where(~held))
+    scored = quality.score_quality(docs, ranking)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
+    judge = toxicity.learn_toxicity(docs, read(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.score_toxicity(docs, judge)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_components(read(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -79,6 +94,8 @@ FROM joined
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
