@@ -50,3 +50,9 @@ def text_or_empty(name: str = "text") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table of fixed values, as a projection of literals."""
+    structs = [F.struct(*(F.lit(v).alias(n) for v, n in zip(r, names, strict=True))) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
