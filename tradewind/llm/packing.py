@@ -11,11 +11,11 @@ from __future__ import annotations
 import bisect
 import json
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,72 +23,213 @@ from .shared import text_or_empty
 
 #: Pieces to a group, on average.
 GROUP = 4096
-#: Words that a worker keeps the ids of; then it starts anew.
-KEPT_WORDS = 400_000
 #: Texts tokenized at a time.
-TEXTS = 256
+TEXTS = 512
+#: Bytes of text tokenized at a time, about.
+BLOCK = 1 << 20
+#: Slots of a worker's table of words, as a power of two; at two thirds of them it starts anew.
+SLOTS = 21
+#: Bytes of the longest word that is hashed with the others; longer ones are hashed alone.
+LONGEST = 256
 
-# Words of these characters hold neither white space nor what normalisation changes besides case.
-_PLAIN = re.compile("[!-~¡-ɏ]*")
+# What a byte of a lower-cased UTF-8 text is: white space, a part of a letter, a digit, another sign, or a reason
+# to leave the whole word to the tokenizer (an apostrophe, or a character beyond the letters of Latin-1).
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+_KINDS = np.full(256, SIGN, np.uint8)
+_KINDS[list(b" \t\n\x0b\x0c\r")] = SPACE
+_KINDS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = LETTER
+_KINDS[list(b"0123456789")] = DIGIT
+_KINDS[0x80:0xC0] = LETTER
+_KINDS[0xC0:] = OTHER
+_KINDS[0xC3] = LETTER
+_KINDS[[0x27, 0x97, 0xB7]] = OTHER  # the apostrophe; the signs for times and divided by
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.array([pow(base, k, 1 << 64) for k in range(1, LONGEST + 1)], np.uint64)
+
+
+_POWERS = _powers(0x5851F42D4C957F2D), _powers(0xD6E8FEB86659FD93)
+
+
+class WordTable:
+    """Token ids of words by two 64-bit hashes of each word, with open addressing; all steps work on arrays."""
+
+    def __init__(self, slots: int = SLOTS):
+        self.shift, self.mask = np.uint64(64 - slots), (1 << slots) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        n = self.mask + 1
+        self.keys, self.values = np.zeros((2, n), np.uint64), np.full(n, -1, np.int32)
+        self.size, self.begins, self.lengths = 0, np.zeros(n, np.int64), np.zeros(n, np.int32)
+        self.pool, self.filled = np.zeros(n, np.uint32), 0
+
+    def full(self, more: int) -> bool:
+        return self.size + more > self.mask * 2 // 3
+
+    def find(self, h: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """The number of each word, -1 for those that are not there."""
+        out, todo = np.full(len(h[0]), -1, np.int32), np.arange(len(h[0]))
+        slot = ((h[0] * _MIX) >> self.shift).astype(np.int64)
+        while len(todo):
+            there = self.values[slot]
+            hit = (self.keys[0][slot] == h[0][todo]) & (self.keys[1][slot] == h[1][todo]) & (there >= 0)
+            out[todo[hit]] = there[hit]
+            on = ~hit & (there >= 0)
+            todo, slot = todo[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, h: tuple[np.ndarray, np.ndarray], ids: list[bytes]) -> None:
+        """Adds words that are not there and differ in their first hash."""
+        new = np.frombuffer(b"".join(ids), np.uint32)
+        while self.filled + len(new) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.filled : self.filled + len(new)] = new
+        lengths = np.array([len(x) // 4 for x in ids], np.int32)
+        numbers = np.arange(self.size, self.size + len(ids), dtype=np.int32)
+        self.begins[numbers], self.lengths[numbers] = self.filled + np.cumsum(lengths) - lengths, lengths
+        self.size, self.filled = self.size + len(ids), self.filled + len(new)
+        todo, slot = np.arange(len(ids)), ((h[0] * _MIX) >> self.shift).astype(np.int64)
+        while len(todo):
+            free = self.values[slot] < 0
+            self.values[slot[free]] = numbers[todo[free]]
+            won = self.values[slot] == numbers[todo]
+            self.keys[0][slot[won]], self.keys[1][slot[won]] = h[0][todo[won]], h[1][todo[won]]
+            todo, slot = todo[~won], (slot[~won] + 1) & self.mask
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some words in order, and where each word's end."""
+        lengths = self.lengths[numbers].astype(np.int64)
+        ends = np.cumsum(lengths)
+        return self.pool[np.repeat(self.begins[numbers] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def _cut(text: str) -> list[bytes]:
+    """A text's bytes, lower-cased where that surely changes no id, in parts of about BLOCK bytes cut at white space."""
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    data, out = text.encode(), []
+    while len(data) > BLOCK:
+        at = max(data.rfind(b" ", 0, BLOCK), data.rfind(b"\n", 0, BLOCK)) + 1 or (data.find(b" ", BLOCK) + 1 or len(data))
+        out.append(data[:at])
+        data = data[at:]
+    return [*out, data]
 
 
 class WordEncoder:
     """Token ids of texts, by a tokenizer file; ids of words are kept, as words come again and again.
 
-    That needs a tokenizer which drops white space and splits the rest by a pattern after lower-casing (as those
-    with word ends do); other tokenizers encode whole texts.
+    That needs a tokenizer which drops white space and splits the rest into letters, single digits and other signs
+    after lower-casing (as those with word ends do); with other tokenizers whole texts are encoded.
     """
 
+    # Fixed value: the split that the byte kinds above agree with.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.whole, self.table = Tokenizer.from_file(path), WordTable()
         spec = json.loads(self.whole.to_str())
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         split = next((x for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"), None)
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split is not None and split["behavior"] == "Removed" and split["invert"]
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and split is not None and split["pattern"] == {"Regex": self.SPLIT} and split["invert"] and split["behavior"] == "Removed"
         if self.by_word:
-            self.split = regex.compile(split["pattern"]["Regex"]).findall
-            self.part = Tokenizer.from_str(self.whole.to_str())
+            self.part = Tokenizer.from_file(path)
             self.part.normalizer = normalizers.Sequence([])
             self.part.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.whole.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.words) > KEPT_WORDS:
-            self.words, self.parts = {}, {}
-        plain, other = [], []
-        for w in new:
-            (plain if _PLAIN.fullmatch(w) and "<|" not in w else other).append(w)
-        split, parts = self.split, self.parts
-        lists = [[w] if w.isalpha() else split(w) for w in map(str.lower, plain)]
-        fresh = list({p for x in lists for p in x} - parts.keys())
-        if fresh:
-            found = self.part.encode(" ".join(fresh), add_special_tokens=False)
-            cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(fresh) + 1))).tolist()
+    def _word_ids(self, words: list[str], whole: np.ndarray) -> list[bytes]:
+        """The ids of each word; whole: those that the tokenizer has to split."""
+        out: list = [b""] * len(words)
+        plain, other = np.flatnonzero(~whole).tolist(), np.flatnonzero(whole).tolist()
+        if plain:
+            found = self.part.encode(" ".join([words[k].lower() for k in plain]), add_special_tokens=False)
+            cuts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(plain) + 1))).tolist()
             ids = np.array(found.ids, "<u4").tobytes()
-            parts.update((p, ids[a:b]) for p, a, b in zip(fresh, cuts, cuts[1:], strict=False))
-        self.words.update((w, b"".join([parts[p] for p in x])) for w, x in zip(plain, lists, strict=True))
-        self.words.update(zip(other, self._ids(other), strict=True))
+            for k, a, b in zip(plain, cuts, cuts[1:], strict=False):
+                out[k] = ids[a:b]
+        for k, ids in zip(other, self._ids([words[k] for k in other]), strict=True):
+            out[k] = ids
+        return out
+
+    def _block(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each part."""
+        data = b"\n".join([*parts, b""])
+        raw = np.frombuffer(data, np.uint8)
+        kinds = _KINDS[raw]
+        kinds[:-1][(raw[:-1] == ord("<")) & (raw[1:] == ord("|"))] = OTHER
+        space = kinds == SPACE
+        before = np.concatenate([[np.uint8(SPACE)], kinds[:-1]])
+        starts = ~space & (before == SPACE)
+        inner = ~space & ~starts & ((kinds != before) | (kinds == DIGIT))
+        odd = np.flatnonzero(kinds == OTHER)
+        words = np.flatnonzero(starts)
+        if len(odd):
+            whole = np.zeros(len(words), bool)
+            whole[np.searchsorted(words, odd, "right") - 1] = True
+            inside = np.flatnonzero(inner)
+            inner[inside[whole[np.searchsorted(words, inside, "right") - 1]]] = False
+        at = np.flatnonzero(starts | inner)
+        if not len(at):
+            return [b""] * len(parts)
+        whole = whole[np.searchsorted(words, at, "right") - 1] if len(odd) else np.zeros(len(at), bool)
+        spans = np.diff(np.append(at, len(raw)))
+        place = np.minimum(np.arange(len(raw) - at[0]) - np.repeat(at - at[0], spans), LONGEST - 1)
+        values = np.where(space, 0, raw.astype(np.uint64) + np.uint64(1))[at[0] :]
+        h = tuple(np.add.reduceat(values * w[place], at - at[0]) for w in _POWERS)
+        if spans.max() > LONGEST:
+            for k in np.flatnonzero(spans > LONGEST).tolist():
+                word = data[at[k] : at[k] + spans[k]].rstrip(b" \t\n\x0b\x0c\r")
+                if len(word) > LONGEST:
+                    long = xxhash.xxh3_128_intdigest(word)
+                    h[0][k], h[1][k] = long & (1 << 64) - 1, long >> 64
+        numbers = self.table.find(h)
+        while len(missing := np.flatnonzero(numbers < 0)):
+            first = missing[np.unique(h[0][missing], return_index=True)[1]]
+            if self.table.full(len(first)):
+                self.table.clear()
+                numbers[:] = -1
+                first = np.unique(h[0], return_index=True)[1]
+            found = self._word_ids([data[a:b].decode().strip(" \t\n\x0b\x0c\r") for a, b in zip(at[first].tolist(), (at + spans)[first].tolist(), strict=True)], whole[first])
+            self.table.add((h[0][first], h[1][first]), found)
+            todo = np.flatnonzero(numbers < 0)
+            numbers[todo] = self.table.find((h[0][todo], h[1][todo]))
+        ids, ends = self.table.ids(numbers)
+        lengths = np.cumsum([len(x) + 1 for x in parts])
+        cuts = np.concatenate([[0], ends])[np.searchsorted(at, lengths)]
+        return [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if not self.by_word:
             return self._ids(texts)
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = {w for x in cut if None in map(self.words.get, x) for w in x if w not in self.words}
-        if missing:
-            kept = len(self.words)
-            self._learn(missing)
-            if len(self.words) < kept:  # it started anew: the other words are missing now
-                self._learn({w for x in cut for w in x if w not in self.words})
-        ids = self.words
-        return [b"".join([ids[w] for w in x]) for x in cut]
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, bytes]] = []
+        size = 0
+        for k, text in enumerate(texts):
+            for part in _cut(text):
+                waiting.append((k, part))
+                size += len(part)
+                if size >= BLOCK:
+                    self._flush(waiting, out)
+                    waiting, size = [], 0
+        self._flush(waiting, out)
+        return [b"".join(x) for x in out]
+
+    def _flush(self, waiting: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        for (k, _), ids in zip(waiting, self._block([x for _, x in waiting]), strict=True):
+            out[k].append(ids)
 
 
 _encoders: dict[str, WordEncoder] = {}
