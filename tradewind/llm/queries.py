@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, quality, simhash, toxicity, url_rules
+from . import chat, decontam, packing, pii, quality, simhash, toxicity, url_rules
 from .labelled import fold
 from .shared import literal_rows, read, staged
 
@@ -25,6 +25,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text("base"), 256).alias("base_sha256"), pii.span_text("spans").alias("spans"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.simhash_components(read(spark, sf_dir, "documents"))
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -96,6 +106,8 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
+    "op6_personal_data": op6_personal_data,
+    "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
