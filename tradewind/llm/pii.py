@@ -7,6 +7,8 @@ a few times; what a pattern of high confidence comes before is then a span too,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +44,7 @@ def _spans(text: str, pattern: str, kind: int) -> str:
     """SQL for an array of SPAN: the matches of a pattern in a text column, leftmost first."""
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
     # The text between matches is one piece longer than the matches.
-    return f"""aggregate(arrays_zip(split({text}, '{quoted}', -1) as gap, regexp_extract_all({text}, '{quoted}', 0) as token),
+    return f"""aggregate(zip_with(split({text}, '{quoted}', -1), regexp_extract_all({text}, '{quoted}', 0), (gap, token) -> named_struct('gap', gap, 'token', token)),
         named_struct('at', 0, 'found', cast(array() as array<{SPAN}>)),
         (acc, x) -> if(x.token is null, acc, named_struct('at', acc.at + length(x.gap) + length(x.token), 'found', array_append(acc.found,
             named_struct('start', acc.at + length(x.gap), 'kind', {kind}, 'end', acc.at + length(x.gap) + length(x.token), 'token', x.token)))), acc -> acc.found)"""
@@ -74,12 +76,21 @@ def _valid(kind: int, token: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
+def _checked(kind: int) -> Callable[[Column], Column]:
+    return lambda s: _valid(kind, s["token"])
+
+
+def of_kind(spans: str, kind: int) -> Column:
+    """Those of an array of spans that are of one kind."""
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def base_spans(text: str) -> Column:
     """An array of (start, kind, end, token) of a text column, by start, then kind; kind counts through KINDS."""
     found = []
     for kind, (pattern, needed) in enumerate(zip(PATTERNS, NEEDED, strict=True)):
         there = F.col(text).contains(needed) if needed else F.col(text).rlike("[0-9][ -]?[0-9]")
-        spans = F.when(there, F.filter(F.expr(_spans(text, pattern, kind)), lambda s, k=kind: _valid(k, s["token"])))
+        spans = F.when(there, F.filter(F.expr(_spans(text, pattern, kind)), _checked(kind)))
         found.append(F.coalesce(spans, F.array().cast(f"array<{SPAN}>")))
     return F.array_sort(F.concat(*found))
 

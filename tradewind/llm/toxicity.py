@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -247,7 +248,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
     """Learns from at most `sample` labelled rows of docs; characters are counted over all of corpus (docs, if None).
 
     A feature joins the lexicon if it comes in toxic documents so much more often than in clean ones that among all
-    features not one in a hundred lexicons would hold it by chance. The scores' slope and offset are those of a
+    features not one in ten lexicons would hold it by chance. The scores' slope and offset are those of a
     logistic regression on the sample.
     """
     model = language_model(count_characters(corpus if corpus is not None else docs, text_col))
@@ -262,7 +263,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None
     a, n = F.col("toxic"), F.col("toxic") + F.col("clean")
     surprise = a * F.log(a / n / share) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - share))).otherwise(0.0)
     weight = F.log((a + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    chosen = counts.where(a / n > share).withColumn("s", surprise).withColumn("w", weight).where(F.col("s") > math.log(max(features, 1) * 100)).orderBy(F.desc("s"), "f").limit(LEXICON)
+    chosen = counts.where(a / n > share).withColumn("s", surprise).withColumn("w", weight).where(F.col("s") > math.log(max(features, 1) * 10)).orderBy(F.desc("s"), "f").limit(LEXICON)
     judge = Toxicity(model, {r.f: r.w for r in chosen.collect() if r.w > 1})
     counts.unpersist()
     rows = np.array(sorted((r.e, r.y) for r in _evidence(known, judge).collect()), float).reshape(-1, 2)
@@ -297,3 +298,13 @@ def score_toxicity(docs: DataFrame, judge: Toxicity, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([judge.score(t.as_py() or "") for t in b.column(1)], pa.float64())], ["c0", "score"])
 
     return rows.mapInArrow(run, f"c0 {kind}, score double").select(F.col("c0").alias(id_col), "score")
+
+
+def with_toxicity(docs: DataFrame, judge: Toxicity, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """docs with one more column, the score of each row's text; null texts count as empty."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([judge.score(t or "") for t in texts], dtype=float)
+
+    return docs.withColumn(name, score(F.col(text_col)))
