@@ -6,11 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, packing, pii, quality, simhash, toxicity, url_rules
+from . import ann, chat, decontam, packing, pii, quality, simhash, toxicity, url_rules
 from .labelled import fold
 from .shared import literal_rows, read, staged
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = read(spark, sf_dir, "documents"), fold("doc_id", 4) == 2
     ranking = quality.learn_quality(docs, read(spark, sf_dir, "labels").where(~held))
@@ -104,6 +109,7 @@ FROM joined
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_nearest": op3_nearest,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_personal_data": op6_personal_data,
