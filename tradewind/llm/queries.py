@@ -6,11 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, packing, pii, quality, simhash, toxicity, url_rules
+from . import ann, chat, decontam, packing, pii, quality, simhash, suffix_dedup, toxicity, url_rules
 from .labelled import fold
 from .shared import literal_rows, read, staged
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), 100)
+    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -109,6 +115,7 @@ FROM joined
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_nearest": op3_nearest,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
