@@ -26,7 +26,9 @@ def daily_model(sales: DataFrame) -> DataFrame:
 
 
 def monthly_model(daily: DataFrame) -> DataFrame:
-    return daily.groupBy("month").agg(*(F.sum(c).alias(c) for c in ("revenue", "pairs_sold", "orders", "fees", "cogs", "net")))
+    """The sums of daily_model() by month; money is summed in decimals, so that the order of days does not matter."""
+    money = lambda c: F.sum(F.col(c).cast("decimal(24,6)")).cast("double").alias(c)
+    return daily.groupBy("month").agg(money("revenue"), F.sum("pairs_sold").alias("pairs_sold"), F.sum("orders").alias("orders"), *map(money, ("fees", "cogs", "net")))
 
 
 def scenario_forecast(sales: DataFrame, months: int = 6, entity: list[str] | None = None, scenarios: dict[str, float] | None = None) -> DataFrame:

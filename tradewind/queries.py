@@ -347,7 +347,11 @@ on_sales(
 
 DM = "dm AS (SELECT *, revenue * 0.35::DOUBLE AS fees, pairs_sold * 2.59::DOUBLE AS cogs, revenue - revenue * 0.35::DOUBLE - pairs_sold * 2.59::DOUBLE AS net, CAST(date_trunc('month', date) AS DATE) AS month FROM (SELECT date, CAST(sum(revenue) AS DOUBLE) AS revenue, CAST(sum(pairs_sold) AS BIGINT) AS pairs_sold, count(DISTINCT order_id) AS orders FROM sales GROUP BY 1))"
 on_sales("daily_model", lambda s: _rounded(forecast.daily_model(s), "fees", "cogs", "net"), f"+{DM} SELECT * REPLACE (round(fees, 6) AS fees, round(cogs, 6) AS cogs, round(net, 6) AS net) FROM dm")
-on_sales("monthly_model", lambda s: forecast.monthly_model(forecast.daily_model(s)).withColumns({c: F.round(c, 2) for c in ("revenue", "fees", "cogs", "net")}), f"+{DM} SELECT month, round(sum(revenue), 2) AS revenue, CAST(sum(pairs_sold) AS BIGINT) AS pairs_sold, CAST(sum(orders) AS BIGINT) AS orders, round(sum(fees), 2) AS fees, round(sum(cogs), 2) AS cogs, round(sum(net), 2) AS net FROM dm GROUP BY 1")
+on_sales(
+    "monthly_model",
+    lambda s: forecast.monthly_model(forecast.daily_model(s)),
+    f"+{DM} SELECT month, CAST(sum(pairs_sold) AS BIGINT) AS pairs_sold, CAST(sum(orders) AS BIGINT) AS orders, {', '.join(f'CAST(sum(CAST({c} AS DECIMAL(24,6))) AS DOUBLE) AS {c}' for c in ('revenue', 'fees', 'cogs', 'net'))} FROM dm GROUP BY 1",
+)
 FC = """+mm AS (SELECT l_suppkey, CAST(date_trunc('month', date) AS DATE) AS month, sum(revenue) AS revenue, CAST(sum(pairs_sold) AS BIGINT) AS pairs FROM sales GROUP BY 1, 2),
   b AS (SELECT l_suppkey, CAST(sum(revenue) FILTER (pos <= 3) AS DOUBLE) / count(*) FILTER (pos <= 3) AS mean, CAST(sum(pairs) AS DOUBLE) / nullif(CAST(sum(revenue) AS DOUBLE), 0) AS per, max(month) AS last FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY month DESC) AS pos FROM mm) GROUP BY 1),
   f AS (SELECT l_suppkey, scenario, CAST(last + INTERVAL (k) MONTH AS DATE) AS month, mean * scale AS revenue, mean * scale * per AS pairs_sold FROM b, (VALUES ('stress', 0.75::DOUBLE), ('conservative', 0.85::DOUBLE), ('base', 1.0::DOUBLE), ('upside', 1.10::DOUBLE)) s(scenario, scale), generate_series(1, 6) g(k)),
