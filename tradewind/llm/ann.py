@@ -21,11 +21,11 @@ from .shared import staged
 
 #: Vectors that codebooks are learnt from, at most.
 SAMPLE = 8192
-BOOKS, WORDS, BEAM, STEPS = 12, 256, 4, 8
+BOOKS, WORDS, BEAM, STEPS = 28, 256, 2, 8
 #: Candidates that are ranked exactly, for each neighbour asked for.
-RERANK = 15
+RERANK = 12
 #: Vectors to a block of codes, and to a block of queries.
-CODES, QUERIES = 8192, 512
+CODES, QUERIES = 8192, 128
 
 
 @dataclass
@@ -34,9 +34,9 @@ class Codebooks:
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """The codes of the rows of x: of the sums that beam search finds, the closest to each row."""
-        n, (m, k, _) = len(x), self.books.shape
+        n, k = len(x), self.books.shape[1]
         left, codes = x[:, None, :], np.zeros((n, 1, 0), np.uint8)
-        for book in self.books[: m]:
+        for book in self.books:
             # |left - word|^2, of which |left|^2 matters between the paths of a beam
             cost = (left**2).sum(-1)[:, :, None] - 2 * left @ book.T + (book**2).sum(-1)
             flat = cost.reshape(n, -1)
@@ -150,26 +150,35 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     asked = staged(_blocks(asking, QUERIES, F.xxhash64("id"), "part long, ids binary, x binary", pack_queries), "queries")
     shards = codes.agg(F.max("shard")).first()[0]
     pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards or 0).cast("int")))).join(codes, "shard")
-    pairs = pairs.repartition("part", "shard").select("ids", "x", "nodes", "codes", "norms")
+    pairs = pairs.select("part", "shard", "ids", "x", "nodes", "codes", "norms")
+    pairs = pairs.repartitionByRange(max(1, asked.count()), "part").sortWithinPartitions("part", "shard")
     wide = (k + 1) * rerank
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block of queries, the best over all blocks of codes, which come one after another."""
+        part, ids, best, near = None, np.zeros(0, np.int64), np.zeros((0, 0), np.int64), np.zeros((0, 0), np.float32)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best.ravel()), pa.array(near.ravel())], ["query_id", "node", "near"])
+
         for b in batches:
             for r in b.to_pylist():
-                ids, nodes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["nodes"], np.int64)
-                x = np.frombuffer(r["x"], float).reshape(len(ids), -1).astype(np.float32)
-                s = coder.scores(coder.tables(x), np.frombuffer(r["codes"], np.uint8).reshape(len(nodes), -1))
+                if r["part"] != part:
+                    yield told()
+                    part, ids = r["part"], np.frombuffer(r["ids"], np.int64)
+                    tables = coder.tables(np.frombuffer(r["x"], float).reshape(len(ids), -1).astype(np.float32))
+                    best, near = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.float32)
+                nodes = np.frombuffer(r["nodes"], np.int64)
+                s = coder.scores(tables, np.frombuffer(r["codes"], np.uint8).reshape(len(nodes), -1))
                 if metric == "l2":
                     s = 2 * s - np.frombuffer(r["norms"], np.float32)
-                n = min(wide, len(nodes))
-                best = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                columns = [np.repeat(ids, n), nodes[best].ravel(), np.take_along_axis(s, best, 1).ravel()]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["query_id", "node", "near"])
-
-    found = pairs.mapInArrow(score, "query_id long, node long, near float")
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("near"), "node")
-    found = staged(found.withColumn("at", F.row_number().over(nearest)).where(F.col("at") <= wide).select("query_id", "node"), "found")
+                s, names = np.concatenate([near, s], axis=1), np.concatenate([best, np.broadcast_to(nodes, s.shape)], axis=1)
+                n = min(wide, s.shape[1])
+                top = np.argpartition(-s, n - 1, axis=1)[:, :n]
+                near, best = np.take_along_axis(s, top, 1), np.take_along_axis(names, top, 1)
+        yield told()
 
+    found = staged(pairs.mapInArrow(score, "query_id long, node long, near float").select("query_id", "node"), "found")
     exact = found.join(nodes.withColumnRenamed("v", "w"), "node").join(asking.withColumnRenamed("id", "query_id"), "query_id")
     exact = exact.select("query_id", "node", (inner_product("v", "w") if metric == "ip" else -squared_distance("v", "w")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
