@@ -4,8 +4,8 @@ A fingerprint is cut into so few segments that, within the radius, one segment o
 by at most one bit. Each segment is indexed once for each of its bits, with that bit wiped out: two fingerprints
 whose segments differ by at most one bit share such a variant. Equal variants are joined and the pairs verified.
 
-Pairs are not made within whole buckets. First each member of a bucket is held against one member that a hash
-draws; members that this already puts into one component need no more comparison. Only pairs of a bucket that
+Pairs are not made within whole buckets. First each member of a bucket is held against its smallest id, often the text
+that others were copied from, and against one member that a hash draws; members that this already puts into one component need no more comparison. Only pairs of a bucket that
 lie in different components then follow, all of them, so no link between components is lost.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -119,15 +119,18 @@ def segments_for(radius: int, bits: int = 64) -> list[tuple[int, int, int]]:
     return [(0, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple[DataFrame, Callable]] | None = None) -> DataFrame:
     """(node, component) of nodes that index(key, id) brings together and that verify() lets pass.
 
     verify takes pairs (a, b) and returns those that are linked. Buckets have no limit of size: see the module's text.
+    measure takes the nodes (id) of buckets with several components; it gives a table (id, m) and a condition on two
+    m without which a pair cannot be linked, so that such pairs are not made.
     """
     shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     index = staged(index.join(shared, "key", "left_semi"), "buckets")
     draw = F.struct(F.xxhash64("id", F.pmod(F.xxhash64("key"), F.lit(DRAWS))).alias("h"), F.col("id").alias("rep"))
-    first = index.groupBy("key").agg(F.min(draw).alias("d")).select("key", "d.rep")
+    first = index.groupBy("key").agg(F.min(draw).alias("d"), F.min("id").alias("least"))
+    first = first.select("key", F.explode(F.array_distinct(F.array("d.rep", "least"))).alias("rep"))
     pairs = index.join(first, "key").where("id <> rep").select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
     linked = staged(verify(pairs), "links")
     found = connected_components(linked)
@@ -135,8 +138,13 @@ def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
     grouped = index.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     grouped = staged(grouped.join(open_keys, "key", "left_semi"), "open")
-    other = grouped.select("key", F.col("id").alias("id2"), F.col("component").alias("component2"))
-    rest = grouped.join(other, "key").where("component < component2").select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+    apart = F.col("component") < F.col("component2")
+    if measure:
+        table, possible = measure(grouped.select("id").distinct())
+        grouped = staged(grouped.join(table, "id"), "open")
+        apart = apart & possible(F.col("m"), F.col("m2"))
+    other = grouped.withColumnsRenamed({"id": "id2", "component": "component2", "m": "m2"})
+    rest = grouped.join(other, "key").where(apart).select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
     more = staged(verify(rest.join(pairs, ["a", "b"], "left_anti")), "links")
     return connected_components(linked.union(more))
 
@@ -171,12 +179,12 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 # Near copies: similarity of word shingles.
 
-#: The fingerprint that finds candidates: three numbers of 48 bits of the distinct words, in six segments of 24 bits.
-NEAR_LONGS = 3
-NEAR_SEGMENTS = [(k, low, 24) for k in range(NEAR_LONGS) for low in (0, 24)]
-#: Most of the 192 bits in which candidates may differ before their shingles are compared. At the least similarity
-#: of 0.8 about 13 differ, with a deviation of 4.
-NEAR_BITS = 44
+#: The fingerprint that finds candidates: four numbers of the distinct words, 56 bits of each in two segments of 28.
+NEAR_LONGS = 4
+NEAR_SEGMENTS = [(k, low, 28) for k in range(NEAR_LONGS) for low in (0, 28)]
+#: Most of the 256 bits in which candidates may differ before their shingles are compared. At the least similarity
+#: of 0.8 about 17 differ, with a deviation of 4.
+NEAR_BITS = 50
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -204,18 +212,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     index = classes.select(F.explode(deletion_variants([F.col(x) for x in names], NEAR_SEGMENTS)).alias("key"), F.col("node").alias("id"))
     bits = classes.select("node", *names)
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        sets = _per_text(texts.join(checked_broadcast(wanted), "id", "left_semi"), "id", "text", lambda t: shingle_set(t, size), "s", "array<long>")
+        return staged(sets.dropDuplicates(["id"]), "shingles")
+
+    def measure(nodes: DataFrame) -> tuple[DataFrame, Callable]:
+        """m: a text's shingles, and how many of them another of these texts has; two texts share at most the lesser number."""
+        sets = sets_of(nodes)
+        each = sets.select("id", F.explode("s").alias("h"))
+        lone = each.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("lone"))
+        n = F.size("s")
+        table = sets.join(lone, "id", "left").select("id", F.struct(n.alias("n"), (n - F.coalesce("lone", F.lit(0))).alias("common")).alias("m"))
+
+        def possible(a: Column, b: Column) -> Column:
+            most = F.least(a["common"], b["common"])
+            return most >= F.lit(similarity) * (a["n"] + b["n"] - most)
+
+        return staged(table, "measured"), possible
+
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (bits.select(F.col("node").alias(c), *(F.col(x).alias(c + x) for x in names)) for c in "ab")
         apart = sum((F.bit_count(F.col("a" + x).bitwiseXOR(F.col("b" + x))) for x in names), F.lit(0))
         close = staged(pairs.join(left, "a").join(right, "b").where(apart <= NEAR_BITS).select("a", "b"), "close")
-        wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-        sets = _per_text(texts.join(checked_broadcast(wanted), "id", "left_semi"), "id", "text", lambda t: shingle_set(t, size), "s", "array<long>")
-        sets = staged(sets.dropDuplicates(["id"]), "shingles")
+        sets = sets_of(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())
         both = close.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    linked = link_buckets(index, verify).withColumnRenamed("component", "linked")
+    linked = link_buckets(index, verify, measure).withColumnRenamed("component", "linked")
     named = classes.join(linked, "node", "left").where("n > 1 or linked is not null").select("sha", F.coalesce("linked", "node").alias("component_id"))
     return fps.select("id", "sha").join(named, "sha").select("id", "component_id")
 

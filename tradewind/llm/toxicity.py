@@ -27,7 +27,7 @@ SAMPLE = 16_000
 #: Features that a lexicon keeps, at most.
 LEXICON = 20_000
 #: Words that a worker keeps the results of; then it starts anew.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 120_000
 #: Log-probabilities of the channel: a sign for a letter, a repeated letter that counts once or twice, a sign left out.
 SIGN, REPEAT, SKIP = -1.5, -0.5, -0.7
 #: Characters counted at a time.
