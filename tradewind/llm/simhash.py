@@ -12,6 +12,7 @@ lie in different components then follow, all of them, so no link between compone
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,10 +101,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _per_text(df, id_col, text_col, lambda t: fingerprint(t, size), "fp", "long")
 
 
-def deletion_variants(fp: list, segments: list[tuple[int, int, int]]):
-    """An array column of bucket keys. segments: (which of the fp columns, lowest bit, number of bits up to 32)."""
+def deletion_variants(fp: list, segments: list[tuple[int, int, int]], first: int = 0):
+    """An array column of bucket keys. segments: (which of the fp columns, lowest bit, number of bits up to 32), numbered from first."""
     keys = []
-    for s, (k, low, bits) in enumerate(segments):
+    for s, (k, low, bits) in enumerate(segments, first):
         part = F.shiftrightunsigned(fp[k], low).bitwiseAND(F.lit((1 << bits) - 1))
         for i in range(bits):
             keys.append(part.bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << i))).bitwiseOR(F.lit((s << 37) | (i << 32))))
@@ -119,15 +120,19 @@ def segments_for(radius: int, bits: int = 64) -> list[tuple[int, int, int]]:
     return [(0, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def link_buckets(index: DataFrame, verify: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple[DataFrame, Callable]] | None = None) -> DataFrame:
-    """(node, component) of nodes that index(key, id) brings together and that verify() lets pass.
+def link_buckets(indexes: list[DataFrame], verify: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple[DataFrame, Callable]] | None = None) -> DataFrame:
+    """(node, component) of nodes that indexes(key, id) bring together and that verify() lets pass.
 
+    The indexes share no keys; buckets of one node are left out of each in turn, which bounds the memory.
     verify takes pairs (a, b) and returns those that are linked. Buckets have no limit of size: see the module's text.
     measure takes the nodes (id) of buckets with several components; it gives a table (id, m) and a condition on two
     m without which a pair cannot be linked, so that such pairs are not made.
     """
-    shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    index = staged(index.join(shared, "key", "left_semi"), "buckets")
+    kept = []
+    for part in indexes:
+        shared = part.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        kept.append(staged(part.join(shared, "key", "left_semi"), "buckets"))
+    index = reduce(DataFrame.union, kept)
     draw = F.struct(F.xxhash64("id", F.pmod(F.xxhash64("key"), F.lit(DRAWS))).alias("h"), F.col("id").alias("rep"))
     first = index.groupBy("key").agg(F.min(draw).alias("d"), F.min("id").alias("least"))
     first = first.select("key", F.explode(F.array_distinct(F.array("d.rep", "least"))).alias("rep"))
@@ -156,7 +161,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     """
     nodes = fps.select("fp").where("fp is not null").distinct()
     index = nodes.select(F.explode(deletion_variants([F.col("fp")], segments_for(radius))).alias("key"), F.col("fp").alias("id"))
-    found = link_buckets(index, lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    found = link_buckets([index], lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     return found.select(F.col("node").alias("fp"), "component")
 
 
@@ -209,7 +214,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hashed = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
     fps = staged(hashed.mapInArrow(run, "id long, sha binary, " + ", ".join(f"{x} long" for x in names)), "fingerprints")
     classes = staged(fps.groupBy("sha").agg(F.min("id").alias("node"), F.count("*").alias("n"), *(F.first(x).alias(x) for x in names)), "classes")
-    index = classes.select(F.explode(deletion_variants([F.col(x) for x in names], NEAR_SEGMENTS)).alias("key"), F.col("node").alias("id"))
+    index = [
+        classes.select(F.explode(deletion_variants([F.col(names[k])], [(0, *x[1:]) for x in NEAR_SEGMENTS if x[0] == k], 2 * k)).alias("key"), F.col("node").alias("id"))
+        for k in range(NEAR_LONGS)
+    ]
     bits = classes.select("node", *names)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
