@@ -1,5 +1,7 @@
-from itertools import combinations
+import random
+from itertools import combinations, product
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -64,6 +66,37 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == {i: c for i, c in want.items() if sizes[c] > 1}
 
 
+def test_near_duplicates_of_block_edits(spark):
+    """Whole blocks cut, appended or replaced, at similarities from 0.80 to 0.95: every pair is found."""
+    rng, texts, n = random.Random(5), {}, 0
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    for length, share, kind in product((60, 150, 400), (0.80, 0.82, 0.85, 0.90, 0.95), ("cut", "append", "replace")):
+        for _ in range(4):
+            words = [word() for _ in range(length)]
+            k = int(length * (1 - share) / (1 if kind != "replace" else 2)) - 2
+            at = rng.randrange(length - max(k, 0))
+            new = {"cut": words[: length - max(k, 0)], "append": words + [word() for _ in range(k)], "replace": words[:at] + [word() for _ in range(k)] + words[at + max(k, 0) :]}[kind]
+            texts[n], texts[n + 1] = " ".join(words), " ".join(new)
+            n += 2
+    sets = {i: set(S.shingle_set(t)) for i, t in texts.items()}
+    near = {i for i in range(0, n, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    assert len(near) > 140
+    got = {r.id: r.component_id for r in S.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    print("found", len(near & got.keys()), "of", len(near))
+    assert got == {i + d: i for i in near for d in (0, 1)}
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.9, 1.0])
+def test_prefixes_of_similar_sets_meet(similarity):
+    rng = np.random.default_rng(2)
+    frequent, counts = np.arange(0, 60, 3), rng.integers(1, 5, 20)
+    for _ in range(3000):
+        a = np.unique(rng.integers(0, 60, rng.integers(1, 40)))
+        b = np.unique(np.concatenate([rng.permutation(a)[rng.integers(0, 3) :], rng.integers(0, 60, rng.integers(0, 4))])).astype(np.int64)
+        if len(b) and len(np.intersect1d(a, b)) >= similarity * len(np.union1d(a, b)):
+            assert np.intersect1d(*(S.prefix(x, frequent, counts, similarity) for x in (a, b))).size
+
+
 EDGE = [(1, None), (2, ""), (3, "a b c d e f g h"), (4, "A  b\nc d e f g h"), (4, "a b c d e f g h"), (None, "a b c d e f g h"), (5, "x " * 60_000)]
 
 

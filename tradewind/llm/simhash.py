@@ -1,4 +1,4 @@
-"""Near-duplicates by SimHash and deletion-variant signatures.
+"""Near-duplicates by SimHash and deletion-variant signatures, and near copies by exact shingle similarity.
 
 A fingerprint is cut into so few segments that, within the radius, one segment of two linked fingerprints differs
 by at most one bit. Each segment is indexed once for each of its bits, with that bit wiped out: two fingerprints
@@ -7,10 +7,13 @@ whose segments differ by at most one bit share such a variant. Equal variants ar
 Pairs are not made within whole buckets. First each member of a bucket is held against its smallest id, often the text
 that others were copied from, and against one member that a hash draws; members that this already puts into one component need no more comparison. Only pairs of a bucket that
 lie in different components then follow, all of them, so no link between components is lost.
+
+Near copies by the similarity of their shingles use the same linking, with the first shingles of each text as keys.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -61,21 +64,6 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return _signed(2 * _vote(hashes) > len(hashes)) if len(hashes) else 0
 
 
-def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes that behave as independent ones for each k (the finishing step of splitmix64)."""
-    x = hashes + np.uint64((0x9E3779B97F4A7C15 * k) % (1 << 64))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_fingerprint(text: str | None, longs: int, seed: int = 42) -> list[int]:
-    """A SimHash of 64 * longs bits of a text's distinct words."""
-    words = set((text or "").encode().lower().split())
-    hashes = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in words), np.uint64, len(words))
-    return [_signed(2 * _vote(_mixed(hashes, k)) > len(words)) if len(words) else 0 for k in range(longs)]
-
-
 def shingle_set(text: str | None, size: int = 5, seed: int = 42) -> list[int]:
     """The distinct hashes of a text's word shingles, as signed numbers."""
     words = (text or "").encode().lower().split()
@@ -101,10 +89,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return _per_text(df, id_col, text_col, lambda t: fingerprint(t, size), "fp", "long")
 
 
-def deletion_variants(fp: list, segments: list[tuple[int, int, int]], first: int = 0):
-    """An array column of bucket keys. segments: (which of the fp columns, lowest bit, number of bits up to 32), numbered from first."""
+def deletion_variants(fp: list, segments: list[tuple[int, int, int]]):
+    """An array column of bucket keys. segments: (which of the fp columns, lowest bit, number of bits up to 32)."""
     keys = []
-    for s, (k, low, bits) in enumerate(segments, first):
+    for s, (k, low, bits) in enumerate(segments):
         part = F.shiftrightunsigned(fp[k], low).bitwiseAND(F.lit((1 << bits) - 1))
         for i in range(bits):
             keys.append(part.bitwiseAND(F.lit(((1 << bits) - 1) ^ (1 << i))).bitwiseOR(F.lit((s << 37) | (i << 32))))
@@ -120,36 +108,37 @@ def segments_for(radius: int, bits: int = 64) -> list[tuple[int, int, int]]:
     return [(0, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def link_buckets(indexes: list[DataFrame], verify: Callable[[DataFrame], DataFrame], measure: Callable[[DataFrame], tuple[DataFrame, Callable]] | None = None) -> DataFrame:
+def link_buckets(indexes: list[DataFrame], verify: Callable[[DataFrame], DataFrame], possible: Callable[..., Column] | None = None) -> DataFrame:
     """(node, component) of nodes that indexes(key, id) bring together and that verify() lets pass.
 
     The indexes share no keys; buckets of one node are left out of each in turn, which bounds the memory.
     verify takes pairs (a, b) and returns those that are linked. Buckets have no limit of size: see the module's text.
-    measure takes the nodes (id) of buckets with several components; it gives a table (id, m) and a condition on two
-    m without which a pair cannot be linked, so that such pairs are not made.
+    With possible, indexes also have a node's size m. possible(m, m2, shared) is a condition on two sizes, and on the
+    number of shared buckets where that is known (else None), without which a pair cannot be linked.
     """
     kept = []
     for part in indexes:
         shared = part.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         kept.append(staged(part.join(shared, "key", "left_semi"), "buckets"))
     index = reduce(DataFrame.union, kept)
-    draw = F.struct(F.xxhash64("id", F.pmod(F.xxhash64("key"), F.lit(DRAWS))).alias("h"), F.col("id").alias("rep"))
-    first = index.groupBy("key").agg(F.min(draw).alias("d"), F.min("id").alias("least"))
-    first = first.select("key", F.explode(F.array_distinct(F.array("d.rep", "least"))).alias("rep"))
-    pairs = index.join(first, "key").where("id <> rep").select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
+    if not possible:
+        index = index.withColumn("m", F.lit(0))
+    allowed = possible or (lambda m, m2, shared: F.lit(True))
+    draw = F.struct(F.xxhash64("id", F.pmod(F.xxhash64("key"), F.lit(DRAWS))).alias("h"), F.struct("id", "m").alias("rep"))
+    first = index.groupBy("key").agg(F.min(draw).alias("d"), F.min(F.struct("id", "m")).alias("least"))
+    first = first.select("key", F.inline(F.array_distinct(F.array("d.rep", "least"))).alias("rep", "m2"))
+    pairs = index.join(first, "key").where((F.col("id") != F.col("rep")) & allowed(F.col("m"), F.col("m2"), None))
+    pairs = pairs.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
     linked = staged(verify(pairs), "links")
     found = connected_components(linked)
-    # The pairs of a bucket that are in different components, or in none yet.
-    grouped = index.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    # The pairs of a bucket that are in different components, or in none yet. All buckets that they share are open.
+    grouped = index.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("component"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     grouped = staged(grouped.join(open_keys, "key", "left_semi"), "open")
-    apart = F.col("component") < F.col("component2")
-    if measure:
-        table, possible = measure(grouped.select("id").distinct())
-        grouped = staged(grouped.join(table, "id"), "open")
-        apart = apart & possible(F.col("m"), F.col("m2"))
     other = grouped.withColumnsRenamed({"id": "id2", "component": "component2", "m": "m2"})
-    rest = grouped.join(other, "key").where(apart).select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+    rest = grouped.join(other, "key").where((F.col("component") < F.col("component2")) & allowed(F.col("m"), F.col("m2"), None))
+    rest = rest.groupBy(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).agg(F.count("*").alias("shared"), F.min("m").alias("m"), F.min("m2").alias("m2"))
+    rest = rest.where(allowed(F.col("m"), F.col("m2"), F.col("shared"))).select("a", "b")
     more = staged(verify(rest.join(pairs, ["a", "b"], "left_anti")), "links")
     return connected_components(linked.union(more))
 
@@ -184,72 +173,86 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 # Near copies: similarity of word shingles.
 
-#: The fingerprint that finds candidates: four numbers of the distinct words, 56 bits of each in two segments of 28.
-NEAR_LONGS = 4
-NEAR_SEGMENTS = [(k, low, 28) for k in range(NEAR_LONGS) for low in (0, 28)]
-#: Most of the 256 bits in which candidates may differ before their shingles are compared. At the least similarity
-#: of 0.8 about 17 differ, with a deviation of 4.
-NEAR_BITS = 50
+#: The part of the documents whose shingles are counted to find frequent ones, one in so many, and how many of these
+#: are told to the tasks. Both steer the work only: any order of the shingles gives the same pairs.
+COUNTED, FREQUENT = 8, 200_000
+#: Steps in which the index is built.
+PARTS = 4
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """How many of a set's n elements, first in an order that all sets share, include one of each set as similar."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first elements of a set by rising counts (0 for those not in frequent, which is sorted), then by value."""
+    count = np.zeros(len(s), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+        count = np.where(frequent[at] == s, counts[at], 0)
+    return s[np.lexsort((s, count))[: prefix_size(len(s), similarity)]]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) of the rows whose text other rows copy, exactly or nearly; others are left out.
 
     Near copies have a Jaccard similarity of at least `similarity` between their sets of word shingles, which is
-    verified exactly. Candidates share a deletion variant of a SimHash of their distinct words: an edited word
-    changes five shingles but one word, so this fingerprint stays closer than one of the shingles. Of pairs just
-    at 0.8, about one in a hundred is expected to be missed; of closer ones, fewer. component_id is the smallest id
-    of the group. Null and empty texts, and rows without an id, take no part. Rows that repeat an id count as one.
+    verified exactly. No such pair is missed: of n shingles, in an order that all texts share, two texts as similar
+    have one in common among their first n - similarity * n + 1 (prefix filter). Frequent shingles come last in that
+    order. component_id is the smallest id of the group. Null and empty texts, and rows without an id, take no part.
+    Rows that repeat an id count as one.
     """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
+    def sets(rows: DataFrame) -> DataFrame:
+        return _per_text(rows, "id", "text", lambda t: shingle_set(t, size), "s", "array<long>")
+
+    counted = sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0)).select(F.explode("s").alias("h"))
+    often = counted.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT)
+    often = np.array([tuple(r) for r in often.collect()], np.int64).reshape(-1, 2)
+    often = often[np.argsort(often[:, 0])]
+    frequent, counts = np.ascontiguousarray(often[:, 0]), np.ascontiguousarray(often[:, 1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            values = [word_fingerprint(t.as_py(), NEAR_LONGS) for t in x.column(1)]
-            columns = [pa.array([v[k] for v in values], pa.int64()) for k in range(NEAR_LONGS)]
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), *columns], ["id", "sha", *names])
+            found = [np.array(shingle_set(t.as_py(), size), np.int64) for t in x.column(1)]
+            firsts = pa.array([prefix(s, frequent, counts, similarity) for s in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array([len(s) for s in found], pa.int32()), firsts], ["id", "sha", "m", "p"])
 
-    names = [f"f{k}" for k in range(NEAR_LONGS)]
     hashed = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
-    fps = staged(hashed.mapInArrow(run, "id long, sha binary, " + ", ".join(f"{x} long" for x in names)), "fingerprints")
-    classes = staged(fps.groupBy("sha").agg(F.min("id").alias("node"), F.count("*").alias("n"), *(F.first(x).alias(x) for x in names)), "classes")
-    index = [
-        classes.select(F.explode(deletion_variants([F.col(names[k])], [(0, *x[1:]) for x in NEAR_SEGMENTS if x[0] == k], 2 * k)).alias("key"), F.col("node").alias("id"))
-        for k in range(NEAR_LONGS)
-    ]
-    bits = classes.select("node", *names)
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        sets = _per_text(texts.join(checked_broadcast(wanted), "id", "left_semi"), "id", "text", lambda t: shingle_set(t, size), "s", "array<long>")
-        return staged(sets.dropDuplicates(["id"]), "shingles")
-
-    def measure(nodes: DataFrame) -> tuple[DataFrame, Callable]:
-        """m: a text's shingles, and how many of them another of these texts has; two texts share at most the lesser number."""
-        sets = sets_of(nodes)
-        each = sets.select("id", F.explode("s").alias("h"))
-        lone = each.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("lone"))
-        n = F.size("s")
-        table = sets.join(lone, "id", "left").select("id", F.struct(n.alias("n"), (n - F.coalesce("lone", F.lit(0))).alias("common")).alias("m"))
-
-        def possible(a: Column, b: Column) -> Column:
-            most = F.least(a["common"], b["common"])
-            return most >= F.lit(similarity) * (a["n"] + b["n"] - most)
-
-        return staged(table, "measured"), possible
+    rows = staged(hashed.mapInArrow(run, "id long, sha binary, m int, p array<long>"), "prefixes")
+    named = staged(rows.groupBy("sha").agg(F.min("id").alias("node"), F.count("*").alias("n")), "classes")
+    # Texts of one class are equal; a repeated id may stand for two of them.
+    nodes = rows.withColumnRenamed("id", "node").join(named, ["sha", "node"], "left_semi").dropDuplicates(["node"])
+    nodes = staged(nodes.select("node", "m", "p"), "nodes")
+    keys = nodes.select(F.explode("p").alias("key"), F.col("node").alias("id"), "m")
+    index = [keys.where(F.pmod("key", F.lit(PARTS)) == k) for k in range(PARTS)]
+
+    def possible(m: Column, m2: Column, shared: Column | None) -> Column:
+        """Of two texts, the one whose prefix ends first in the order shares with the other no more than what both prefixes share and its rest."""
+        least = F.lit(similarity / (1 + similarity)) * (m + m2) - F.lit(1e-6)
+        if shared is None:
+            return F.least(m, m2) >= least
+        rest = lambda n: F.ceil(F.lit(similarity) * n - F.lit(1e-9)) - 1
+        return shared + F.greatest(rest(m), rest(m2)) >= least
+
+    def of(table: DataFrame, end: str) -> DataFrame:
+        return table.select(*(F.col(c).alias(end if c in ("id", "node") else c + end) for c in table.columns))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (bits.select(F.col("node").alias(c), *(F.col(x).alias(c + x) for x in names)) for c in "ab")
-        apart = sum((F.bit_count(F.col("a" + x).bitwiseXOR(F.col("b" + x))) for x in names), F.lit(0))
-        close = staged(pairs.join(left, "a").join(right, "b").where(apart <= NEAR_BITS).select("a", "b"), "close")
-        sets = sets_of(close.select(F.col("a").alias("id")).union(close.select("b")).distinct())
-        both = close.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        both = pairs.join(of(nodes, "a"), "a").join(of(nodes, "b"), "b")
+        close = staged(both.where(possible(F.col("ma"), F.col("mb"), F.size(F.array_intersect("pa", "pb")))).select("a", "b"), "close")
+        wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+        full = staged(sets(texts.join(checked_broadcast(wanted), "id", "left_semi")).dropDuplicates(["id"]), "shingles")
+        both = close.join(of(full, "a"), "a").join(of(full, "b"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    linked = link_buckets(index, verify, measure).withColumnRenamed("component", "linked")
-    named = classes.join(linked, "node", "left").where("n > 1 or linked is not null").select("sha", F.coalesce("linked", "node").alias("component_id"))
-    return fps.select("id", "sha").join(named, "sha").select("id", "component_id")
+    linked = link_buckets(index, verify, possible).withColumnRenamed("component", "linked")
+    named = named.join(linked, "node", "left").where("n > 1 or linked is not null").select("sha", F.coalesce("linked", "node").alias("component_id"))
+    return rows.select("id", "sha").join(named, "sha").select("id", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
