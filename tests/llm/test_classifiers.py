@@ -53,6 +53,24 @@ def test_restored_text(model):
     assert X.restore_text("you i d i o t and  l0ser\n", model) == "you idiot and  loser\n"
 
 
+HIDDEN = [
+    "what a l o s e r", "y o u i d i o t", "y o u i i i d i o t", "i d i o t e", "u r a m 0 r 0 n", "the s  t u p i d clown", "s\tt\tu\tp\ti\td",
+    "i\nd\ni\no\nt", "iiddiioott", "i i d d i i o o t t", "stuppid", "a looser", "mmorronn!", "you 1ddi0t", "idddioott", "STUPPID",
+]
+
+
+@pytest.mark.parametrize("text", HIDDEN)
+def test_evidence_of_spaced_and_doubled_words(model, text):
+    judge = X.Toxicity(model, {f"={w}": 3.0 for w in ("idiot", "loser", "stupid", "moron")})
+    assert judge.evidence(text) == 3.0
+
+
+@pytest.mark.parametrize("text", ["", "the clown met a trash letter", "a b c d e", "1 2 3 4 5", "w h a t", "a " * 5000, "los er", "m o r e"])
+def test_no_evidence_in_other_words(model, text):
+    judge = X.Toxicity(model, {f"={w}": 3.0 for w in ("idiot", "loser", "stupid", "moron")})
+    assert judge.evidence(text) == 0
+
+
 @pytest.mark.parametrize("word", ["1d10t", "m0r.0n", "aaab", "l|1", "tr4$h"])
 def test_decoding_finds_the_best_path(model, word):
     def value(path):

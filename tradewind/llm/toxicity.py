@@ -2,8 +2,9 @@
 
 A written word may hide another one: digits and signs stand for letters, letters repeat, spaces or dots come in
 between. The channel gives each written character the letters it may stand for, which makes a lattice; Viterbi
-decoding finds its likeliest path under a language model of characters that is counted over all documents. The
-restored words are then scored by the words and word beginnings that go with toxic labels.
+decoding finds its likeliest path under a language model of characters that is counted over all documents. A run of
+single characters is read between all blanks where words may part, and doubled letters as one and as two. The restored
+words are then scored by the words and word beginnings that go with toxic labels.
 """
 
 from __future__ import annotations
@@ -30,6 +31,13 @@ LEXICON = 20_000
 KEPT_WORDS = 120_000
 #: Log-probabilities of the channel: a sign for a letter, a repeated letter that counts once or twice, a sign left out.
 SIGN, REPEAT, SKIP = -1.5, -0.5, -0.7
+#: Of blanks inside a run of single characters: one blank that parts words, a longer blank that does not.
+PART, JOIN = -1.0, -2.0
+#: Doubled letters of a word that are each read as one and as two, in all ways; in words with more the lattice decides.
+DOUBLES = 4
+#: How much less likely than the best way to part a run of single characters another may be whose words are read, and
+#: the characters that a word between two blanks of a run may have; the whole run is read in any case.
+MARGIN, SPAN = 6.0, 32
 #: Characters counted at a time.
 BLOCK = 1 << 20
 #: Paths kept at each position of a lattice.
@@ -47,8 +55,10 @@ _TABLE[0x80:] = OTHER
 for _c, _k in INDEX.items():
     _TABLE[ord(_c)] = _k
 
-SPACED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
+SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+BLANK = re.compile(r"\s+")
 TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"([^\W\d_])\1")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -99,7 +109,7 @@ def language_model(counts: DataFrame) -> np.ndarray:
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters, the letters it may stand for and their log-probabilities."""
+    """For each run of equal characters, the letters it may stand for and their log-probabilities; a blank may part words."""
     out, k, word = [], 0, word.lower()
     while k < len(word):
         c, n = word[k], 1
@@ -108,10 +118,14 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         k += n
         if c in LEET:
             options = [(x * m, SIGN) for x in LEET[c] for m in {1, min(n, 2)}]
+        elif c == " ":
+            options = [("", 0.0), (" ", PART)] if n == 1 else [("", JOIN), (" ", 0.0)]
         elif c in SEPARATORS or c.isspace():
             options = [("", SKIP)]
         elif n >= 3:
             options = [(c, REPEAT), (c * 2, REPEAT)]
+        elif n == 2 and c.isalpha():
+            options = [(c, REPEAT), (c * 2, 0.0)]
         else:
             options = [(c * n, 0.0)]
         out.append(options)
@@ -120,24 +134,65 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 def decode(word: str, model: np.ndarray) -> str:
     """The likeliest path through a word's lattice, by Viterbi decoding with beams of BEAM states."""
-    beam = {(EDGE, EDGE): (0.0, None)}
+    beam = START
     for options in lattice(word):
-        after: dict = {}
-        for (a, b), (score, path) in beam.items():
-            for letters, cost in options:
-                x, y, s = a, b, score + cost
-                for c in letters:
-                    z = INDEX.get(c, OTHER if c.isalpha() else EDGE)
-                    x, y, s = y, z, s + model[x, y, z]
-                if (x, y) not in after or after[x, y][0] < s:
-                    after[x, y] = s, (path, letters)
-        beam = dict(sorted(after.items(), key=lambda kv: (-kv[1][0], kv[0]))[:BEAM])
-    end = min(beam.items(), key=lambda kv: (-(kv[1][0] + model[kv[0][0], kv[0][1], EDGE]), kv[0]))
-    path, out = end[1][1], []
+        beam = _step(beam, options, model)
+    return _best(beam, model)[1]
+
+
+START: dict = {(EDGE, EDGE): (0.0, None)}
+
+
+def _step(beam: dict, options: list[tuple[str, float]], model: np.ndarray) -> dict:
+    after: dict = {}
+    for (a, b), (score, path) in beam.items():
+        for letters, cost in options:
+            x, y, s = a, b, score + cost
+            for c in letters:
+                z = INDEX.get(c, OTHER if c.isalpha() else EDGE)
+                x, y, s = y, z, s + model[x, y, z]
+            if (x, y) not in after or after[x, y][0] < s:
+                after[x, y] = s, (path, letters)
+    return dict(sorted(after.items(), key=lambda kv: (-kv[1][0], kv[0]))[:BEAM])
+
+
+def _best(beam: dict, model: np.ndarray) -> tuple[float, str]:
+    """The value and the letters of the likeliest path that ends here."""
+    value, end = min(((-(kv[1][0] + model[kv[0][0], kv[0][1], EDGE])), kv[0]) for kv in beam.items())
+    path, out = beam[end][1], []
     while path:
         path, letters = path
         out.append(letters)
-    return "".join(reversed(out))
+    return -float(value), "".join(reversed(out))
+
+
+def parted(run: str, model: np.ndarray) -> set[str]:
+    """The words between any two blanks of a run of single characters whose parting is within MARGIN of the likeliest."""
+    parts = re.findall(r"(\S)( *)", run)
+    n = len(parts)
+    known: dict = {}
+    spans = []
+    for i in range(n):
+        window = "".join(map("".join, parts[i : i + SPAN])).rstrip(" ")
+        if window not in known:
+            beam, found = START, []
+            for c, blank in parts[i : i + SPAN]:
+                beam = _step(beam, lattice(c)[0], model)
+                found.append(_best(beam, model))
+                if blank:
+                    beam = _step(beam, [("", lattice(blank)[0][0][1])], model)
+            known[window] = found
+        spans.append(known[window])
+    # The cost of parting is that of the blank after a word.
+    after = [lattice(blank)[0][1][1] if blank else 0.0 for _, blank in parts]
+    ahead, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for i in range(n):
+        for j, (value, _) in enumerate(spans[i], i + 1):
+            ahead[j] = max(ahead[j], ahead[i] + value + after[j - 1])
+    for i in reversed(range(n)):
+        back[i] = max(value + after[j - 1] + back[j] for j, (value, _) in enumerate(spans[i], i + 1))
+    least = ahead[n] - MARGIN
+    return {word for i in range(n) for j, (value, word) in enumerate(spans[i], i + 1) if ahead[i] + value + after[j - 1] + back[j] >= least}
 
 
 def hides(word: str) -> bool:
@@ -159,27 +214,57 @@ def restore(word: str, model: np.ndarray) -> str:
 
 def restore_text(text: str, model: np.ndarray) -> str:
     """A whole text with spaced-out and disguised words restored; white space and other words stay as they are."""
-    joined = SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+    joined = SPACED.sub(lambda m: decode(_evened(m[0]), model) if _has_letter(m[0]) else m[0], text)
     return "".join(x if k % 2 else restore(x, model) for k, x in enumerate(re.split(r"(\s+)", joined)))
 
 
+def _has_letter(word: str) -> bool:
+    return any(c.isalpha() for c in word)
+
+
+def _evened(run: str) -> str:
+    """A run of single characters with one blank for each single white space and two for each longer one."""
+    return BLANK.sub(lambda m: " " if len(m[0]) == 1 else "  ", run)
+
+
+def undoubled(word: str) -> Iterator[str]:
+    """A word with each of its doubled letters as one and as two, in all ways; with too many of them, as it is."""
+    runs = [m[0] for m in re.finditer(r"(.)\1*", word, re.DOTALL)]
+    twice = [k for k, x in enumerate(runs) if len(x) == 2 and x.isalpha()]
+    if len(twice) > DOUBLES:
+        twice = []
+    for some in range(1 << len(twice)):
+        once = {k for j, k in enumerate(twice) if some >> j & 1}
+        yield "".join(x[0] if k in once else x for k, x in enumerate(runs))
+
+
 def word_features(word: str) -> list[str]:
     """A word and its beginnings of 4 to 7 letters."""
     return ["=" + word, *(word[:n] for n in range(4, 8) if len(word) >= n)]
 
 
 def _tokens(text: str) -> set[str]:
-    """The distinct written words of a text; runs of single characters count as one word."""
+    """The distinct written words of a text; runs of single characters count as one word, with their blanks."""
     found = set(text.split())
-    found.update(m[0].replace(" ", "") for m in SPACED.finditer(text))
+    found.update(_evened(m[0]) for m in SPACED.finditer(text))
     return found
 
 
 def _readings(token: str, model: np.ndarray) -> set[str]:
     """The words of a written word as it is and as restored, lower-cased."""
-    found = set(WORD.findall(token.lower()))
-    if hides(token):
-        found.update(WORD.findall(restore(token, model)))
+    low = token.lower()
+    found = set() if " " in token else set(WORD.findall(low))
+    if " " in token:
+        found |= _readings(token.replace(" ", ""), model)
+        if _has_letter(token):
+            found.update(w for x in parted(token, model) for w in WORD.findall(x))
+    elif hides(token):
+        for x in undoubled(low):
+            found.update(WORD.findall(restore(x, model)))
+    for w in [w for w in found if DOUBLE.search(w)]:
+        found.update(undoubled(w))
+        if TRIPLE.search(w) or len(DOUBLE.findall(w)) > DOUBLES:
+            found.add(decode(w, model))
     return found
 
 
