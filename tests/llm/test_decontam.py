@@ -1,7 +1,8 @@
+import random
 import re
 from collections import Counter
 
-from tradewind.llm.decontam import drop_contaminated, find_passages
+from tradewind.llm.decontam import RADIUS, BLOCKS, close_masks, drop_contaminated, find_passages
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -53,3 +54,40 @@ def test_edited_passages_and_odd_rows(spark):
     kept = drop_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 5]
     assert find_passages(df.limit(0), bench).collect() == find_passages(df, bench.limit(0)).collect() == []
+
+
+def test_recall_of_edited_items(spark):
+    """Items shortened, lengthened or with words replaced, at similarities from 0.8 on: the fingerprints' radius loses next to none."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    items = [(i, " ".join(word() for _ in range(rng.choice((40, 60, 90))))) for i in range(400)]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        n, kind = len(words), i % 3
+        lost = int((n - 4) * rng.uniform(0.02, 0.19))
+        if kind == 0:
+            words = words[: n - lost]
+        elif kind == 1:
+            at = rng.randrange(n - lost)
+            words[at : at + lost // 2] = [word() for _ in range(lost // 2)]
+        else:
+            for _ in range(max(lost // 10, 1)):
+                words[rng.randrange(n)] = word()
+        docs.append((i, " ".join([word() for _ in range(30)] + words + [word() for _ in range(30)])))
+    want = {}
+    for (d, text), (i, passage) in zip(docs, items, strict=True):
+        want |= brute([(d, text)], [(i, passage)])
+    got = {(r.doc_id, r.item_id): r.similarity for r in find_passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    low = {k for k, j in want.items() if j < 0.85}
+    print("found", len(want.keys() & got.keys()), "of", len(want), "below 0.85", len(low & got.keys()), "of", len(low))
+    assert len(low) > 40 and got.keys() <= want.keys()
+    assert len(low & got.keys()) >= 0.97 * len(low) and len(got) >= 0.99 * len(want)
+
+
+def test_blocks_guarantee_the_radius():
+    """Any two fingerprints within the radius have a block that differs in no more bits than the masks cover."""
+    masks, rng = set(close_masks(RADIUS // BLOCKS)), random.Random(1)
+    for _ in range(2000):
+        x = sum(1 << b for b in rng.sample(range(128), RADIUS))
+        assert any((x >> 16 * k) & 0xFFFF in masks for k in range(BLOCKS))

@@ -1,20 +1,25 @@
 """Benchmark decontamination: windows of each item's size, found by SimHash and verified by their shingles.
 
-Windows are laid where a document shares a word shingle with an item, lined up with it; a window without one has
-similarity 0. Their fingerprints and the items' are cut into one block more than the radius has bits, so that two
-fingerprints within the radius have an equal block; equal blocks of windows and items of one size are joined, and
-the shingles of the pairs compared.
+Windows are laid where a document shares a word shingle with an item, lined up with it; any other window has
+similarity 0. Which items a window is held against, the fingerprints tell: they are cut into BLOCKS blocks, so that
+of two fingerprints within the radius one block differs in at most radius // BLOCKS bits. Items are indexed under all
+such variants of their blocks, windows look their blocks up, and the shingles of the pairs within the radius are
+compared. Of 16-bit blocks that may differ in 3 bits, one pair in twelve that have nothing in common meets.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import checked_broadcast, staged
 
-#: Bits in which the fingerprints of a window and its item may differ. At a similarity of 0.8 about 10 of 64 do, with a deviation of 3.
-RADIUS = 20
+#: Bits of a fingerprint in which a window and its item may differ, of 128. At a similarity of 0.8 about 19 do, with a deviation of 4.
+RADIUS = 31
+#: Blocks of 16 bits that a fingerprint is cut into.
+BLOCKS, BITS = 8, 16
 
 
 def normal_words(text: Column) -> Column:
@@ -32,16 +37,32 @@ def with_shingles(df: DataFrame, text_col: str, size: int) -> DataFrame:
 
 
 def simhash(hashes: str) -> Column:
-    """The 64-bit SimHash of an array column of hashes; repeats count."""
+    """The 64-bit SimHash of an array of hashes, an SQL expression; repeats count."""
     ones = f"aggregate({hashes}, 0, (s, h) -> s + cast(shiftright(h, b) & 1L as int))"
     return F.expr(f"aggregate(sequence(0, 63), 0L, (acc, b) -> if(2 * {ones} > size({hashes}), acc | shiftleft(1L, b), acc))")
 
 
-def blocks(fp: str, radius: int) -> Column:
-    """An array of (block, value): the fingerprint cut into radius + 1 blocks."""
-    n = radius + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
+def with_fingerprint(df: DataFrame) -> DataFrame:
+    """df with fp and fp2, the halves of the 128-bit fingerprint of its shingles."""
+    again = df.withColumns({"fp": simhash("shingles"), "_again": F.transform("shingles", lambda h: F.xxhash64(h))})
+    return again.withColumn("fp2", simhash("_again")).drop("_again")
+
+
+def blocks() -> Column:
+    """An array of (block, value): the fingerprint of the columns fp and fp2 cut into blocks."""
+    half = BLOCKS // 2
+    cut = lambda k: F.shiftrightunsigned("fp" if k < half else "fp2", BITS * (k % half)).bitwiseAND(F.lit((1 << BITS) - 1))
+    return F.array(*(F.struct(F.lit(k).alias("block"), cut(k).alias("value")) for k in range(BLOCKS)))
+
+
+def close_masks(errors: int) -> list[int]:
+    """What a block is to be xored with for all blocks that differ from it in at most `errors` bits."""
+    return [sum(1 << b for b in some) for n in range(errors + 1) for some in combinations(range(BITS), n)]
+
+
+def differing(a: str, b: str) -> Column:
+    """In how many bits two fingerprints differ, of columns with these suffixes."""
+    return sum((F.bit_count(F.col(f"{x}{a}").bitwiseXOR(F.col(f"{x}{b}"))) for x in ("fp", "fp2")), F.lit(0))
 
 
 def find_passages(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -49,36 +70,43 @@ def find_passages(docs: DataFrame, items: DataFrame, size: int = 5, similarity:
 
     start counts the document's words before the window, n_words the window's. Words are lower-cased runs of letters
     and digits. similarity is the weighted Jaccard one of the shingles of window and item, each weighing as often as
-    it comes; windows of at least `similarity` count, of equal ones the first. Items of fewer words than a shingle,
-    null and empty texts, and null ids take no part. Rows that repeat an id count as one document or item of several
-    texts. Empty tables give an empty result; further columns are not read.
+    it comes; windows of at least `similarity` whose fingerprint is within the radius of the item's count, of equal
+    ones the first. Items of fewer words than a shingle, null and empty texts, and null ids take no part; texts have
+    no bound of length. Rows that repeat an id count as one document or item of several texts. Empty tables give an
+    empty result; further columns are not read.
     """
-    texts = with_shingles(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "text", size).drop("text")
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     known = with_shingles(items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(text_col).alias("text")), "text", size).drop("text")
-    known = staged(known.where(F.col("n_words") >= size).withColumn("fp", simhash("shingles")), "items")
+    known = staged(with_fingerprint(known.where(F.col("n_words") >= size)), "items")
 
     # Windows that line up a shared shingle.
-    anchors = known.select(F.col("n_words").alias("span"), F.posexplode("shingles").alias("at", "h")).distinct()
+    anchors = staged(known.select(F.col("n_words").alias("span"), F.posexplode("shingles").alias("at", "h")).distinct(), "anchors")
     # The outer form: for the other one the optimizer adds a filter that computes the words anew for each shingle.
-    places = texts.select("doc", F.posexplode_outer("shingles").alias("place", "h"))
+    places = with_shingles(texts, "text", size).select("doc", F.posexplode_outer("shingles").alias("place", "h"))
     laid = places.join(checked_broadcast(anchors), "h").select("doc", (F.col("place") - F.col("at")).alias("start"), "span").distinct()
-    laid = staged(laid.groupBy("doc").agg(F.collect_list(F.struct("start", "span")).alias("windows")), "laid")
-    first, last = F.greatest("w.start", F.lit(0)), F.least(F.col("w.start") + F.col("w.span"), F.col("n_words"))
-    windows = texts.join(checked_broadcast(laid), "doc").select("doc", "n_words", "shingles", F.explode("windows").alias("w")).where(last - first >= size)
-    windows = windows.select("doc", F.col("w.start").alias("start"), F.col("w.span").alias("span"), (last - first).alias("n_words"), F.slice("shingles", first + 1, last - first - size + 1).alias("shingles"))
-    windows = staged(windows.withColumn("fp", simhash("shingles")), "windows")
+    laid = staged(laid, "laid")
+    # Few documents hold a window: only their shingles are made again.
+    holding = staged(laid.select("doc").distinct(), "holding")
+    again = with_shingles(texts.join(checked_broadcast(holding), "doc", "left_semi"), "text", size).drop("text")
+    windows = again.join(checked_broadcast(laid), "doc")
+    first, last = F.greatest("start", F.lit(0)), F.least(F.col("start") + F.col("span"), F.col("n_words"))
+    windows = windows.select("doc", "start", "span", (last - first).alias("n_words"), F.slice("shingles", first + 1, F.greatest(last - first - size + 1, F.lit(0))).alias("shingles"))
+    windows = staged(with_fingerprint(windows.where(F.col("n_words") >= size)), "windows")
 
     # Fingerprints within the radius.
-    left = windows.select("doc", "start", "span", "n_words", "fp", F.inline(blocks("fp", radius)))
-    right = known.select("item", F.col("n_words").alias("span"), F.col("fp").alias("item_fp"), F.inline(blocks("fp", radius)))
-    near = left.join(right, ["span", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.select("doc", "start", "span", "n_words", "item").distinct()
+    left = windows.select("doc", "start", "span", "n_words", "fp", "fp2", F.inline(blocks()))
+    right = known.select("item", F.col("n_words").alias("span"), F.col("fp").alias("fp_item"), F.col("fp2").alias("fp2_item"), F.inline(blocks()))
+    masks = F.lit(close_masks(radius // BLOCKS)).cast("array<bigint>")
+    right = right.withColumn("value", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))))
+    near = left.join(right, ["span", "block", "value"]).where(differing("", "_item") <= radius)
+    near = staged(near.select("doc", "start", "span", "n_words", "item").distinct(), "near")
 
     # The shingles themselves.
     def counted(df: DataFrame, keys: list[str], n: str) -> DataFrame:
         return df.select(*keys, F.explode("shingles").alias("h")).groupBy(*keys, "h").agg(F.count("*").alias(n))
 
     keys = ["doc", "start", "span", "n_words"]
+    windows = windows.join(near.select(*keys).distinct(), keys, "left_semi")
     sizes = windows.select(*keys, F.size("shingles").alias("n_window")).distinct()
     item_sizes = known.select("item", F.size("shingles").alias("n_item")).distinct()
     mine = near.join(counted(windows, keys, "c"), keys)
@@ -89,6 +117,9 @@ def find_passages(docs: DataFrame, items: DataFrame, size: int = 5, similarity:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold an item; columns and other rows, those with a null id too, stay as they are."""
-    found = find_passages(docs, items, id_col=id_col, **options).select(id_col).distinct()
-    return docs.join(found, id_col, "left_anti").select(*docs.columns)
+    """docs without the documents that hold an item; columns and other rows, those with a null id too, stay as they are.
+
+    See find_passages() for when a document holds one. Of rows that repeat an id all stay or all go.
+    """
+    found = staged(find_passages(docs, items, id_col=id_col, **options).select(id_col).distinct(), "contaminated")
+    return docs.join(checked_broadcast(found), id_col, "left_anti").select(*docs.columns)
