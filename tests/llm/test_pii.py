@@ -1,4 +1,5 @@
 import re
+from math import prod
 
 from tradewind.llm import pii as P
 from tradewind.llm.queries import op6_personal_data
@@ -64,3 +65,66 @@ def test_odd_rows_and_redaction(spark):
     assert texts.count((1, "same <ip> <phone>")) == 2 and texts.count((1, "please call me at <phone> today")) == 1
     assert (10, "please call me at <phone> today") in texts and (20, "<email>") in texts and texts.count((-1, "<email>")) == texts.count((-1, "")) == 1
     assert P.personal_data(df.limit(0)).collect() == P.redact(df.limit(0)).collect() == []
+
+
+def brute_members(rows):
+    """The loop of members() in plain Python, over (doc, text)."""
+    edges, own = {}, {}
+    for _, text in rows:
+        base = brute(text)
+        spans = [(a, b, k, t) for a, k, b, t in base]
+        for m in re.finditer(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*", text):
+            t = m[0]
+            if ("@" in t or len(re.sub("[^0-9]", "", t)) >= P.DIGITS) and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+                spans.append((m.start(), m.end(), -1, t))
+        for a, b, k, t in spans:
+            left = re.search(r"(?:^|\s)(\S+\s+\S+)\s*$", text[max(a - P.NEAR, 0) : a])
+            right = re.search(r"""^[.,;:!?)\]"']*\s+(\S+\s+\S+)(?:\s|$)""", text[b : b + P.NEAR])
+            own[t] = max(k, own.get(t, -1))
+            for side, m in (("<", left), (">", right)):
+                if m:
+                    edges.setdefault(side + re.sub("[0-9]+", "0", m[1].lower()), set()).add(t)
+    known = {t: k for t, k in own.items() if k >= 0 and any(t in x for x in edges.values())}
+    seeds = set(known)
+    for _ in range(P.ROUNDS):
+        sure = {}
+        for p, tokens in edges.items():
+            kinds = [known.get(t) for t in tokens]
+            every = sum(k is not None for k in kinds) + P.UNKNOWN * kinds.count(None)
+            for k in range(4):
+                if kinds.count(k) >= P.MEMBERS and kinds.count(k) / every >= P.CONFIDENT:
+                    sure[p, k] = kinds.count(k) / every
+        fresh = {}
+        for t in own.keys() - known.keys():
+            c = [(1 - prod(max(1 - v, 1e-6) for (p, k), v in sure.items() if k == kind and t in edges[p]), -kind) for kind in range(4)]
+            if max(c)[0] >= P.CONFIDENT:
+                fresh[t] = -max(c)[1]
+        if not fresh:
+            break
+        known |= fresh
+    return {t: k for t, k in known.items() if t not in seeds}
+
+
+def hops():
+    """Identifiers found by one pattern induce a second one, and those of the second a third, behind the identifier."""
+    rows = [(k, f"please call me at +1 (555) 010-{1000 + k} today or so") for k in range(6)]
+    rows += [(10 + k, f"please call me at 55501077{k} then wait") for k in range(4)]
+    rows += [(20 + k, f"her desk line is 55501077{k} you know") for k in range(4)] + [(25, "her desk line is 888777666 you see")]
+    rows += [(30 + k, f"try 55501077{k} during office hours") for k in range(4)] + [(35, "dial 444333222 during office hours"), (36, "the year 19992000 was long"), (37, "nobody dials 444333222.")]
+    return rows
+
+
+def test_discoveries_induce_patterns(spark):
+    rows = hops()
+    got = {r.doc_id: [tuple(s)[1:] for s in r.spans if s not in r.base] for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[25] == [(3, 26, "888777666")] and got[35] == [(3, 14, "444333222")]
+    assert all(len(got[k]) == 1 for k in (10, 13, 20, 23, 30, 33)) and not got[36] and not got[37]
+    known = brute_members(rows)
+    found = P.occurrences(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.token: r.kind for r in P.members(found).collect()} == known and len(known) == 6
+
+
+def test_members_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+    assert {r.token: r.kind for r in P.members(P.occurrences(docs)).collect()} == brute_members(texts)

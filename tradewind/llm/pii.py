@@ -1,8 +1,10 @@
 """Personal data: patterns of four kinds, and identifiers that the words around them give away.
 
-Spans that match a kind's pattern are seeds. The words before a seed are a lexical pattern; patterns and the
-identifiers they come before make a graph. Confidence goes from seeds to patterns and from patterns to identifiers,
-a few times; what a pattern of high confidence comes before is then a span too, though no pattern of its kind fits.
+Spans that match a kind's pattern are seeds. The two words before an identifier and the two after it are its lexical
+patterns; patterns and identifiers make a graph. Patterns get a confidence from the members among their identifiers,
+which at first are the seeds, and identifiers get one from their patterns; those of high confidence become members
+and induce patterns in the next round, until nothing is added. All occurrences of members are spans then, though no
+pattern of their kind fits.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ NEEDED = ["@", ".", None, "+"]
 SHAPED = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Digits that an identifier other than an address has at least.
 DIGITS = 5
-#: Rounds that confidence goes through the graph.
-ROUNDS = 3
-#: Confidence from which a pattern counts, and distinct seeds that it comes before at least.
-CONFIDENT, SEEDS = 0.8, 3
-#: Characters before a span in which its pattern's words are looked for.
-BEFORE = 80
+#: Rounds of discovery, at most.
+ROUNDS = 8
+#: Confidence from which patterns and identifiers count, and distinct members that a pattern goes with at least.
+CONFIDENT, MEMBERS = 0.8, 3
+#: What an identifier that is no member weighs against a pattern; a member of another kind weighs 1.
+UNKNOWN = 0.25
+#: Characters before and after a span in which its patterns' words are looked for.
+NEAR = 80
 
 SPAN = "struct<start:int,kind:int,end:int,token:string>"
 
@@ -95,50 +99,66 @@ def base_spans(text: str) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The last two words before a position, lower-cased, digits as 0; empty if there are fewer."""
-    before = F.substr(text, F.greatest(start - BEFORE, F.lit(0)) + 1, F.least(start, F.lit(BEFORE)))
-    return F.regexp_replace(F.lower(F.regexp_extract(before, r"(?:^|\s)([^\s]+\s+[^\s]+)\s*$", 1)), "[0-9]+", "0")
+def _context(text: Column, start: Column, end: Column) -> Column:
+    """The last two words before a place and the first two after it, each an empty text if there are fewer; lower-cased, digits as 0."""
+    before = F.substr(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
+    after = F.substr(text, end + 1, F.lit(NEAR))
+    found = [F.regexp_extract(before, r"(?:^|\s)([^\s]+\s+[^\s]+)\s*$", 1), F.regexp_extract(after, r"""^[.,;:!?)\]"']*\s+([^\s]+\s+[^\s]+)(?:\s|$)""", 1)]
+    return F.array(*(F.when(x != "", F.concat(F.lit(side), F.regexp_replace(F.lower(x), "[0-9]+", "0"))).otherwise("") for side, x in zip("<>", found, strict=True)))
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, sha, base, other): each row's base spans, and other words that may be identifiers; both with the words before them."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """(doc, sha, base, other): each row's base spans, and other words that may be identifiers; both with the patterns around them.
+
+    keep: with row too, all columns of docs.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
     rows = rows.withColumn("base", base_spans("text"))
     other = F.when(F.col("text").rlike("[0-9@]"), F.expr(_spans("text", SHAPED, -1)))
     rows = rows.withColumn("other", F.coalesce(other, F.array().cast(f"array<{SPAN}>")))
     likely = F.filter("other", lambda s: s["token"].contains("@") | (F.length(_digits(s["token"])) >= DIGITS))
     rows = rows.withColumn("other", F.filter(likely, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    add = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["token"].alias("token"), _context(F.col("text"), s["start"]).alias("before")))
-    return rows.select("doc", "sha", add("base").alias("base"), add("other").alias("other"))
+    add = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["token"].alias("token"), _context(F.col("text"), s["start"], s["end"]).alias("around")))
+    return rows.select(*(["row"] if keep else []), "doc", "sha", add("base").alias("base"), add("other").alias("other"))
 
 
-def pattern_confidence(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(before, kind, confidence) of the patterns that count, from occurrences().
+def members(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(token, kind) of the discovered identifiers, from occurrences().
 
-    A pattern's confidence in a kind is the mean of its distinct identifiers' ones; an identifier's is 1 if it is a
-    seed of the kind, else that it is not the case that all its patterns are wrong.
+    A pattern's confidence in a kind is the share of that kind's members among its distinct identifiers, of which
+    those of no kind weigh UNKNOWN; an identifier's is that not all its patterns are wrong, and its kind the one it
+    has most confidence in, of equals the first. Each round is a table of its own.
     """
-    both = found.select(F.explode(F.concat("base", "other")).alias("s")).select("s.before", "s.token", "s.kind").where("before <> ''")
-    edges = staged(both.groupBy("before", "token", "kind").agg(F.count("*").alias("n")), "edges")
-    seeds = edges.where("kind >= 0").select("before", "token", "kind").distinct()
-    induced = staged(seeds.groupBy("before", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= SEEDS), "patterns")
-    graph = staged(edges.select("before", "token", F.col("kind").alias("own")).join(induced, "before"), "graph")
-    scores = graph.select("token", "kind", (F.col("own") == F.col("kind")).cast("double").alias("c")).groupBy("token", "kind").agg(F.max("c").alias("c"))
-    for _ in range(rounds):
-        patterns = graph.select("before", "kind", "token").distinct().join(scores, ["token", "kind"]).groupBy("before", "kind").agg(F.avg("c").alias("confidence"))
-        wrong = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))))
-        seeded = F.max((F.col("own") == F.col("kind")).cast("double"))
-        scores = graph.join(patterns, ["before", "kind"]).groupBy("token", "kind").agg(F.greatest(seeded, F.lit(1.0) - F.exp(wrong)).alias("c"))
-        scores = staged(scores, "scores")
-    return patterns.where(F.col("confidence") >= CONFIDENT)
-
-
-def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc, sha, more): the further spans of rows that have some; of several kinds, the most confident one."""
-    best = patterns.groupBy("before").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("b")).select("before", (-F.col("b.col2")).alias("kind"))
-    rows = found.select("doc", "sha", F.explode("other").alias("s")).join(best, F.col("s.before") == F.col("before"))
-    span = F.struct(F.col("s.start").alias("start"), F.col("kind"), F.col("s.end").alias("end"), F.col("s.token").alias("token"))
+    both = found.select(F.explode(F.concat("base", "other")).alias("s")).select(F.explode("s.around").alias("pattern"), "s.token", "s.kind").where("pattern <> ''")
+    edges = staged(both.groupBy("pattern", "token").agg(F.max("kind").alias("own")), "edges")
+    # A pattern of too few identifiers never counts.
+    wide = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= MEMBERS).select("pattern")
+    edges = staged(edges.join(wide, "pattern", "left_semi"), "graph")
+    seeds = edges.where("own >= 0").groupBy("token").agg(F.min("own").alias("kind"))
+    known = staged(seeds.withColumn("round", F.lit(0)), "members")
+    for n in range(1, rounds + 1):
+        told = edges.select("pattern", "token").join(known, "token", "left")
+        counts = told.groupBy("pattern").agg(F.count_if(F.col("kind").isNull()).alias("unknown"), *(F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(len(KINDS))))
+        kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"k{k}").alias("n")) for k in range(len(KINDS))))
+        every = sum((F.col(f"k{k}") for k in range(len(KINDS))), F.lit(0))
+        sure = counts.select("pattern", (every + UNKNOWN * F.col("unknown")).alias("all"), F.inline(kinds)).where(F.col("n") >= MEMBERS)
+        sure = staged(sure.select("pattern", "kind", (F.col("n") / F.col("all")).alias("confidence")).where(F.col("confidence") >= CONFIDENT), "patterns")
+        fresh = edges.join(checked_broadcast(sure), "pattern").join(known.select("token"), "token", "left_anti")
+        wrong = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
+        fresh = fresh.groupBy("token", "kind").agg((1 - wrong).alias("c")).where(F.col("c") >= CONFIDENT)
+        fresh = fresh.groupBy("token").agg((-F.max(F.struct("c", -F.col("kind")))["col2"]).alias("kind"))
+        fresh = staged(fresh.withColumn("round", F.lit(n)), "members")
+        if fresh.isEmpty():
+            break
+        known = known.union(fresh)
+    return known.where("round > 0").select("token", "kind")
+
+
+def discovered(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc, sha, more): the further spans of rows that have some, all occurrences of members()."""
+    few = checked_broadcast(staged(known.withColumnsRenamed({"token": "_token", "kind": "_kind"}), "known"))
+    rows = found.select("doc", "sha", F.explode("other").alias("s")).join(few, F.col("s.token") == F.col("_token"))
+    span = F.struct(F.col("s.start").alias("start"), F.col("_kind").alias("kind"), F.col("s.end").alias("end"), F.col("s.token").alias("token"))
     return rows.groupBy("doc", "sha").agg(F.array_sort(F.collect_set(span)).alias("more"))
 
 
@@ -148,9 +168,8 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Spans are (start, kind, end, token), in code points, end exclusive; kind counts through KINDS. A null text counts
     as empty. Null ids and repeated rows stay; an empty table gives an empty result; further columns are not read.
     """
-    found = staged(occurrences(docs, id_col, text_col), "occurrences")
-    more = discovered(found, staged(pattern_confidence(found), "confident"))
-    joined = _with_more(found, more).withColumn("base", _plain("base"))
+    found = staged(occurrences(docs.select(id_col, text_col), id_col, text_col), "occurrences")
+    joined = _with_more(found, discovered(found, members(found))).withColumn("base", _plain("base"))
     return joined.select(F.col("doc").alias(id_col), "sha", "base", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
@@ -173,12 +192,12 @@ def span_text(spans: str) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each span of personal data replaced by its kind in angle brackets; overlapping spans give one.
 
-    Other columns and rows without spans stay as they are, null texts too.
+    Other columns and rows without spans stay as they are, null ids and texts and repeated rows too; texts have no
+    bound of length. An empty table gives an empty result.
     """
-    found = staged(occurrences(docs, id_col, text_col), "occurrences")
-    more = discovered(found, staged(pattern_confidence(found), "confident"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
-    rows = _with_more(rows, more).withColumn("spans", F.array_sort(F.concat(base_spans("text"), "more")))
+    found = staged(occurrences(docs, id_col, text_col, keep=True), "occurrences")
+    rows = _with_more(found, discovered(found, members(found)))
+    rows = rows.withColumns({"text": F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit("")), "spans": F.array_sort(F.concat(_plain("base"), "more"))})
     names = F.array(*map(F.lit, KINDS))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
