@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import discard, staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,8 +36,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = staged(edges, "edges")
     state = _state(edges)
     while state[0]:
-        edges = staged(_small_star(_large_star(edges)), "edges")
+        before, edges = edges, staged(_small_star(_large_star(edges)), "edges")
         last, state = state, _state(edges)
+        discard(before)
         if last == state:
             break
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

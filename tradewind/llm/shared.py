@@ -4,40 +4,100 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 
-#: Rows of a side that checked_broadcast() may broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of a side that checked_broadcast() may broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset.
+
+    Our own is local to the machine, so only a local master may do without the setting.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _delete(spark: SparkSession, path: str, on_exit: bool = False) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if on_exit:
+        files.deleteOnExit(place)
+    else:
+        files.delete(place, True)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back, which cuts its lineage.
 
-    The files outlive lost executors and go when the driver's JVM ends.
+    The files outlive lost executors and go with discard(), or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stages/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows, else df as it is."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    _delete(spark, path, on_exit=True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    for made in _scratch:
+        made.append(out)
+    return out
+
+
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The list of tables that are staged inside, so that they can be discarded when the result is written."""
+    _scratch.append([])
+    try:
+        yield _scratch[-1]
+    finally:
+        _scratch.pop()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of staged() tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.stage_path)
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """About how much memory the rows of df take, counted by Spark: strings, bytes and elements of arrays by their number."""
+
+    def width(column: Column, kind) -> Column:
+        if isinstance(kind, StringType | BinaryType):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(kind, ArrayType):
+            if isinstance(kind.elementType, StringType | BinaryType):
+                return F.aggregate(F.coalesce(column, F.array().cast(kind)), F.lit(32), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 16)
+            each = 8 * (1 + len(kind.elementType.fields)) if hasattr(kind.elementType, "fields") else 8
+            return F.coalesce(F.size(column), F.lit(0)) * each + 32
+        if isinstance(kind, MapType):
+            return F.coalesce(F.size(column), F.lit(0)) * 64 + 32
+        return F.lit(8)
+
+    fields = [width(F.col(f"`{f.name}`"), f.dataType).cast("long") for f in df.schema.fields]
+    row = fields[0]
+    for x in fields[1:]:
+        row = row + x
+    return df.agg(F.sum(row + 16)).first()[0] or 0
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most `limit` bytes, else df as it is. Best given a staged table."""
+    return F.broadcast(df) if size_in_bytes(df) <= limit else df
 
 
 def partitions(spark: SparkSession) -> int:

@@ -9,6 +9,8 @@ that others were copied from, and against one member that a hash draws; members
 lie in different components then follow, all of them, so no link between components is lost.
 
 Near copies by the similarity of their shingles use the same linking, with the first shingles of each text as keys.
+There a pair counts in a bucket only if what both texts have left from that shingle on can still make them as similar
+(positional filter), so that texts which merely share a frequent passage make no pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import checked_broadcast, staged
+from .shared import checked_broadcast, discard, partitions, staged
 
 #: Shingles hashed at a time, which bounds the memory that a long text takes.
 BLOCK = 1 << 16
+#: Texts worked on at a time.
+ROWS = 256
 #: How many different draws of a bucket's first partner there are.
 DRAWS = 8
 
@@ -71,13 +75,20 @@ def shingle_set(text: str | None, size: int = 5, seed: int = 42) -> list[int]:
     return np.unique(hashes).view(np.int64).tolist()
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS rows, which bounds what a batch's results take."""
+    for x in batches:
+        for k in range(0, len(x), ROWS):
+            yield x.slice(k, ROWS)
+
+
 def _per_text(df: DataFrame, id_col: str, text_col: str, f: Callable, name: str, kind: str) -> DataFrame:
     """(id, name) with f of each whole text, in Arrow batches."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     arrow = {"long": pa.int64(), "array<long>": pa.list_(pa.int64())}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in sliced(batches):
             values = pa.array([f(t.as_py()) for t in x.column(1)], arrow)
             yield pa.RecordBatch.from_arrays([x.column(0), values], ["id", name])
 
@@ -113,8 +124,8 @@ def link_buckets(indexes: list[DataFrame], verify: Callable[[DataFrame], DataFra
 
     The indexes share no keys; buckets of one node are left out of each in turn, which bounds the memory.
     verify takes pairs (a, b) and returns those that are linked. Buckets have no limit of size: see the module's text.
-    With possible, indexes also have a node's size m. possible(m, m2, shared) is a condition on two sizes, and on the
-    number of shared buckets where that is known (else None), without which a pair cannot be linked.
+    With possible, indexes also have a node's size m and its rest r in the bucket. possible(m, r, m2, r2) is a
+    condition on two nodes of a bucket; every linked pair has a bucket in which it holds.
     """
     kept = []
     for part in indexes:
@@ -122,25 +133,29 @@ def link_buckets(indexes: list[DataFrame], verify: Callable[[DataFrame], DataFra
         kept.append(staged(part.join(shared, "key", "left_semi"), "buckets"))
     index = reduce(DataFrame.union, kept)
     if not possible:
-        index = index.withColumn("m", F.lit(0))
-    allowed = possible or (lambda m, m2, shared: F.lit(True))
-    draw = F.struct(F.xxhash64("id", F.pmod(F.xxhash64("key"), F.lit(DRAWS))).alias("h"), F.struct("id", "m").alias("rep"))
-    first = index.groupBy("key").agg(F.min(draw).alias("d"), F.min(F.struct("id", "m")).alias("least"))
-    first = first.select("key", F.inline(F.array_distinct(F.array("d.rep", "least"))).alias("rep", "m2"))
-    pairs = index.join(first, "key").where((F.col("id") != F.col("rep")) & allowed(F.col("m"), F.col("m2"), None))
-    pairs = pairs.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
+        index = index.withColumns({"m": F.lit(0), "r": F.lit(0)})
+    allowed = possible or (lambda m, r, m2, r2: F.lit(True))
+    fits = allowed(F.col("m"), F.col("r"), F.col("m2"), F.col("r2"))
+    draw = F.struct(F.xxhash64("id", F.pmod(F.xxhash64("key"), F.lit(DRAWS))).alias("h"), F.struct("id", "m", "r").alias("rep"))
+    first = index.groupBy("key").agg(F.min(draw).alias("d"), F.min(F.struct("id", "m", "r")).alias("least"))
+    first = first.select("key", F.inline(F.array_distinct(F.array("d.rep", "least"))).alias("rep", "m2", "r2"))
+    pairs = index.join(first, "key").where((F.col("id") != F.col("rep")) & fits)
+    pairs = staged(pairs.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct(), "pairs")
     linked = staged(verify(pairs), "links")
     found = connected_components(linked)
     # The pairs of a bucket that are in different components, or in none yet. All buckets that they share are open.
-    grouped = index.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("component"))
+    grouped = index.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "m", "r", F.coalesce("component", "id").alias("component"))
     open_keys = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     grouped = staged(grouped.join(open_keys, "key", "left_semi"), "open")
-    other = grouped.withColumnsRenamed({"id": "id2", "component": "component2", "m": "m2"})
-    rest = grouped.join(other, "key").where((F.col("component") < F.col("component2")) & allowed(F.col("m"), F.col("m2"), None))
-    rest = rest.groupBy(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).agg(F.count("*").alias("shared"), F.min("m").alias("m"), F.min("m2").alias("m2"))
-    rest = rest.where(allowed(F.col("m"), F.col("m2"), F.col("shared"))).select("a", "b")
-    more = staged(verify(rest.join(pairs, ["a", "b"], "left_anti")), "links")
-    return connected_components(linked.union(more))
+    discard(*kept)
+    other = grouped.withColumnsRenamed({"id": "id2", "component": "component2", "m": "m2", "r": "r2"})
+    rest = grouped.join(other, "key").where((F.col("component") < F.col("component2")) & fits)
+    rest = staged(rest.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    discard(grouped, pairs)
+    more = staged(verify(rest), "links")
+    components = staged(connected_components(linked.union(more)), "components")
+    discard(rest, more, linked)
+    return components
 
 
 def link_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -149,6 +164,8 @@ def link_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     component is the smallest fingerprint, as a signed number, that can be reached.
     """
     nodes = fps.select("fp").where("fp is not null").distinct()
+    # The variants of one fingerprint are many rows; few fingerprints to a task keep their exchange in memory.
+    nodes = nodes.repartition(4 * partitions(fps.sparkSession), "fp")
     index = nodes.select(F.explode(deletion_variants([F.col("fp")], segments_for(radius))).alias("key"), F.col("fp").alias("id"))
     found = link_buckets([index], lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     return found.select(F.col("node").alias("fp"), "component")
@@ -216,7 +233,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     frequent, counts = np.ascontiguousarray(often[:, 0]), np.ascontiguousarray(often[:, 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
+        for x in sliced(batches):
             found = [np.array(shingle_set(t.as_py(), size), np.int64) for t in x.column(1)]
             firsts = pa.array([prefix(s, frequent, counts, similarity) for s in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array([len(s) for s in found], pa.int32()), firsts], ["id", "sha", "m", "p"])
@@ -227,24 +244,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Texts of one class are equal; a repeated id may stand for two of them.
     nodes = rows.withColumnRenamed("id", "node").join(named, ["sha", "node"], "left_semi").dropDuplicates(["node"])
     nodes = staged(nodes.select("node", "m", "p"), "nodes")
-    keys = nodes.select(F.explode("p").alias("key"), F.col("node").alias("id"), "m")
+    keys = nodes.select("node", "m", F.posexplode("p").alias("place", "key")).select("key", F.col("node").alias("id"), "m", (F.col("m") - F.col("place")).alias("r"))
     index = [keys.where(F.pmod("key", F.lit(PARTS)) == k) for k in range(PARTS)]
 
-    def possible(m: Column, m2: Column, shared: Column | None) -> Column:
+    def least(m: Column, m2: Column) -> Column:
+        """Shingles that two texts as similar share at least."""
+        return F.lit(similarity / (1 + similarity)) * (m + m2) - F.lit(1e-6)
+
+    def possible(m: Column, r: Column, m2: Column, r2: Column) -> Column:
+        """Positional filter: at the first shingle that two texts share, all that they share is still to come in both."""
+        return F.least(r, r2) >= least(m, m2)
+
+    def may_be_close(m: Column, m2: Column, shared: Column) -> Column:
         """Of two texts, the one whose prefix ends first in the order shares with the other no more than what both prefixes share and its rest."""
-        least = F.lit(similarity / (1 + similarity)) * (m + m2) - F.lit(1e-6)
-        if shared is None:
-            return F.least(m, m2) >= least
         rest = lambda n: F.ceil(F.lit(similarity) * n - F.lit(1e-9)) - 1
-        return shared + F.greatest(rest(m), rest(m2)) >= least
+        return shared + F.greatest(rest(m), rest(m2)) >= least(m, m2)
 
     def of(table: DataFrame, end: str) -> DataFrame:
         return table.select(*(F.col(c).alias(end if c in ("id", "node") else c + end) for c in table.columns))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(of(nodes, "a"), "a").join(of(nodes, "b"), "b")
-        close = staged(both.where(possible(F.col("ma"), F.col("mb"), F.size(F.array_intersect("pa", "pb")))).select("a", "b"), "close")
-        wanted = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+        close = staged(both.where(may_be_close(F.col("ma"), F.col("mb"), F.size(F.array_intersect("pa", "pb")))).select("a", "b"), "close")
+        wanted = staged(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "wanted")
         full = staged(sets(texts.join(checked_broadcast(wanted), "id", "left_semi")).dropDuplicates(["id"]), "shingles")
         both = close.join(of(full, "a"), "a").join(of(full, "b"), "b")
         common = F.size(F.array_intersect("sa", "sb"))
@@ -256,6 +278,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """df without the rows whose group of near copies holds a smaller id; columns and other rows stay as they are."""
+    """df without the rows whose group of near copies holds a smaller id; columns and other rows stay as they are.
+
+    Rows without an id and texts without words stay; of rows that repeat an id all stay or all go. See
+    near_duplicates() for what a group is.
+    """
     losers = near_duplicates(df, id_col, text_col, size, similarity).where("id > component_id").select(F.col("id").alias(id_col)).distinct()
-    return df.join(losers, id_col, "left_anti").select(*df.columns)
+    return df.join(checked_broadcast(staged(losers, "losers")), id_col, "left_anti").select(*df.columns)

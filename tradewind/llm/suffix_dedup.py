@@ -30,8 +30,6 @@ from .shared import checked_broadcast, staged
 GRAM = 32
 #: Starts of strings that are worked on at a time, which bounds the memory that a long text takes.
 BLOCK = 1 << 18
-#: Documents whose lists may be broadcast.
-LISTS = 200_000
 
 _BASE = 0x5851F42D4C957F2D
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -142,7 +140,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
                     if len(s):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(np.full(len(s), copy)), pa.array(name[mine]), pa.array(h.of(s, s + length).view(np.int64)), pa.array(at[mine].astype(np.int32))], ["doc", "copy", "bucket", "string", "start"])
 
-    each = keyed.select("doc", "copy", "text").join(checked_broadcast(lists, LISTS), ["doc", "copy"]).mapInArrow(strings, "doc long, copy long, bucket long, string long, start int")
+    each = keyed.select("doc", "copy", "text").join(checked_broadcast(lists), ["doc", "copy"]).mapInArrow(strings, "doc long, copy long, bucket long, string long, start int")
     place = F.dense_rank().over(Window.partitionBy("bucket", "string").orderBy(*order))
     again = each.withColumn("at", place).where("at > 1").select("doc", "copy", "start", (F.col("start") + length).alias("end"))
     spans = equal.union(again).groupBy("doc", "copy").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
@@ -169,7 +167,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     """
     keyed = _keyed(docs, id_col, text_col)
     found = repeated_spans(keyed, length)
-    rows = keyed.join(checked_broadcast(found, LISTS), ["doc", "copy"], "left")
+    rows = keyed.join(checked_broadcast(found), ["doc", "copy"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
