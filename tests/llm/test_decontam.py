@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from tradewind.llm.decontam import RADIUS, BLOCKS, close_masks, drop_contaminated, find_passages
+from tradewind.llm.decontam import BLOCKS, CUTS, RADIUS, close_masks, drop_contaminated, find_passages
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -87,7 +87,9 @@ def test_recall_of_edited_items(spark):
 
 def test_blocks_guarantee_the_radius():
     """Any two fingerprints within the radius have a block that differs in no more bits than the masks cover."""
-    masks, rng = set(close_masks(RADIUS // BLOCKS)), random.Random(1)
+    rng = random.Random(1)
+    masks = {bits: set(close_masks(bits, RADIUS // BLOCKS)) for bits in (12, 13)}
+    assert sum(bits for _, bits in CUTS) == 64
     for _ in range(2000):
         x = sum(1 << b for b in rng.sample(range(128), RADIUS))
-        assert any((x >> 16 * k) & 0xFFFF in masks for k in range(BLOCKS))
+        assert any((x >> 64 * half + low) & ((1 << bits) - 1) in masks[bits] for half in (0, 1) for low, bits in CUTS)

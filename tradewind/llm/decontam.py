@@ -4,7 +4,7 @@ Windows are laid where a document shares a word shingle with an item, lined up w
 similarity 0. Which items a window is held against, the fingerprints tell: they are cut into BLOCKS blocks, so that
 of two fingerprints within the radius one block differs in at most radius // BLOCKS bits. Items are indexed under all
 such variants of their blocks, windows look their blocks up, and the shingles of the pairs within the radius are
-compared. Of 16-bit blocks that may differ in 3 bits, one pair in twelve that have nothing in common meets.
+compared. Of blocks of 13 bits that may differ in 2, one pair in nine that have nothing in common meets.
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from .shared import checked_broadcast, staged
 
 #: Bits of a fingerprint in which a window and its item may differ, of 128. At a similarity of 0.8 about 19 do, with a deviation of 4.
-RADIUS = 31
-#: Blocks of 16 bits that a fingerprint is cut into.
-BLOCKS, BITS = 8, 16
+RADIUS = 29
+#: The blocks that each half of a fingerprint is cut into: (lowest bit, bits).
+CUTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+BLOCKS = 2 * len(CUTS)
 
 
 def normal_words(text: Column) -> Column:
@@ -48,16 +49,24 @@ def with_fingerprint(df: DataFrame) -> DataFrame:
     return again.withColumn("fp2", simhash("_again")).drop("_again")
 
 
-def blocks() -> Column:
-    """An array of (block, value): the fingerprint of the columns fp and fp2 cut into blocks."""
-    half = BLOCKS // 2
-    cut = lambda k: F.shiftrightunsigned("fp" if k < half else "fp2", BITS * (k % half)).bitwiseAND(F.lit((1 << BITS) - 1))
-    return F.array(*(F.struct(F.lit(k).alias("block"), cut(k).alias("value")) for k in range(BLOCKS)))
+def blocks(errors: int = 0) -> Column:
+    """An array of keys: the blocks of the fingerprint in fp and fp2, and all values that differ from them in at most `errors` bits.
+
+    A key tells the span, the block and its value.
+    """
+    keys = []
+    for k in range(BLOCKS):
+        low, bits = CUTS[k % len(CUTS)]
+        value = F.shiftrightunsigned("fp" if k < len(CUTS) else "fp2", low).bitwiseAND(F.lit((1 << bits) - 1))
+        place = F.shiftleft(F.col("span").cast("long"), 20).bitwiseOR(F.lit(k << 16))
+        masks = F.lit(close_masks(bits, errors)).cast("array<bigint>")
+        keys.append(F.transform(masks, lambda m, value=value, place=place: value.bitwiseXOR(m).bitwiseOR(place)))
+    return F.concat(*keys)
 
 
-def close_masks(errors: int) -> list[int]:
+def close_masks(bits: int, errors: int) -> list[int]:
     """What a block is to be xored with for all blocks that differ from it in at most `errors` bits."""
-    return [sum(1 << b for b in some) for n in range(errors + 1) for some in combinations(range(BITS), n)]
+    return [sum(1 << b for b in some) for n in range(errors + 1) for some in combinations(range(bits), n)]
 
 
 def differing(a: str, b: str) -> Column:
@@ -94,11 +103,10 @@ def find_passages(docs: DataFrame, items: DataFrame, size: int = 5, similarity:
     windows = staged(with_fingerprint(windows.where(F.col("n_words") >= size)), "windows")
 
     # Fingerprints within the radius.
-    left = windows.select("doc", "start", "span", "n_words", "fp", "fp2", F.inline(blocks()))
-    right = known.select("item", F.col("n_words").alias("span"), F.col("fp").alias("fp_item"), F.col("fp2").alias("fp2_item"), F.inline(blocks()))
-    masks = F.lit(close_masks(radius // BLOCKS)).cast("array<bigint>")
-    right = right.withColumn("value", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))))
-    near = left.join(right, ["span", "block", "value"]).where(differing("", "_item") <= radius)
+    left = windows.select("doc", "start", "span", "n_words", "fp", "fp2", F.explode(blocks()).alias("key"))
+    right = staged(known.select("item", F.col("n_words").alias("span"), "fp", "fp2").select("item", F.explode(blocks(radius // BLOCKS)).alias("key")), "index")
+    prints = known.select("item", F.col("fp").alias("fp_item"), F.col("fp2").alias("fp2_item"))
+    near = left.join(checked_broadcast(right), "key").join(checked_broadcast(prints), "item").where(differing("", "_item") <= radius)
     near = staged(near.select("doc", "start", "span", "n_words", "item").distinct(), "near")
 
     # The shingles themselves.
