@@ -101,3 +101,14 @@ def test_ranking_prefers_what_it_is_told():
     y = (x[:, 5] + 0.1 * rng.normal(size=400) > -0.5).astype(int)
     s = Q.fit_ranking(x, y).score(x)
     assert ((s >= 0.7) == y).mean() > 0.9
+
+
+def test_plain_words_have_no_features(spark):
+    """Scores do not change where no word is taken as plain."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    judge = X.learn_toxicity(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    texts = [r.text or "" for r in docs.collect()] + ["iddiot stuppid loosser", "!diot aaab 1diot, (idiot) i.d.i.o.t \u0130diot"]
+    fast = [judge.evidence(t) for t in texts]
+    every = X.Toxicity(judge.model, judge.weights)
+    every.plain = lambda token: False
+    assert fast == [every.evidence(t) for t in texts] and any(fast)

@@ -58,8 +58,11 @@ for _c, _k in INDEX.items():
 SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 BLANK = re.compile(r"\s+")
 TRIPLE = re.compile(r"(.)\1\1")
+REPEATS = re.compile(r"(.)\1+", re.DOTALL)
 DOUBLE = re.compile(r"([^\W\d_])\1")
 WORD = re.compile(r"[^\W\d_]+")
+#: Signs around a word that belong to no word.
+EDGES = ".,;:!?#$%&*|\"'()[]{}<>-_"
 
 
 def letter_codes(text: str) -> np.ndarray:
@@ -197,7 +200,7 @@ def parted(run: str, model: np.ndarray) -> set[str]:
 
 def hides(word: str) -> bool:
     """Whether a written word has more than one reading: signs beside letters, signs between letters, long repeats."""
-    core = word.strip(".,;:!?#$%&*|\"'()[]{}<>-_")
+    core = word.strip(EDGES)
     lead = word[:1] in LEET and len(word) > 1 and word[1].isalpha()
     if core.isalpha():
         return lead or bool(TRIPLE.search(core))
@@ -238,6 +241,11 @@ def undoubled(word: str) -> Iterator[str]:
         yield "".join(x[0] if k in once else x for k, x in enumerate(runs))
 
 
+def collapsed(word: str) -> str:
+    """A word with one letter for each run of equal ones."""
+    return REPEATS.sub(r"\1", word)
+
+
 def word_features(word: str) -> list[str]:
     """A word and its beginnings of 4 to 7 letters."""
     return ["=" + word, *(word[:n] for n in range(4, 8) if len(word) >= n)]
@@ -280,9 +288,28 @@ class Toxicity:
     slope: float = 1.0
     offset: float = -3.0
     kept: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    begins: dict[str, bool] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.names = {f.partition("#")[0] for f in self.weights}
+        self.heads = {collapsed(f.lstrip("="))[:3] for f in self.names}
+
+    def plain(self, token: str) -> bool:
+        """Whether a written word is one of letters only that begins like no feature of the lexicon, doubled letters or not.
+
+        Such words have no features, and nearly all words are such.
+        """
+        low = token.strip(EDGES).lower()
+        if not low.isalpha() or token[0] in LEET:
+            return False
+        head = low[:6]
+        near = self.begins.get(head)
+        if near is None:
+            if len(self.begins) > KEPT_WORDS:
+                self.begins.clear()
+            short = collapsed(head)
+            near = self.begins[head] = any(short[:k] in self.heads for k in (1, 2, 3))
+        return not near and not TRIPLE.search(low)
 
     def features(self, token: str) -> tuple[str, ...]:
         """Those of a written word's features that the lexicon names."""
@@ -295,7 +322,7 @@ class Toxicity:
 
     def evidence(self, text: str) -> float:
         """The three strongest words' weights, each counting half as much as the one before; 0 for a clean text."""
-        found = [x for x in map(self.features, _tokens(text)) if x]
+        found = [x for x in (self.features(t) for t in _tokens(text) if not self.plain(t)) if x]
         if not found:
             return 0.0
         counts = Counter(f for x in found for f in x)
