@@ -98,7 +98,7 @@ def test_inventory(spark, table):
 def test_labels(spark):
     df = spark.createDataFrame([("Brand Socks White 3 pack Small/Medium",), ("x 6-pack BLUE large/x-large -",), (None,), ("Brand -",)], "t string")
     rows = df.select(rootcause.sku_label(F.col("t")), rootcause.clean_product_name(F.col("t"), ["Brand"])).collect()
-    assert [tuple(r) for r in rows] == [("3-pack, White, S/M", "Socks White 3 pack Small/Medium"), ("6-pack, Blue, L/XL", "x 6-pack BLUE large/x-large"), ("?, ?, ?", "Product"), ("?, ?, ?", "Product")]
+    assert [tuple(r) for r in rows] == [("3-pack, white, S/M", "Socks White 3 pack Small/Medium"), ("6-pack, blue, L/XL", "x 6-pack BLUE large/x-large"), ("single, unknown, ?", "Product"), ("single, unknown, ?", "Product")]
 
 
 def test_cash_runs_by_entity(table):
@@ -115,3 +115,22 @@ def test_report_bundle(spark, table, ppc, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/period=LAST_7_DAYS/sales_summary").count() == 1
     with pytest.raises(ValueError):
         report.run_report("none", {})
+
+
+@pytest.mark.parametrize("name", ["sales_breakdown", "compare_periods", "top_keywords", "inventory_risk", "marketing_summary"])
+def test_periods_reach_the_scans(spark, name):
+    """The days of a period are literals that filter the scan of the dates."""
+    from tradewind.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    scans = [x for x in plan.splitlines() if "FileScan" in x and ("o_orderdate" in x or "ts#" in x)]
+    assert scans and all("GreaterThan" in x or "(cast(ts" in x or "date_sub(cast(ts" in x for x in scans)
+
+
+def test_times_in_utc(spark):
+    from tradewind.functions.columns import utc_time
+
+    rows = ["2024-03-01T10:00:00+02:00", "2024-03-01 10:00:00", "2024-03-01T10:00:00Z", "2024-03-01T10:00:00-0530", "2024-03-01", "x", None]
+    df = spark.createDataFrame([(t,) for t in rows], "t string").select(utc_time(F.col("t")).alias("u"))
+    day = dt.datetime(2024, 3, 1)
+    assert [r.u for r in df.collect()] == [day.replace(hour=8), day.replace(hour=10), day.replace(hour=10), day.replace(hour=15, minute=30), day, None, None]

@@ -36,18 +36,19 @@ def sales_table(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.select(
         F.col("l_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("purchase_date"), F.col("l_partkey").cast("string").alias("asin"),
         F.col("p_name").alias("item_name"), F.col("p_name").alias("product_name"), F.col("p_type").alias("type"),
-        F.nullif(F.regexp_extract("p_name", "(red|blue)", 1), F.lit("")).alias("color"), F.nullif(F.regexp_extract("p_name", "(small|large)", 1), F.lit("")).alias("size"),
+        F.nullif(F.regexp_extract("p_name", "(red|blue)", 1), F.lit("")).alias("color"), F.when(F.col("p_size") % 3 == 0, "small").when(F.col("p_size") % 3 == 1, "large").alias("size"),
         F.col("l_quantity").cast("long").alias("quantity"), F.col("l_extendedprice").cast("decimal(18,2)").alias("item_price"), pack.alias("pack_size"),
         F.col("o_orderstatus").alias("sales_channel"), F.col("n_name").alias("ship_state"), F.col("l_shipdate").cast("timestamp").alias("imported_at"),
         "l_linenumber", "l_suppkey",
     )
-    return prep.derive_sales(rows)
+    # The latest order tells the latest sale, so the facts need not be read for it.
+    return P.with_latest_from(prep.derive_sales(rows), orders, date="o_orderdate", purchase_date="o_orderdate")
 
 
 SALES = """
 sales AS (
   SELECT l_orderkey AS order_id, CAST(o_orderdate AS TIMESTAMP) AS purchase_date, CAST(o_orderdate AS DATE) AS date, CAST(l_partkey AS VARCHAR) AS asin, p_name AS item_name, p_name AS product_name,
-    p_type AS type, nullif(regexp_extract(p_name, '(red|blue)', 1), '') AS color, nullif(regexp_extract(p_name, '(small|large)', 1), '') AS size,
+    p_type AS type, nullif(regexp_extract(p_name, '(red|blue)', 1), '') AS color, CASE p_size % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'large' END AS size,
     CAST(l_quantity AS BIGINT) AS quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS revenue, CAST(l_quantity AS BIGINT) AS units_sold_amazon,
     CAST(l_quantity AS BIGINT) * CASE p_type WHEN 'MEDIUM' THEN 3 WHEN 'LARGE' THEN 6 ELSE 1 END AS pairs_sold, o_orderstatus AS sales_channel, n_name AS ship_state,
     CAST(l_shipdate AS TIMESTAMP) AS imported_at, l_linenumber, l_suppkey
@@ -66,7 +67,7 @@ def ppc_table(spark: SparkSession, d: str) -> DataFrame:
         count("click").alias("clicks"), F.when(kind == "click", (F.col("value") * 0.25).cast("decimal(18,4)")).otherwise(0).alias("spend"),
         F.when(kind == "purchase", amount).otherwise(0).alias("sales"), count("purchase").alias("orders"), count("purchase").alias("units"),
     )
-    return prep.row_ratios(rows)
+    return P.with_latest_from(prep.row_ratios(rows), rows, date="date")
 
 
 PPC = f"""

@@ -45,6 +45,14 @@ def text_time(column: Column, formats: tuple[str, ...] = ()) -> Column:
     return F.coalesce(F.try_to_timestamp(column), *(F.try_to_timestamp(column, F.lit(f)) for f in formats))
 
 
+def utc_time(column: Column) -> Column:
+    """Text in ISO form, with an offset or none (then it is UTC), as a time in UTC without a zone; other text gives null."""
+    text = F.trim(column.cast("string"))
+    zoned = F.when(text.rlike(r"(?i)(Z|UTC|[+-][0-9]{2}:?[0-9]{2})$") & text.rlike(":"), text).otherwise(F.concat(text, F.lit("Z")))
+    moment = F.try_to_timestamp(F.when(text.rlike(":"), zoned).otherwise(F.concat(text, F.lit("T00:00:00Z"))))
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
+
+
 def week_ending_saturday(day: Column) -> Column:
     return F.next_day(F.date_sub(day, 1), "SAT")
 

@@ -1,6 +1,7 @@
 """Periods: by calendar days, with matching prior periods, and by timestamps. The two differ on purpose.
 
-Bounds are one-row DataFrames; their size is fixed, so they are broadcast.
+The reference day is one value that the driver gets first, so that a period is a filter by literal days: it reaches the
+scans below the joins, and prunes partitions, files and row groups.
 """
 
 from __future__ import annotations
@@ -17,10 +18,35 @@ def _checked(period: str) -> str:
     return period
 
 
+def with_latest_from(df: DataFrame, source: DataFrame, **columns: str) -> DataFrame:
+    """df, told that the latest values of some of its columns can be read from columns of a narrower table."""
+    df.latest_from = {name: (source, column) for name, column in columns.items()}
+    return df
+
+
+def _latest(df: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    source, name = getattr(df, "latest_from", {}).get(column, (df, column))
+    return source, F.col(name)
+
+
+def day_of(df: DataFrame, date_col: str = "date", as_of: str | None = None) -> Column:
+    """The day as_of, else the latest day of df, as a literal; null if there is none."""
+    if as_of is not None:
+        return F.lit(as_of).cast("date")
+    source, day = _latest(df, date_col)
+    return F.lit(source.agg(F.max(day).cast("date")).first()[0]).cast("date")
+
+
+def moment_of(df: DataFrame, ts_col: str) -> Column | None:
+    """The latest moment of df, as a literal; None if there is none."""
+    source, at = _latest(df, ts_col)
+    micros = source.agg(F.unix_micros(F.max(at).cast("timestamp"))).first()[0]
+    return None if micros is None else F.timestamp_micros(F.lit(micros))
+
+
 def reference_day(df: DataFrame, date_col: str = "date", as_of: str | None = None) -> DataFrame:
     """One row (ref): the day as_of, else the latest day of df."""
-    latest = F.max(date_col) if as_of is None else F.max(F.lit(as_of).cast("date"))
-    return df.agg(latest.alias("ref"))
+    return df.sparkSession.range(1).select(day_of(df, date_col, as_of).alias("ref"))
 
 
 def start_of(period: str, ref: Column) -> Column:
@@ -40,6 +66,12 @@ def prior_of(period: str, ref: Column) -> tuple[Column, Column]:
     return first, F.date_add(first, F.datediff(ref, F.trunc(ref, "year")))
 
 
+def four_days(period: str, ref: Column) -> dict[str, Column]:
+    """First and last day of a named period and of the one before."""
+    a, b = prior_of(period, ref)
+    return {"current_start": start_of(period, ref), "current_end": ref, "prior_start": a, "prior_end": b}
+
+
 def period_bounds(df: DataFrame, period: str, date_col: str = "date", as_of: str | None = None) -> DataFrame:
     """One row (start_date, end_date)."""
     ref = F.col("ref")
@@ -52,14 +84,11 @@ def prior_bounds(df: DataFrame, period: str, date_col: str = "date", as_of: str
     return reference_day(df, date_col, as_of).select(a.alias("start_date"), b.alias("end_date"))
 
 
-def within(df: DataFrame, bounds: DataFrame, date_col: str = "date") -> DataFrame:
-    """df between the bounds' days, with them as columns start_date and end_date; null days and null bounds drop rows."""
-    joined = df.join(F.broadcast(bounds), F.col(date_col).between(F.col("start_date"), F.col("end_date")))
-    return joined
-
-
 def in_period(df: DataFrame, period: str, date_col: str = "date", as_of: str | None = None) -> DataFrame:
-    return within(df, period_bounds(df, period, date_col, as_of), date_col)
+    """df in a named period, with its days as columns start_date and end_date; null days drop rows."""
+    ref = day_of(df, date_col, as_of)
+    start = start_of(period, ref)
+    return df.where(F.col(date_col).between(start, ref)).withColumns({"start_date": start, "end_date": ref})
 
 
 def between_days(df: DataFrame, first: str | None, last: str | None, date_col: str = "date") -> DataFrame:
@@ -69,29 +98,26 @@ def between_days(df: DataFrame, first: str | None, last: str | None, date_col: s
     return df.where(F.col(date_col).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
 
 
-def last_days(df: DataFrame, days: int, date_col: str = "date", ref: DataFrame | None = None) -> DataFrame:
+def last_days(df: DataFrame, days: int, date_col: str = "date", ref: Column | None = None) -> DataFrame:
     """The last so many days up to the reference day (df's latest one, if none is given)."""
-    ref = reference_day(df, date_col) if ref is None else ref
-    return df.join(F.broadcast(ref), (F.col(date_col) >= F.date_sub("ref", days - 1)) & (F.col(date_col) <= F.col("ref"))).drop("ref")
+    ref = day_of(df, date_col) if ref is None else ref
+    return df.where(F.col(date_col).between(F.date_sub(ref, days - 1), ref))
 
 
-def labelled_days(df: DataFrame, days: int, date_col: str = "date", ref: DataFrame | None = None) -> DataFrame:
+def labelled_days(df: DataFrame, days: int, date_col: str = "date", ref: Column | None = None) -> DataFrame:
     """Rows of the last so many days and as many before, with slice 'current' or 'prior'."""
-    ref = reference_day(df, date_col) if ref is None else ref
+    ref = day_of(df, date_col) if ref is None else ref
     day = F.col(date_col)
-    joined = df.join(F.broadcast(ref), (day > F.date_sub("ref", 2 * days)) & (day <= F.col("ref")))
-    return joined.withColumn("slice", F.when(day > F.date_sub("ref", days), "current").otherwise("prior")).drop("ref")
+    rows = df.where((day > F.date_sub(ref, 2 * days)) & (day <= ref))
+    return rows.withColumn("slice", F.when(day > F.date_sub(ref, days), "current").otherwise("prior"))
 
 
-def labelled_period(df: DataFrame, period: str, date_col: str = "date", as_of: str | None = None) -> DataFrame:
-    """Rows of a named period and of the one before, with slice and the four bounds."""
-    ref = F.col("ref")
-    a, b = prior_of(period, ref)
-    bounds = reference_day(df, date_col, as_of).select(start_of(period, ref).alias("current_start"), ref.alias("current_end"), a.alias("prior_start"), b.alias("prior_end"))
-    day = F.col(date_col)
-    now = day.between(F.col("current_start"), F.col("current_end"))
-    joined = df.join(F.broadcast(bounds), day.between(F.col("prior_start"), F.col("current_end")) & (now | (day <= F.col("prior_end"))))
-    return joined.withColumn("slice", F.when(now, "current").otherwise("prior"))
+def labelled_period(df: DataFrame, period: str, ref: Column, date_col: str = "date") -> DataFrame:
+    """Rows of a named period up to the reference day and of the one before, with slice 'current' or 'prior'."""
+    days, day = four_days(period, ref), F.col(date_col)
+    now = day.between(days["current_start"], days["current_end"])
+    rows = df.where(day.between(days["prior_start"], days["current_end"]) & (now | (day <= days["prior_end"])))
+    return rows.withColumn("slice", F.when(now, "current").otherwise("prior"))
 
 
 def since_timestamp(df: DataFrame, period: str, ts_col: str) -> DataFrame:
@@ -100,9 +126,8 @@ def since_timestamp(df: DataFrame, period: str, ts_col: str) -> DataFrame:
     Unknown periods mean 30 days. Without such a column, or without any moment in it, df comes back as it is. For
     days at midnight, 7 days span 8 dates.
     """
-    if ts_col not in df.columns:
+    last = moment_of(df, ts_col) if ts_col in df.columns else None
+    if last is None:
         return df
-    last = F.col("last")
     start = {"LAST_7_DAYS": last - F.expr("interval 7 days"), "MTD": F.date_trunc("month", last), "YTD": F.date_trunc("year", last)}.get(period, last - F.expr("interval 30 days"))
-    bound = df.agg(F.max(F.col(ts_col).cast("timestamp")).alias("last")).select(start.alias("since"))
-    return df.join(F.broadcast(bound), F.col("since").isNull() | (F.col(ts_col).cast("timestamp") >= F.col("since"))).drop("since")
+    return df.where(F.col(ts_col).cast("timestamp") >= start)

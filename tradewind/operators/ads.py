@@ -42,7 +42,9 @@ def daily_sales_and_ads(sales: DataFrame, ppc: DataFrame) -> DataFrame:
 
 def marketing_summary(sales: DataFrame, ppc: DataFrame, days: int) -> DataFrame:
     """One row: sales with ads of the last days and as many before; total_orders adds up the days' distinct orders."""
-    rows = P.labelled_days(daily_sales_and_ads(sales, ppc), days)
+    ref = P.day_of(sales)
+    recent = [P.last_days(df, 2 * days, ref=ref) for df in (sales, ppc)]
+    rows = P.labelled_days(daily_sales_and_ads(*recent), days, ref=ref)
     now, columns = F.col("slice") == "current", ("total_sales", "total_orders", *COUNTS)
     both = rows.agg(*ad_sums(now, "current_", columns), *ad_sums(~now, "prior_", columns))
     for p in ("current_", "prior_"):
@@ -71,14 +73,15 @@ def top_keywords(ppc: DataFrame, days: int = 30, min_clicks: int = 1, top_n: int
 def bid_recommendations(ppc: DataFrame, days: int = 30, target_acos: float = 0.25, min_clicks: int = 10, min_spend: float = 15, pause_clicks: int = 20, scale_cvr: float = 0.12, top_n: int = 50, keys: tuple[str, ...] = ("keyword", "match_type")) -> DataFrame:
     """By keyword: totals, ratios, what to do with the bid, why, and the bid to try; the largest spends first."""
     c = F.col
+    # Actions, reasons and the factor of a reduced bid.
     table = keyword_totals(ppc, days, list(keys))
     at_target = c("cpc") * F.coalesce(ratio(F.lit(target_acos), c("acos")), F.lit(1.0))
     rules = [
         ((c("clicks") < min_clicks) & (c("spend") < min_spend), "Hold", "Not enough data yet", c("cpc")),
-        ((c("clicks") >= pause_clicks) & (c("sales") == 0), "Pause", "Clicks without sales", F.lit(0.0)),
-        ((c("sales") == 0) & (c("spend") >= min_spend), "Reduce bid", "Spend without sales", c("cpc") * 0.7),
+        ((c("clicks") >= pause_clicks) & (c("sales") == 0), "Pause", "Enough clicks with no sales", F.lit(0.0)),
+        ((c("sales") == 0) & (c("spend") >= min_spend), "Reduce bid", "Spend present but no sales yet", c("cpc") * 0.7),
         (c("acos") > target_acos, "Reduce bid", "ACOS above target", at_target),
-        ((c("acos") <= target_acos) & (c("cvr") >= scale_cvr), "Increase bid", "ACOS at target and good conversion", at_target),
+        ((c("acos") <= target_acos) & (c("cvr") >= scale_cvr), "Increase bid", "Profitable keyword with strong conversion", at_target),
     ]
     advice = F.when(F.lit(False), F.lit(None))
     for rule, action, why, bid in rules:
@@ -91,6 +94,7 @@ def bid_recommendations(ppc: DataFrame, days: int = 30, target_acos: float = 0.2
 def keyword_actions(table: DataFrame) -> DataFrame:
     """A table of ad totals and ratios with recommended_action; nulls count as 0."""
     v = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("spend", "sales", "clicks", "acos", "cvr")}
+    # Thresholds and actions.
     action = (
         F.when((v["spend"] >= 15) & (v["sales"] == 0) & (v["clicks"] >= 10), "Pause / Reduce")
         .when((v["acos"] >= 0.45) & (v["spend"] >= 15), "Lower Bid")
@@ -111,6 +115,7 @@ def inventory_risk(stock: DataFrame, sales: DataFrame, days: int = 30) -> DataFr
     left = ratio(F.col("stock"), F.col("daily_demand"))
     table = table.withColumn("days_of_inventory", left)
     d = F.col("days_of_inventory")
+    # Levels and their days.
     level = F.when(d.isNull(), "No recent demand").when(d <= 14, "Critical").when(d <= 30, "High").when(d <= 60, "Medium").otherwise("Low")
     rank = F.when(d.isNull(), 4).when(d <= 14, 0).when(d <= 30, 1).when(d <= 60, 2).otherwise(3)
     return table.withColumns({"risk_level": level, "severity": rank}).orderBy("risk_level", F.asc_nulls_last("days_of_inventory"), "asin")

@@ -21,6 +21,7 @@ PPC_NAMES = {
 MONEY = ["item_price", "item_tax", "shipping_price", "shipping_tax", "gift_wrap_price", "gift_wrap_tax", "item_promotion_discount", "ship_promotion_discount"]
 PACKS = {"single": 1, "3-pack": 3, "6-pack": 6}
 UNIT_NAMES = ["quantity available", "available", "available_units", "current_total_units", "inventory", "units", "quantity"]
+# The colours and sizes that a product's name tells.
 COLORS, SIZES = "(White|Black|Blue)", "(Small/Medium|Large/X-Large|Large)"
 
 
@@ -53,8 +54,7 @@ def prep_sales(orders: DataFrame, catalogue: DataFrame, channel: str = "Amazon.c
     names = normalized(catalogue, {"item": "item_name"})
     clash = [c for c in names.columns if c in raw.columns and c != "asin"]
     names = names.withColumnsRenamed({c: f"{c}_asin" for c in clash})
-    known = names.select("asin").where(F.col("asin").isNotNull()).distinct()
-    sales = raw.join(known, "asin", "left_semi").where(F.col("sales_channel") == channel)
+    sales = of_catalogue(raw, names).where(F.col("sales_channel") == channel)
     sales = sales.withColumn("purchase_date", text_time(F.col("purchase_date"), formats)).join(names, "asin", "left")
     found = {name: F.nullif(F.regexp_extract("item_name", pattern, 1), F.lit("")) for name, pattern in (("color", COLORS), ("size", SIZES))}
     numbers = {c: F.col(c).try_cast("double") for c in MONEY if c in sales.columns} | {"quantity": F.col("quantity").try_cast("double").try_cast("long")}
@@ -62,6 +62,11 @@ def prep_sales(orders: DataFrame, catalogue: DataFrame, channel: str = "Amazon.c
     return derive_sales(sales.withColumn("pack_size", pack_size(F.col("type"))))
 
 
+def of_catalogue(df: DataFrame, catalogue: DataFrame, key: str = "asin") -> DataFrame:
+    """The rows whose product is in the catalogue; null products are in none."""
+    return df.join(catalogue.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+
+
 def prep_ppc(ppc: DataFrame, campaign: str | None = None) -> DataFrame:
     """Clean ad rows of campaigns that hold a token (in any case): numbers from text, days, and row ratios; rows without a day go."""
     raw = normalized(ppc, PPC_NAMES)
@@ -92,9 +97,9 @@ def prep_business_report(report: DataFrame, shift: bool = True) -> DataFrame:
 
 
 def latest_snapshot(snapshots: DataFrame, date_col: str = "snapshot_date") -> DataFrame:
-    """The rows of the latest day."""
-    last = snapshots.agg(F.max(date_col).alias("_last"))
-    return snapshots.join(F.broadcast(last), F.col(date_col) == F.col("_last")).drop("_last")
+    """The rows of the latest day, which is a literal, so that the scan is pruned; none of an empty table."""
+    last = snapshots.agg(F.max(date_col)).first()[0]
+    return snapshots.where(F.col(date_col) == F.lit(last))
 
 
 def dedupe_latest(df: DataFrame, keys: list[str], latest: str, then: list[str]) -> DataFrame:
@@ -104,8 +109,18 @@ def dedupe_latest(df: DataFrame, keys: list[str], latest: str, then: list[str])
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys that come more than once, with n."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    """Keys that come more than once, with n, the most frequent first."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), *keys)
+
+
+def dedupe_check(df: DataFrame, keys: list[str], latest: str, then: list[str]) -> DataFrame:
+    """One row: the rows, keys and repeated keys of df, and the rows and repeated keys that dedupe_latest() leaves."""
+
+    def tally(rows: DataFrame, prefix: str) -> DataFrame:
+        each = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+        return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"{prefix}_rows"), F.count("*").alias(f"{prefix}_keys"), F.count_if(F.col("n") > 1).alias(f"{prefix}_repeated"))
+
+    return tally(df, "all").join(F.broadcast(tally(dedupe_latest(df, keys, latest, then), "kept")))  # two tables of one row
 
 
 def campaigns(ppc: DataFrame) -> DataFrame:

@@ -60,11 +60,11 @@ def brand_split(ppc: DataFrame, token: str) -> DataFrame:
     return rows.withColumns(ad_ratios("", ("cvr", "roas")))
 
 
-def waste_terms(ppc: DataFrame, token: str, min_spend: float = 5) -> DataFrame:
-    """Search terms without the brand that cost more than min_spend and brought no order."""
-    rows = ppc.where(brand_type(token) == "Non-Branded").dropna(subset=["search_term"])
-    table = rows.groupBy("search_term").agg(*ad_sums()).withColumns(ad_ratios("", ("cvr",)))
-    return table.where((F.col("spend") > min_spend) & (F.col("orders") == 0)).orderBy(F.desc("spend"), "search_term")
+def waste_terms(ppc: DataFrame, token: str, min_spend: float = 5, keys: tuple[str, ...] = ("search_term",)) -> DataFrame:
+    """Search terms (or finer keys) without the brand that cost more than min_spend and brought no order."""
+    rows = ppc.where(brand_type(token) == "Non-Branded").dropna(subset=list(keys))
+    table = rows.groupBy(*keys).agg(*ad_sums()).withColumns(ad_ratios("", ("cvr",)))
+    return table.where((F.col("spend") > min_spend) & (F.col("orders") == 0)).orderBy(F.desc("spend"), *keys)
 
 
 def perf_by_match_type(ppc: DataFrame, days: Days | None = None) -> DataFrame:
@@ -98,12 +98,13 @@ def conversion_baseline(report: DataFrame, base: list[str], recent: list[str]) -
 
 
 def sku_label(text: Column) -> Column:
-    """pack, color, size of a product's text, in short; ? for what it does not tell."""
+    """pack, color and size of a product's text, in short."""
+    # The words that tell a label, in the order that they are looked for, and the labels.
     low = F.lower(F.coalesce(text, F.lit("")))
     has = lambda *parts: F.greatest(*(low.contains(p) for p in parts), F.lit(False))
-    pack = F.when(has("3 pack", "3-pack", "white 3", "black 2"), "3-pack").when(has("6 pair", "6-pack"), "6-pack").otherwise("?")
-    color = F.when(has("white"), "White").when(has("black"), "Black").when(has("blue"), "Blue").otherwise("?")
-    size = F.when(has("small/medium"), "S/M").when(has("large/x-large"), "L/XL").otherwise("?")
+    pack = F.when(has("3 pack", "3-pack", "white 3", "black 2"), "3-pack").when(has("6 pair", "6-pack"), "6-pack").otherwise("single")
+    color = F.when(has("white"), "white").when(has("black"), "black").when(has("blue"), "blue").otherwise("unknown")
+    size = F.when(has("small/medium", "small, medium"), "S/M").when(has("large/x-large", "large, x-large"), "L/XL").otherwise("?")
     return F.concat_ws(", ", pack, color, size)
 
 

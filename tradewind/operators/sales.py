@@ -1,7 +1,8 @@
 """Sales reports: totals, breakdowns, product tables, comparisons of a period with the one before.
 
 Comparisons read the facts once: rows are labelled by slice and summed conditionally, which equals the full outer
-join of two aggregates. Shares and limits work on aggregates.
+join of two aggregates; orders are told apart first, so that no row is expanded for distinct counts. Shares and limits
+work on aggregates.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from ..functions import periods as P
 from ..functions.columns import pct_change, ratio, ratio0, total
 
 GROUPS = ("type", "color", "item_name", "asin", "size")
+#: Columns whose distinct values grow with the data.
+MANY = ("asin", "item_name")
 METRICS = ("revenue", "pairs_sold", "units_sold_amazon", "orders")
 
 
@@ -27,6 +30,18 @@ def sums(when: Column | None = None, prefix: str = "") -> list[Column]:
     ]
 
 
+def both_sums(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """By keys: sums() as current_ and prior_ columns, of rows labelled by slice."""
+    keys = keys or []
+    values = {"revenue": "double", "pairs_sold": "long", "units_sold_amazon": "long"}
+    orders = rows.groupBy(*keys, "slice", "order_id").agg(*(F.sum(c).alias(c) for c in values))
+    out = []
+    for prefix, of in (("current_", F.col("slice") == "current"), ("prior_", F.col("slice") == "prior")):
+        out += [total(F.when(of, F.col(c))).cast(kind).alias(prefix + c) for c, kind in values.items()]
+        out.append(F.count_if(of & F.col("order_id").isNotNull()).alias(f"{prefix}orders"))
+    return orders.groupBy(*keys).agg(*out)
+
+
 def kpis(prefix: str = "") -> dict[str, Column]:
     """Average order value and prices of summed columns; 0 where there is nothing to divide by."""
     revenue = F.col(f"{prefix}revenue")
@@ -46,17 +61,25 @@ def sales_summary(sales: DataFrame, period: str, as_of: str | None = None) -> Da
 
 def sales_summary_days(sales: DataFrame, days: int) -> DataFrame:
     """One row: totals and averages of the last days and of as many before, and five percent changes."""
-    rows = P.labelled_days(sales, days)
-    now = F.col("slice") == "current"
-    both = rows.agg(*sums(now, "current_"), *sums(~now, "prior_")).withColumns(kpis("current_") | kpis("prior_"))
+    both = both_sums(P.labelled_days(sales, days)).withColumns(kpis("current_") | kpis("prior_"))
     names = ("revenue", "orders", "pairs_sold", "units_sold_amazon", "aov")
     return both.withColumns({f"{n}_change_pct": pct_change(F.col(f"current_{n}"), F.col(f"prior_{n}")) for n in names})
 
 
-def _share(df: DataFrame, column: str, name: str, scale: float = 1.0) -> DataFrame:
-    """df, an aggregate, with a column's share of its total over all rows; 0 if the total is not above 0."""
-    whole = df.agg(F.sum(column).alias("_whole"))
-    return df.join(F.broadcast(whole)).withColumn(name, ratio0(F.col(column), F.col("_whole")) * scale).drop("_whole")
+def _with_whole(df: DataFrame, columns: dict[str, str], keys: list[str]) -> DataFrame:
+    """df, an aggregate by keys, with totals of some columns over all its rows.
+
+    A window over few groups; where groups grow with the data, which no one task should hold, a second aggregate of one
+    row.
+    """
+    if any(k in MANY or k == "product_name" for k in keys):
+        return df.join(F.broadcast(df.agg(*(F.sum(c).alias(n) for c, n in columns.items()))))
+    return df.withColumns({n: F.sum(c).over(Window.partitionBy(F.lit(1))) for c, n in columns.items()})
+
+
+def _share(df: DataFrame, column: str, name: str, keys: list[str], scale: float = 1.0) -> DataFrame:
+    """df, an aggregate by keys, with a column's share of its total over all rows; 0 if the total is not above 0."""
+    return _with_whole(df, {column: "_whole"}, keys).withColumn(name, ratio0(F.col(column), F.col("_whole")) * scale).drop("_whole")
 
 
 def sales_breakdown(sales: DataFrame, period: str, group_by: str, metric: str = "revenue", top_n: int = 10, as_of: str | None = None) -> DataFrame:
@@ -64,7 +87,7 @@ def sales_breakdown(sales: DataFrame, period: str, group_by: str, metric: str =
     _one_of(group_by, GROUPS), _one_of(metric, METRICS)
     rows = P.in_period(sales, period, as_of=as_of).dropna(subset=[group_by])
     grouped = rows.groupBy(group_by).agg(*sums(), F.first("start_date").alias("start_date"), F.first("end_date").alias("end_date"))
-    return _share(grouped, metric, f"{metric}_pct").orderBy(F.desc(metric), group_by).limit(top_n)
+    return _share(grouped, metric, f"{metric}_pct", [group_by]).orderBy(F.desc(metric), group_by).limit(top_n)
 
 
 def _long(pairs: DataFrame, names: list[str]) -> DataFrame:
@@ -75,9 +98,8 @@ def _long(pairs: DataFrame, names: list[str]) -> DataFrame:
 
 def compare_periods(sales: DataFrame, period: str, as_of: str | None = None) -> DataFrame:
     """(metric, current, prior, change_abs, change_pct) of a named period and the one before."""
-    rows = P.labelled_period(sales, period, as_of=as_of)
-    now = F.col("slice") == "current"
-    both = rows.agg(*sums(now, "current_"), *sums(~now, "prior_")).withColumns(kpis("current_") | kpis("prior_"))
+    rows = P.labelled_period(sales, period, P.day_of(sales, as_of=as_of))
+    both = both_sums(rows).withColumns(kpis("current_") | kpis("prior_"))
     table = _long(both, [*METRICS, "aov", "avg_unit_price", "avg_price_per_pair"])
     return table.withColumns({"change_abs": F.col("current") - F.col("prior"), "change_pct": pct_change(F.col("current"), F.col("prior"))})
 
@@ -89,40 +111,33 @@ def comparison_view(sales: DataFrame, period: str, as_of: str | None = None) ->
 
 def kpi_comparison(sales: DataFrame, period: str, as_of: str | None = None) -> DataFrame:
     """One row: the percent changes of comparison_view(), and the period's bounds."""
-    rows = P.labelled_period(sales, period, as_of=as_of)
-    now = F.col("slice") == "current"
-    days = [F.first(c).alias(c) for c in ("current_start", "current_end", "prior_start", "prior_end")]
-    both = rows.agg(*sums(now, "current_"), *sums(~now, "prior_"), *days).withColumns(kpis("current_") | kpis("prior_"))
+    ref = P.day_of(sales, as_of=as_of)
+    both = both_sums(P.labelled_period(sales, period, ref)).withColumns(kpis("current_") | kpis("prior_") | P.four_days(period, ref))
     changes = [pct_change(F.col(f"current_{n}"), F.col(f"prior_{n}")).alias(f"{n}_change_pct") for n in ("revenue", "orders", "pairs_sold", "aov")]
     return both.select(*changes, "current_start", "current_end", "prior_start", "prior_end")
 
 
-def _drivers(sales: DataFrame, period: str, keys: list[str], metric: str, as_of: str | None) -> DataFrame:
-    rows = P.labelled_period(sales, period, as_of=as_of).dropna(subset=keys)
-    now = F.col("slice") == "current"
-    grouped = rows.groupBy(*keys).agg(*sums(now, "current_"), *sums(~now, "prior_"))
+def _drivers(sales: DataFrame, period: str, keys: list[str], metric: str, ref: Column) -> DataFrame:
+    grouped = both_sums(P.labelled_period(sales, period, ref).dropna(subset=keys), keys)
     table = grouped.select(*keys, F.col(f"current_{metric}").alias("current"), F.col(f"prior_{metric}").alias("prior"))
     table = table.withColumn("change_abs", F.col("current") - F.col("prior"))
-    whole = table.agg(F.sum("change_abs").alias("_whole"))
     share = F.coalesce(ratio(F.col("change_abs"), F.col("_whole")), F.lit(0.0)) * 100
-    return table.join(F.broadcast(whole)).withColumn("contribution_pct", share).drop("_whole")
+    return _with_whole(table, {"change_abs": "_whole"}, keys).withColumn("contribution_pct", share).drop("_whole")
 
 
 def compare_drivers(sales: DataFrame, period: str, group_by: str, metric: str = "revenue", top_n: int = 10, as_of: str | None = None) -> DataFrame:
     """By one column: the metric now and before, its change and share of the whole change, the largest gains first."""
     _one_of(group_by, GROUPS), _one_of(metric, METRICS)
-    return _drivers(sales, period, [group_by], metric, as_of).orderBy(F.desc("change_abs"), group_by).limit(top_n)
+    return _drivers(sales, period, [group_by], metric, P.day_of(sales, as_of=as_of)).orderBy(F.desc("change_abs"), group_by).limit(top_n)
 
 
 def explain_change(sales: DataFrame, period: str, dimension: str, metric: str = "revenue", top_n: int = 10, as_of: str | None = None) -> DataFrame:
     """compare_drivers() with percent changes and bounds; products go by asin and item_name."""
     _one_of(dimension, GROUPS), _one_of(metric, METRICS)
     keys = ["asin", "item_name"] if dimension == "asin" else [dimension]
-    ref = F.col("ref")
-    a, b = P.prior_of(period, ref)
-    bounds = P.reference_day(sales, as_of=as_of).select(P.start_of(period, ref).alias("current_start"), ref.alias("current_end"), a.alias("prior_start"), b.alias("prior_end"))
-    table = _drivers(sales, period, keys, metric, as_of).withColumn("change_pct", pct_change(F.col("current"), F.col("prior")))
-    return table.join(F.broadcast(bounds)).orderBy(F.desc("change_abs"), *keys).limit(top_n)
+    ref = P.day_of(sales, as_of=as_of)
+    table = _drivers(sales, period, keys, metric, ref).withColumn("change_pct", pct_change(F.col("current"), F.col("prior")))
+    return table.withColumns(P.four_days(period, ref)).orderBy(F.desc("change_abs"), *keys).limit(top_n)
 
 
 def top_products(sales: DataFrame, days: int, metric: str = "revenue", top_n: int = 10) -> DataFrame:
@@ -136,9 +151,8 @@ def top_products(sales: DataFrame, days: int, metric: str = "revenue", top_n: in
 def mix(sales: DataFrame, days: int, key: str = "type") -> DataFrame:
     """By one column, over the last days: revenue, pairs and orders, and shares of revenue and pairs (null of a zero total)."""
     grouped = P.last_days(sales, days).dropna(subset=[key]).groupBy(key).agg(*sums()).drop("units_sold_amazon")
-    whole = grouped.agg(F.sum("revenue").alias("_r"), F.sum("pairs_sold").alias("_p"))
     shares = {"revenue_pct": ratio(F.col("revenue"), F.col("_r")), "pairs_pct": ratio(F.col("pairs_sold"), F.col("_p"))}
-    return grouped.join(F.broadcast(whole)).withColumns(shares).drop("_r", "_p")
+    return _with_whole(grouped, {"revenue": "_r", "pairs_sold": "_p"}, [key]).withColumns(shares).drop("_r", "_p")
 
 
 def sales_by(sales: DataFrame, period: str, keys: list[str], top_n: int | None = None, ts_col: str = "purchase_date") -> DataFrame:
@@ -150,7 +164,7 @@ def sales_by(sales: DataFrame, period: str, keys: list[str], top_n: int | None =
         return sales.limit(0).select(F.lit("").alias("missing"))
     rows = P.since_timestamp(sales, period, ts_col).dropna(subset=keys)
     grouped = rows.groupBy(*keys).agg(*sums()).drop("units_sold_amazon").withColumn("aov", ratio0(F.col("revenue"), F.col("orders")))
-    shared = _share(grouped, "revenue", "revenue_share", 100.0)
+    shared = _share(grouped, "revenue", "revenue_share", keys, 100.0)
     return shared if top_n is None else shared.orderBy(F.desc("revenue"), *keys).limit(top_n)
 
 

@@ -33,9 +33,9 @@ def by_week(df: DataFrame, key: Column, aggregates: list[Column], also: list[str
     return with_gap_weeks(weekly).fillna(0)
 
 
-def lookback(df: DataFrame, ref: DataFrame, weeks: int = 12) -> DataFrame:
+def lookback(df: DataFrame, ref: Column, weeks: int = 12) -> DataFrame:
     """Rows from weeks * 7 - 1 days before the reference day on."""
-    return df.join(F.broadcast(ref), F.col("date") >= F.date_sub("ref", weeks * 7 - 1)).drop("ref")
+    return df.where(F.col("date") >= F.date_sub(ref, weeks * 7 - 1))
 
 
 def three_pack_share(sales: DataFrame, token: str = "3-pack") -> DataFrame:
@@ -47,7 +47,7 @@ def three_pack_share(sales: DataFrame, token: str = "3-pack") -> DataFrame:
 
 def metric_trend_weekly(sales: DataFrame, ppc: DataFrame, weeks: int = 12, token: str = "3-pack") -> DataFrame:
     """By week ending on Saturday: sales, ads and ratios of the last weeks; the first week may be partial, empty ones stay."""
-    ref = P.reference_day(sales)
+    ref = P.day_of(sales)
     sold, ads = lookback(sales, ref, weeks), lookback(ppc, ref, weeks)
     week = week_ending_saturday(F.col("date"))
     weekly = by_week(sold, week, sums(), gaps=True)
@@ -84,8 +84,8 @@ def metric_trend_summary(weekly: DataFrame, metric: str) -> DataFrame:
 
 def revenue_tacos_trend(sales: DataFrame, ppc: DataFrame, weeks: int = 12) -> DataFrame:
     """By week from Monday: revenue, spend, tacos (0 without revenue), and a label; empty weeks stay away."""
-    last = P.reference_day(sales).union(P.reference_day(ppc)).agg(F.max("ref").alias("ref"))
-    since = lambda df: df.join(F.broadcast(last), F.col("date") >= F.date_sub("ref", 7 * weeks)).drop("ref")
+    last = F.greatest(P.day_of(sales), P.day_of(ppc))
+    since = lambda df: df.where(F.col("date") >= F.date_sub(last, 7 * weeks))
     week = week_from_monday(F.col("date"))
     sold = by_week(since(sales), week, [total(F.col("revenue")).cast("double").alias("revenue")])
     ads = by_week(since(ppc), week, [total(F.col("spend")).cast("double").alias("spend")])
@@ -144,8 +144,9 @@ def weekly_sku_pivot(sales: DataFrame, key: str = "product_name", weeks: int = 3
 
     Long form: one row a product and week, so that the weeks need not be known before.
     """
-    bound = sales.agg((F.max(ts_col) - F.expr(f"interval {7 * weeks} days")).alias("since"))
-    rows = sales.join(F.broadcast(bound), F.col(ts_col) >= F.col("since")).drop("since").dropna(subset=[key])
+    last = P.moment_of(sales, ts_col)
+    since = sales.limit(0) if last is None else sales.where(F.col(ts_col) >= last - F.expr(f"interval {7 * weeks} days"))
+    rows = since.dropna(subset=[key])
     what = [total(F.col("units_sold_amazon")).cast("long").alias("units"), total(F.col("revenue")).cast("double").alias("_revenue")]
     week = week_from_monday(F.col(ts_col)).alias("week")
     each = rows.groupBy(F.col(key).alias("product"), week).agg(*what)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import ads, prep, sales, trends
@@ -34,10 +35,17 @@ def rolling_days(period: str) -> int:
     return 7 if period == "LAST_7_DAYS" else 30
 
 
-def load_all(spark: SparkSession, folder: str, campaign: str | None = None) -> dict[str, DataFrame]:
-    """The prepared tables of a folder of raw exports (orders, asins, ppc, inventory_snapshots), lazily."""
-    raw = {n: scan_table(spark, n, folder) for n in ("orders", "asins", "ppc", "inventory_snapshots")}
-    return {"sales": prep.prep_sales(raw["orders"], raw["asins"]), "ppc": prep.prep_ppc(raw["ppc"], campaign), "inventory": prep.latest_snapshot(raw["inventory_snapshots"])}
+def load_all(spark: SparkSession, folder: str, campaign: str | None = None, channel: str = "Amazon.com") -> dict[str, DataFrame]:
+    """The prepared tables of a folder of raw exports (orders, asins, ppc, inventory_snapshots), lazily.
+
+    Inventory that cannot be read is empty; the other three have to be there.
+    """
+    raw = {n: scan_table(spark, n, folder) for n in ("orders", "asins", "ppc")}
+    try:
+        stock = prep.latest_snapshot(scan_table(spark, "inventory_snapshots", folder))
+    except PySparkException:
+        stock = spark.createDataFrame([], "snapshot_date date, asin string, available double")
+    return {"sales": prep.prep_sales(raw["orders"], raw["asins"], channel), "ppc": prep.prep_ppc(raw["ppc"], campaign), "inventory": stock}
 
 
 def run_report(name: str, tables: dict[str, DataFrame], period: str = "LAST_30_DAYS") -> DataFrame:
@@ -46,10 +54,17 @@ def run_report(name: str, tables: dict[str, DataFrame], period: str = "LAST_30_D
     return REPORTS[name](tables, period, rolling_days(period))
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """df, kept; what it knows of its latest days goes with it."""
+    kept = df.persist()
+    kept.latest_from = getattr(df, "latest_from", {})
+    return kept
+
+
 def report_bundle(tables: dict[str, DataFrame], period: str, path: str, campaign: str = "All Campaigns", names: list[str] | None = None) -> list[str]:
     """Writes each report as Parquet under path/period=<period>/<name>; the facts are kept in memory or on disk meanwhile."""
     held = dict(tables) | {"ppc": prep.of_campaign(tables["ppc"], campaign)}
-    held = {n: df.persist() for n, df in held.items()}
+    held = {n: _held(df) for n, df in held.items()}
     try:
         for name in names or [n for n in REPORTS if n != "inventory_risk" or "inventory" in held]:
             run_report(name, held, period).write.mode("overwrite").parquet(f"{path}/period={period}/{name}")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fixtures import (
@@ -10,6 +13,10 @@ from .fixtures import (
     _read, ads, div, div0, forecast, inventory_table, numeric_total, on_both, on_ppc, on_sales, P, ppc_table, prep, query, report_table, rootcause, sales, sales_table, trends,
 )
 
+from .functions.columns import utc_time
+from .plans import report
+from .sources import tables
+
 __all__ = ["ORACLES", "QUERIES"]
 
 
@@ -21,9 +28,44 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 # Sources and preparation
 
 
-@query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes and reads again: where the cluster keeps its checkpoints, or a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def scan_table(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "lineitem").where("l_quantity > 45").select("l_orderkey", "l_quantity")
+    return tables.scan_table(spark, "lineitem", d).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+def _report_text(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly sums as the text of a business report."""
+    return report_table(spark, d).select(
+        F.date_format(F.date_sub("week", 1), "M/d/yy").alias("Date"), F.concat(F.lit("$"), F.format_number(F.round("ordered_product_sales", 2), 2)).alias("Ordered Product Sales"),
+        F.format_number("sessions", 0).alias("Sessions - Total"), F.concat(F.format_number(F.round("conversion_rate", 2), 2), F.lit("%")).alias("Order Item Session Percentage"),
+    )
+
+
+REPORT_SQL = f"WITH {PPC}, {REPORT} SELECT week - 1 AS date, week, round(ordered_product_sales, 2) AS ordered_product_sales, sessions, round(conversion_rate, 2) AS conversion_rate FROM report"
+
+
+@query(REPORT_SQL)
+def scan_csv_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report written as a file of text and read again."""
+    path = _folder(spark, "report")
+    _report_text(spark, d).write.option("header", True).csv(path)
+    return prep.prep_business_report(tables.scan_csv_report(spark, path))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000000 + CASE event_id % 3 WHEN 0 THEN 0 WHEN 1 THEN -7200 ELSE 19800 END AS moment FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 7 = 0")
+def normalize_ts_utc(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.when(n % 3 == 0, F.when(n % 2 == 0, "Z").otherwise("")).when(n % 3 == 1, "+02:00").otherwise("-05:30"))
+    rows = _read(spark, d, "events").select("event_id", utc_time(F.when(n % 7 == 0, "no time").otherwise(text)).alias("t"))
+    return rows.select("event_id", F.datediff(F.col("t").cast("date"), F.lit("1970-01-01")).cast("long").alias("day"), "t").select(
+        "event_id", (F.col("day") * 86400 + F.hour("t") * 3600 + F.minute("t") * 60 + F.second("t")).alias("moment")
+    )
 
 
 @query(f"WITH {STOCK} SELECT * FROM stock")
@@ -83,13 +125,9 @@ def prep_ppc(spark: SparkSession, d: str) -> DataFrame:
     return prep.prep_ppc(raw, "brand 1").select("date", "campaign", "spend", "ctr", "clicks", "impressions", "ctr_calc")
 
 
-@query(f"WITH {PPC}, {REPORT} SELECT week - 1 AS date, week, round(ordered_product_sales, 2) AS ordered_product_sales, sessions, round(conversion_rate, 2) AS conversion_rate FROM report")
+@query(REPORT_SQL)
 def prep_business_report(spark: SparkSession, d: str) -> DataFrame:
-    text = report_table(spark, d).select(
-        F.date_format(F.date_sub("week", 1), "M/d/yy").alias("Date"), F.concat(F.lit("$"), F.format_number(F.round("ordered_product_sales", 2), 2)).alias("Ordered Product Sales"),
-        F.format_number("sessions", 0).alias("Sessions - Total"), F.concat(F.format_number(F.round("conversion_rate", 2), 2), F.lit("%")).alias("Order Item Session Percentage"),
-    )
-    return prep.prep_business_report(text)
+    return prep.prep_business_report(_report_text(spark, d))
 
 
 @query("SELECT CAST(coalesce(sum(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)), 0) AS DOUBLE) AS total, 0.0::DOUBLE AS missing FROM events")
@@ -112,29 +150,46 @@ on_sales(
     f"SELECT order_id, l_linenumber, asin, quantity, imported_at FROM sales QUALIFY row_number() OVER (PARTITION BY order_id, l_linenumber ORDER BY {', '.join(c + ' DESC' for c in DEDUPE)}) = 1",
 )
 on_sales("duplicate_orders", lambda s: prep.duplicates(s, ["order_id", "l_linenumber"]), "SELECT order_id, l_linenumber, count(*) AS n FROM sales GROUP BY 1, 2 HAVING count(*) > 1")
-on_sales("dedupe_check", lambda s: prep.duplicates(prep.dedupe_latest(s, ["order_id", "l_linenumber"], DEDUPE[0], DEDUPE[1:]), ["order_id", "l_linenumber"]), "SELECT order_id, l_linenumber, count(*) AS n FROM sales WHERE FALSE GROUP BY 1, 2")
-on_sales("semi_catalogue", lambda s: s.join(s.where("quantity > 49").select("asin").distinct(), "asin", "left_semi").agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM sales WHERE asin IN (SELECT asin FROM sales WHERE quantity > 49)")
+TALLY = "CAST(sum(n) AS BIGINT) AS {0}_rows, count(*) AS {0}_keys, count(*) FILTER (n > 1) AS {0}_repeated FROM (SELECT count(*) AS n FROM {1} GROUP BY order_id, l_linenumber)"
+on_sales(
+    "dedupe_check",
+    lambda s: prep.dedupe_check(s, ["order_id", "l_linenumber"], DEDUPE[0], DEDUPE[1:]),
+    f"+kept AS (SELECT * FROM sales QUALIFY row_number() OVER (PARTITION BY order_id, l_linenumber ORDER BY {', '.join(c + ' DESC' for c in DEDUPE)}) = 1) SELECT * FROM (SELECT {TALLY.format('all', 'sales')}), (SELECT {TALLY.format('kept', 'kept')})",
+)
+
+
+@query(f"WITH {SALES} SELECT type, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM sales WHERE asin IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_size <= 40) GROUP BY 1")
+def semi_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    catalogue = _read(spark, d, "part").where("p_size <= 40").select(F.col("p_partkey").cast("string").alias("asin"))
+    return prep.of_catalogue(sales_table(spark, d), catalogue).groupBy("type").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
 
 # Periods
 
 
 @query(
-    f"""WITH {SALES}, p AS (SELECT * FROM (VALUES ('2001-08-01'), ('2001-07-31'), ('2000-03-31'), ('2000-02-29'), ('2001-01-01')) t(d)), q AS (SELECT CAST(d AS DATE) AS ref FROM p WHERE EXISTS (SELECT 1 FROM sales))
+    """WITH q AS (SELECT CAST(max(o_orderdate) AS DATE) AS ref FROM orders GROUP BY date_trunc('month', o_orderdate))
     SELECT ref, 'MTD' AS period, CAST(date_trunc('month', ref) AS DATE) AS start_date, CAST(date_trunc('month', ref) AS DATE) - INTERVAL 1 MONTH AS prior_start,
       CAST(date_trunc('month', ref) - INTERVAL 1 MONTH AS DATE) + CAST(least(day(ref), day(CAST(date_trunc('month', ref) AS DATE) - 1)) AS INT) - 1 AS prior_end FROM q
     UNION ALL SELECT ref, 'YTD', CAST(date_trunc('year', ref) AS DATE), date_trunc('year', ref) - INTERVAL 1 YEAR, CAST(date_trunc('year', ref) - INTERVAL 1 YEAR AS DATE) + CAST(ref - CAST(date_trunc('year', ref) AS DATE) AS INT) FROM q
     UNION ALL SELECT ref, 'LAST_7_DAYS', ref - 6, CAST(ref - 13 AS TIMESTAMP), ref - 7 FROM q UNION ALL SELECT ref, 'LAST_30_DAYS', ref - 29, CAST(ref - 59 AS TIMESTAMP), ref - 30 FROM q"""
 )
 def period_bounds(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for day in ("2001-08-01", "2001-07-31", "2000-03-31", "2000-02-29", "2001-01-01"):
-        for period in P.PERIODS:
-            ref = F.col("ref")
-            a, b = P.prior_of(period, ref)
-            one = P.reference_day(_read(spark, d, "orders"), "o_orderdate", day)
-            one = one.select("ref", F.lit(period).alias("period"), P.start_of(period, ref).alias("start_date"), a.cast("timestamp_ntz").alias("prior_start"), b.alias("prior_end"))
-            out = one if out is None else out.union(one)
-    return out
+    """The bounds of all periods on the latest day of each month's orders."""
+    days = _read(spark, d, "orders").groupBy(F.date_trunc("month", "o_orderdate")).agg(F.max("o_orderdate").cast("date").alias("ref"))
+
+    def bounds(period: str) -> Column:
+        x = P.four_days(period, F.col("ref"))
+        return F.struct(F.lit(period).alias("period"), x["current_start"].alias("start_date"), x["prior_start"].cast("timestamp_ntz").alias("prior_start"), x["prior_end"].alias("prior_end"))
+
+    return days.select("ref", F.inline(F.array(*map(bounds, P.PERIODS))))
+
+
+@query(f"WITH {SALES} SELECT ref - 29 AS start_date, ref AS end_date, ref - 59 AS prior_start, ref - 30 AS prior_end FROM r")
+def latest_period_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The bounds on the latest day of all sales, as the operators give them."""
+    sold = sales_table(spark, d)
+    prior = P.prior_bounds(sold, "LAST_30_DAYS").withColumnsRenamed({"start_date": "prior_start", "end_date": "prior_end"})
+    return P.period_bounds(sold, "LAST_30_DAYS").join(F.broadcast(prior))  # two tables of one row
 
 
 on_sales("filter_period", lambda s: P.in_period(s, "LAST_30_DAYS").agg(F.count("*").alias("n"), F.min("start_date").alias("a"), F.max("end_date").alias("b")), "SELECT count(*) AS n, min(ref) - 29 AS a, min(ref) AS b FROM sales, r WHERE date BETWEEN ref - 29 AND ref")
@@ -146,7 +201,7 @@ on_sales(
     "SELECT (SELECT count(*) FROM sales, r WHERE purchase_date >= last - INTERVAL 7 DAYS) AS n7, (SELECT count(*) FROM sales, r WHERE purchase_date >= date_trunc('year', last)) AS nytd",
 )
 on_sales("rolling_days", lambda s: P.last_days(s, 30).agg(F.count("*").alias("n")), "SELECT count(*) AS n FROM sales, r WHERE date >= ref - 29")
-on_sales("lookback_weeks", lambda s: trends.lookback(s, P.reference_day(s)).agg(F.count("*").alias("n"), F.min("date").alias("a")), "SELECT count(*) AS n, min(date) AS a FROM sales, r WHERE date >= ref - 83")
+on_sales("lookback_weeks", lambda s: trends.lookback(s, P.day_of(s)).agg(F.count("*").alias("n"), F.min("date").alias("a")), "SELECT count(*) AS n, min(date) AS a FROM sales, r WHERE date >= ref - 83")
 
 # Sales
 
@@ -247,7 +302,7 @@ FOUR = ("acos", "roas", "ctr", "cvr")
 on_both("ppc_kpis", lambda s, p: ads.ppc_kpis(p, s, "LAST_7_DAYS"), f"SELECT *, {RATIOS(FOUR, '', FOUR)}, {div0('spend', 'revenue')} AS tacos FROM (SELECT {ADS()} FROM ppc, pr WHERE date >= ref - 7), (SELECT CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales, r WHERE purchase_date >= last - INTERVAL 7 DAYS)")
 on_ppc("top_keywords", lambda p: ads.top_keywords(p, 30, 5), f"SELECT *, {RATIOS(FIVE)} FROM (SELECT keyword, match_type, {ADS()} FROM ppc, pr WHERE date >= ref - 29 GROUP BY 1, 2) WHERE clicks >= 5 ORDER BY sales DESC, keyword, match_type LIMIT 20")
 KT = f"(SELECT *, {RATIOS(FIVE)} FROM (SELECT search_term, match_type, {ADS()} FROM ppc, pr WHERE date >= ref - 29 GROUP BY 1, 2))"
-BIDS = [("clicks < 2 AND spend < 15", "Hold", "Not enough data yet", "cpc"), ("clicks >= 4 AND sales = 0", "Pause", "Clicks without sales", "0.0"), ("sales = 0 AND spend >= 15", "Reduce bid", "Spend without sales", "cpc * 0.7"), ("acos > 0.25", "Reduce bid", "ACOS above target", "cpc * coalesce(0.25::DOUBLE / nullif(acos, 0), 1)"), ("acos <= 0.25 AND cvr >= 0.12", "Increase bid", "ACOS at target and good conversion", "cpc * coalesce(0.25::DOUBLE / nullif(acos, 0), 1)")]
+BIDS = [("clicks < 2 AND spend < 15", "Hold", "Not enough data yet", "cpc"), ("clicks >= 4 AND sales = 0", "Pause", "Enough clicks with no sales", "0.0"), ("sales = 0 AND spend >= 15", "Reduce bid", "Spend present but no sales yet", "cpc * 0.7"), ("acos > 0.25", "Reduce bid", "ACOS above target", "cpc * coalesce(0.25::DOUBLE / nullif(acos, 0), 1)"), ("acos <= 0.25 AND cvr >= 0.12", "Increase bid", "Profitable keyword with strong conversion", "cpc * coalesce(0.25::DOUBLE / nullif(acos, 0), 1)")]
 CASES = ", ".join(f"CASE {' '.join(f'WHEN {b[0]} THEN {v(b)}' for b in BIDS)} ELSE {e} END AS {n}" for n, v, e in (("action", lambda b: f"'{b[1]}'", "'Hold'"), ("reason", lambda b: f"'{b[2]}'", "'Borderline or stable performance'"), ("suggested_cpc", lambda b: f"CAST({b[3]} AS DOUBLE)", "cpc")))
 on_ppc("bid_recommendations", lambda p: ads.bid_recommendations(p, min_clicks=2, pause_clicks=4, top_n=100000, keys=("search_term", "match_type")), f"SELECT *, {CASES}, 30 AS period_days, 0.25::DOUBLE AS target_acos FROM {KT}")
 on_ppc("keyword_actions", lambda p: ads.keyword_actions(ads.keyword_totals(p, 30, ["search_term", "match_type"])).select("search_term", "match_type", "recommended_action"), f"SELECT search_term, match_type, CASE WHEN spend >= 15 AND sales = 0 AND clicks >= 10 THEN 'Pause / Reduce' WHEN coalesce(acos, 0) >= 0.45 AND spend >= 15 THEN 'Lower Bid' WHEN coalesce(acos, 0) <= 0.25 AND sales > 0 AND coalesce(cvr, 0) >= 0.12 THEN 'Scale' WHEN sales > 0 THEN 'Monitor' ELSE 'Low Data' END AS recommended_action FROM {KT}")
@@ -256,7 +311,12 @@ QUERIES["inventory_risk"] = lambda spark, d: ads.inventory_risk(prep.latest_snap
 ORACLES["inventory_risk"] = f"WITH {SALES}, {RISK[1:]} SELECT * FROM z"
 QUERIES["critical_count"] = lambda spark, d: ads.critical_count(QUERIES["inventory_risk"](spark, d))
 ORACLES["critical_count"] = f"WITH {SALES}, {RISK[1:]} SELECT count(*) FILTER (risk_level IN ('Critical', 'High')) AS critical_count FROM z"
-on_ppc("perf_by_match_type", rootcause.perf_by_match_type, f"SELECT match_type, {ADS(columns=('clicks', 'spend', 'sales', 'orders'))} FROM ppc GROUP BY 1")
+for name, days in (("", None), ("_good", GOOD), ("_bad", BAD)):
+    on_ppc(
+        f"perf_by_match_type{name}",
+        lambda p, days=days: rootcause.perf_by_match_type(p, days),
+        f"SELECT match_type, {ADS(columns=('clicks', 'spend', 'sales', 'orders'))} FROM ppc {'WHERE date BETWEEN {!r} AND {!r}'.format(*days) if days else ''} GROUP BY 1",
+    )
 
 # Trends
 
@@ -305,7 +365,8 @@ on_sales("hero_sku_weekly", lambda s: trends.by_week(s.where("item_name = 'red w
 TYPES = ["ECONOMY", "SMALL", "MEDIUM", "LARGE", "PROMO", "STANDARD"]
 PIVOT = ", ".join(f"{{}}CAST(sum(CASE WHEN type = '{t}' THEN revenue END) AS DOUBLE){{}} AS {t}" for t in TYPES)
 on_sales("pivot_type", lambda s: trends.pivot_weeks(s, "type", TYPES, fill=False), f"SELECT {MON} AS week, {PIVOT.replace('{}', '')} FROM sales GROUP BY 1")
-on_sales("pivot_sku", lambda s: trends.pivot_weeks(s, "type", TYPES), f"SELECT {MON} AS week, {', '.join(f'coalesce(CAST(sum(CASE WHEN type = {chr(39)}{t}{chr(39)} THEN revenue END) AS DOUBLE), 0) AS {t}' for t in TYPES)} FROM sales GROUP BY 1")
+ITEMS = [f"{a} {b}" for a in ("blue", "cold", "hot", "large", "new", "old", "red", "small") for b in ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")]
+on_sales("pivot_sku", lambda s: trends.pivot_weeks(s, "item_name", ITEMS), f"SELECT {MON} AS week, {', '.join(f'coalesce(CAST(sum(revenue) FILTER (item_name = {chr(39)}{t}{chr(39)}) AS DOUBLE), 0) AS {chr(34)}{t}{chr(34)}' for t in ITEMS)} FROM sales GROUP BY 1")
 on_sales(
     "weekly_sku_pivot",
     trends.weekly_sku_pivot,
@@ -326,7 +387,12 @@ on_ppc("keyword_compare", lambda p: rootcause.keyword_compare(p, GOOD, BAD), KC)
 on_ppc("keyword_compare_active", lambda p: rootcause.keyword_compare_active(rootcause.keyword_compare(p, GOOD, BAD)), f"SELECT * FROM ({KC}) WHERE good_spend > 10 AND bad_spend > 10")
 BRAND = f"CASE WHEN lower(search_term) LIKE '%{TOKEN}%' THEN 'Branded' ELSE 'Non-Branded' END"
 on_ppc("brand_split", lambda p: rootcause.brand_split(p, TOKEN), f"SELECT *, {RATIOS(('cvr', 'roas'))} FROM (SELECT {MON} AS week, {BRAND} AS brand_type, {ADS()} FROM ppc GROUP BY 1, 2)")
-on_ppc("waste_terms", lambda p: rootcause.waste_terms(p.where("match_type = 'm3'"), TOKEN), f"SELECT *, {RATIOS(('cvr',))} FROM (SELECT search_term, {ADS()} FROM ppc WHERE match_type = 'm3' AND {BRAND} = 'Non-Branded' GROUP BY 1) WHERE spend > 5 AND orders = 0")
+for name, keys in (("waste_terms", ("search_term",)), ("waste_terms_by_match_type", ("search_term", "match_type"))):
+    on_ppc(
+        name,
+        lambda p, keys=keys: rootcause.waste_terms(p, TOKEN, keys=keys),
+        f"SELECT *, {RATIOS(('cvr',))} FROM (SELECT {', '.join(keys)}, {ADS()} FROM ppc WHERE {BRAND} = 'Non-Branded' GROUP BY {', '.join(keys)}) WHERE spend > 5 AND orders = 0",
+    )
 on_sales("sku_mix", lambda s: rootcause.sku_mix(s, SPLIT).withColumn("share", F.round("share", 9)), f"SELECT period, item_name, revenue, round({div('revenue', 'sum(revenue) OVER (PARTITION BY period)')}, 9) AS share FROM (SELECT CASE WHEN date < '{SPLIT}' THEN 'before' ELSE 'after' END AS period, item_name, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales GROUP BY 1, 2)")
 on_sales(
     "type_compare",
@@ -337,10 +403,25 @@ BASE, RECENT = ["2001-07-09", "2001-07-16"], ["2001-07-23", "2001-07-30"]
 QUERIES["conversion_baseline"] = lambda spark, d: _rounded(rootcause.conversion_baseline(report_table(spark, d), BASE, RECENT), "baseline", "recent", "change_pct")
 _avg = lambda days: f"avg(conversion_rate) FILTER (week IN ({', '.join(f'DATE {x!r}' for x in days)}))"
 ORACLES["conversion_baseline"] = f"WITH {PPC}, {REPORT} SELECT round(b, 6) AS baseline, round(c, 6) AS recent, round(c / nullif(b, 0) * 100 - 100, 6) AS change_pct FROM (SELECT {_avg(BASE)} AS b, {_avg(RECENT)} AS c FROM report)"
+# Texts that take each branch of the rules.
+PACK_TEXTS, SIZE_TEXTS = ["3 Pack", "3-pack", "White 3", "black 2", "6 pair", "6-Pack", "WHITE", "black", "none"], ["Small/Medium", "small, medium", "Large/X-Large", "large, x-large", "one size"]
+TEXT = f"item_name || ' ' || ({PACK_TEXTS})[quantity % {len(PACK_TEXTS)} + 1] || ' ' || ({SIZE_TEXTS})[l_suppkey % {len(SIZE_TEXTS)} + 1]"
+LIKE = lambda *parts: " OR ".join(f"contains(t, '{p}')" for p in parts)
+
+
+def _labelled(s: DataFrame) -> DataFrame:
+    one = lambda texts, n: F.get(F.array(*map(F.lit, texts)), (F.col(n) % len(texts)).cast("int"))
+    text = F.concat_ws(" ", "item_name", one(PACK_TEXTS, "quantity"), one(SIZE_TEXTS, "l_suppkey"))
+    return s.select(text.alias("text"), rootcause.sku_label(text).alias("label"), rootcause.clean_product_name(F.col("item_name"), ["red ", "blue "]).alias("name")).distinct()
+
+
 on_sales(
     "sku_label",
-    lambda s: s.select("item_name", rootcause.sku_label(F.concat_ws(" ", "item_name", F.lit("white 3"))).alias("label"), rootcause.clean_product_name(F.col("item_name"), ["red ", "blue "]).alias("name")).distinct(),
-    "SELECT DISTINCT item_name, '3-pack, White, ?' AS label, coalesce(nullif(trim(replace(replace(item_name, 'red ', ''), 'blue ', ''), ' -'), ''), 'Product') AS name FROM sales",
+    _labelled,
+    f"""SELECT DISTINCT text, concat_ws(', ', CASE WHEN {LIKE('3 pack', '3-pack', 'white 3', 'black 2')} THEN '3-pack' WHEN {LIKE('6 pair', '6-pack')} THEN '6-pack' ELSE 'single' END,
+      CASE WHEN {LIKE('white')} THEN 'white' WHEN {LIKE('black')} THEN 'black' WHEN {LIKE('blue')} THEN 'blue' ELSE 'unknown' END,
+      CASE WHEN {LIKE('small/medium', 'small, medium')} THEN 'S/M' WHEN {LIKE('large/x-large', 'large, x-large')} THEN 'L/XL' ELSE '?' END) AS label,
+      coalesce(nullif(trim(replace(replace(item_name, 'red ', ''), 'blue ', ''), ' -'), ''), 'Product') AS name FROM (SELECT *, {TEXT} AS text, lower({TEXT}) AS t FROM sales)""",
 )
 
 # Forecast
@@ -363,3 +444,46 @@ R2 = lambda *c: ", ".join(f"round({x}, 2) AS {x}" for x in c)
 on_sales("scenario_forecast", lambda s: forecast.scenario_forecast(s, entity=SUPPLIER), f"{FC} SELECT * FROM fc")
 on_sales("cashflow", lambda s: _flow(s).select("l_suppkey", "scenario", "month", F.round("cash_flow", 2).alias("cash_flow"), F.round("cash", 2).alias("cash")), f"{FC} SELECT l_suppkey, scenario, month, {R2('cash_flow', 'cash')} FROM cf")
 on_sales("cash_decision_check", lambda s: forecast.cash_decision_check(_flow(s), SUPPLIER).withColumns({c: F.round(c, 2) for c in ("min_cash", "final_cash")}), f"{FC} SELECT l_suppkey, scenario, round(min(cash), 2) AS min_cash, round(arg_max(cash, month), 2) AS final_cash, count(*) FILTER (cash < 0) AS months_negative FROM cf GROUP BY 1, 2")
+
+# The job
+
+
+def _raw_exports(spark: SparkSession, d: str) -> str:
+    """Raw exports of orders, catalogue and ads, written as tables; there are none of inventory."""
+    path = _folder(spark, "exports")
+    sold = sales_table(spark, d)
+    sold.select(
+        F.col("order_id").cast("string").alias("amazon-order-id"), F.date_format("purchase_date", "yyyy-MM-dd'T'HH:mm:ss").alias("purchase-date"), "asin", F.col("item_name").alias("product-name"),
+        F.col("sales_channel").alias("sales-channel"), F.col("quantity").cast("string").alias("quantity"), F.col("revenue").cast("string").alias("item-price"), F.col("ship_state").alias("ship-state"),
+    ).write.parquet(f"{path}/orders.parquet")
+    kind = F.coalesce(*(F.when(F.col("p_type") == a, b) for a, b in KINDS.items()), F.lit("other"))
+    _read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("asin"), F.col("p_name").alias("item"), kind.alias("type")).write.parquet(f"{path}/asins.parquet")
+    names = {"campaign": "Campaign Name", "keyword": "Targeting", "search_term": "Customer Search Term", "match_type": "Match Type", "sales": "7 Day Total Sales", "orders": "7 Day Total Orders (#)", "units": "7 Day Total Units (#)"}
+    cells = [F.col(c).cast("string").alias(names.get(c, c)) for c in ("date", "campaign", "keyword", "match_type", "search_term", "impressions", "clicks", "spend", "sales", "orders", "units")]
+    ppc_table(spark, d).select(*cells).write.parquet(f"{path}/ppc.parquet")
+    return path
+
+
+def _loaded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return report.load_all(spark, _raw_exports(spark, d), "c1", "F")
+
+
+@query(
+    f"""WITH {SALES}, {PPC} SELECT 'sales' AS table_name, count(*) AS n, CAST(sum(pairs_sold) AS DOUBLE) AS total FROM sales WHERE sales_channel = 'F' AND quantity > 0
+    UNION ALL SELECT 'ppc', count(*), CAST(sum(impressions) AS DOUBLE) FROM ppc WHERE campaign = 'c1' UNION ALL SELECT 'inventory', 0, 0"""
+)
+def load_all(spark: SparkSession, d: str) -> DataFrame:
+    loaded = _loaded(spark, d)
+    tally = lambda name, column: loaded[name].agg(F.count("*").alias("n"), F.coalesce(F.sum(column).cast("double"), F.lit(0.0)).alias("total")).select(F.lit(name).alias("table_name"), "n", "total")
+    return tally("sales", "pairs_sold").union(tally("ppc", "impressions")).union(tally("inventory", "available"))
+
+
+@query(
+    f"""WITH {SALES}, f AS (SELECT * REPLACE (CASE type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in KINDS.items())} ELSE 'other' END AS type) FROM sales WHERE sales_channel = 'F'), fr AS (SELECT max(date) AS ref FROM f)
+    SELECT type, revenue, orders, round({div0('revenue', 'sum(revenue) OVER ()')}, 6) AS revenue_pct FROM (SELECT type, CAST(sum(revenue) AS DOUBLE) AS revenue, count(DISTINCT order_id) AS orders FROM f, fr WHERE date BETWEEN ref - 29 AND ref GROUP BY 1)"""
+)
+def report_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """All reports of a period over loaded exports, written; one of them read again."""
+    path = _folder(spark, "bundle")
+    report.report_bundle(_loaded(spark, d), "LAST_30_DAYS", path)
+    return _rounded(spark.read.parquet(f"{path}/period=LAST_30_DAYS/sales_breakdown").select("type", "revenue", "orders", "revenue_pct"), "revenue", "revenue_pct")
