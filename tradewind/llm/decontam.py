@@ -54,14 +54,14 @@ def blocks(errors: int = 0) -> Column:
 
     A key tells the span, the block and its value.
     """
-    keys = []
-    for k in range(BLOCKS):
-        low, bits = CUTS[k % len(CUTS)]
-        value = F.shiftrightunsigned("fp" if k < len(CUTS) else "fp2", low).bitwiseAND(F.lit((1 << bits) - 1))
-        place = F.shiftleft(F.col("span").cast("long"), 20).bitwiseOR(F.lit(k << 16))
-        masks = F.lit(close_masks(bits, errors)).cast("array<bigint>")
-        keys.append(F.transform(masks, lambda m, value=value, place=place: value.bitwiseXOR(m).bitwiseOR(place)))
-    return F.concat(*keys)
+    return F.concat(*(_block_keys(k, errors) for k in range(BLOCKS)))
+
+
+def _block_keys(k: int, errors: int) -> Column:
+    low, bits = CUTS[k % len(CUTS)]
+    value = F.shiftrightunsigned("fp" if k < len(CUTS) else "fp2", low).bitwiseAND(F.lit((1 << bits) - 1))
+    place = F.shiftleft(F.col("span").cast("long"), 20).bitwiseOR(F.lit(k << 16))
+    return F.transform(F.lit(close_masks(bits, errors)).cast("array<bigint>"), lambda m: value.bitwiseXOR(m).bitwiseOR(place))
 
 
 def close_masks(bits: int, errors: int) -> list[int]:
