@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tradewind.llm import suffix_dedup as S
@@ -61,3 +62,24 @@ def test_odd_rows(spark):
     got = sorted(((r.doc_id or 0), r.n_bytes, sum(s.end - s.start for s in r.spans)) for r in S.remove_repeats(df).collect())
     assert got == [(0, 300, 0), (1, 0, 0), (2, 0, 0), (3, 300, 300), (3, 300, 300), (4, 5, 0), (4, 251, 250), (5, 600_000, 599_999), (6, 129, 0), (6, 129, 0)]
     assert S.remove_repeats(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("length", [32, 40, 64, 100, 200])
+def test_refined_names_tell_strings_apart(length):
+    """Equal strings have equal identifiers wherever they stand, others do not; halves agree where their bytes do."""
+    rng = random.Random(length)
+    data = bytes(rng.choices(b"ab", k=300)) + b"abcabc" * 100 + bytes(rng.choices(b"ab", k=300))
+    data += data[100:700]
+    names = S.Names(np.frombuffer(data, np.uint8), length, len(data))
+    seen = {}
+    for k, x in enumerate(names.strings.tolist()):
+        assert seen.setdefault(data[k : k + length], x) == x
+    assert len(set(seen.values())) == len(seen) and len(names.strings) == len(data) - length + 1
+    half = 34
+    p = np.arange(len(names.grams))
+    for side, shift in zip(names.halves(p, half), (0, -half)):
+        seen = {}
+        for k, x in zip(p.tolist(), side.tolist()):
+            if 0 <= k + shift and k + shift + S.GRAM + half <= len(data):
+                assert seen.setdefault(data[k + shift : k + shift + S.GRAM + half], x) == x
+        assert len(set(seen.values())) == len(seen)

@@ -1,19 +1,21 @@
 """Removal of repeated byte strings by bucket-pointer refinement.
 
 A suffix array groups positions whose texts begin alike. Here positions fall into buckets by a q-gram first, and
-buckets are refined by the identifiers that hashing gives to longer stretches around it, until every string of the
-wanted length has a bucket of its own:
+buckets are refined by the bucket identifiers at later offsets: positions of one bucket whose identifiers 32 bytes on
+agree too are in one bucket of 64 bytes, and those of that whose own and later identifiers of 64 bytes agree are in
+one of the wanted length. The identifiers of a round are used again in the next one, so each round costs one lookup.
 
 1. Every string of `length` bytes names the q-gram in it whose hash is smallest as its anchor; equal strings have
    equal anchors at equal places. Positions with one anchor follow one another, so an anchor stands for a run of
    them. Anchors with equal q-grams make the initial buckets.
-2. A bucket is refined by the whole text that an anchor's run spans. In a refined bucket all runs are equal, so all
-   but the earliest are repeats, and the earliest stands for them from then on.
-3. What is left of a bucket is refined by the half windows before and after the q-gram: a string that two runs share
-   holds one of these halves, so runs alone with both halves are done.
-4. The rest is refined by each position's own string; all but the earliest of such a bucket are repeats.
-
-Identifiers are 64-bit hashes within buckets of 64-bit hashes, so that only strings that agree in both are equal.
+2. A bucket is refined by the identifiers of the run's first and last string, which overlap and cover all its text.
+   In a refined bucket all runs are equal, so all but the earliest are repeats, and the earliest stands for them.
+3. What is left of a bucket is refined by the identifiers of the half windows before and after the q-gram: a string
+   that two runs share holds one of these halves, so runs alone with both halves are done.
+4. The rest is refined by each position's own identifier; all but the earliest of such a bucket are repeats.
+
+Bucket identifiers are 64-bit hashes, as ranks would need all positions to be sorted in each round; strings are equal
+if they agree in that of their anchor and in their own.
 """
 
 from __future__ import annotations
@@ -57,24 +59,63 @@ class Hashed:
         return x ^ (x >> np.uint64(29))
 
 
-def _blocks(data: bytes, length: int) -> Iterator[tuple[int, int, int, Hashed]]:
-    """For each block of starts: where it begins, its number of starts, how far it lies in its hashed bytes, and these."""
+def _refined(names: np.ndarray, offset: int) -> np.ndarray:
+    """Bucket identifiers of stretches that are `offset` longer: of a position's identifier and that at the later offset."""
+    x = names[: len(names) - offset] * _MIX + (names[offset:] ^ (names[offset:] >> np.uint64(32))) * np.uint64(_BASE)
+    x = (x ^ (x >> np.uint64(29))) * _MIX
+    return x ^ (x >> np.uint64(32))
+
+
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    out = parts[0]
+    for x in parts[1:]:
+        out = (out * _MIX) ^ ((x.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE))
+        out = out ^ (out >> np.uint64(31))
+    return out
+
+
+class Names:
+    """The bucket identifiers of all positions of some bytes: grams, of GRAM bytes; twice, of 2 * GRAM; strings, of `length`."""
+
+    def __init__(self, data: np.ndarray, length: int, most: int):
+        at = np.arange(len(data) - GRAM + 1)
+        self.size = len(data)
+        self.grams = Hashed(data, most).of(at, at + GRAM)
+        names, n = self.grams, GRAM
+        self.twice = _refined(names, GRAM) if self.size >= 2 * GRAM else np.zeros(0, np.uint64)
+        while 2 * n <= length:
+            names, n = (self.twice if n == GRAM else _refined(names, n)), 2 * n
+        self.strings = _refined(names, length - n) if length > n else names
+
+    def halves(self, p: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of the GRAM + half bytes from p on, and of the half bytes before p with the q-gram; a bucket of their own where the text ends."""
+        out = []
+        for start, own in ((p, np.uint64(1)), (p - half, np.uint64(2))):
+            fits = (start >= 0) & (start + GRAM + half <= self.size)
+            q = np.where(fits, start, 0)
+            # Pieces of GRAM bytes, the last one as far on as the stretch goes, cover it.
+            cover = [*range(0, half, GRAM), half]
+            name = _mixed(*(self.grams[np.minimum(q + k, len(self.grams) - 1)] for k in cover))
+            out.append(np.where(fits, name, self.grams[p] ^ own))
+        return out[0], out[1]
+
+
+def _blocks(data: bytes, length: int) -> Iterator[tuple[int, int, int, Names]]:
+    """For each block of starts: where it begins, its number of starts, how far it lies in its named bytes, and these."""
     raw, half = np.frombuffer(data, np.uint8), length - GRAM
     for a in range(0, len(raw) - length + 1, BLOCK):
         n, first = min(BLOCK, len(raw) - length + 1 - a), max(a - half, 0)
-        yield a, n, a - first, Hashed(raw[first : a + n + length + half], BLOCK + length + 2 * half)
+        yield a, n, a - first, Names(raw[first : a + n + length + half], length, BLOCK + length + 2 * half)
 
 
 def runs(data: bytes, length: int) -> list[np.ndarray]:
-    """Arrays of (bucket, whole, right, left, start, end): for each anchor, its q-gram's hash, that of its run's text, those of the halves, and the run of starts."""
+    """Arrays of (bucket, whole, right, left, start, end): for each anchor, the identifiers of its q-gram, of its run's text and of the halves, and the run of starts."""
     out: list[list[np.ndarray]] = []
     half, reach = (length - GRAM) // 2, length - GRAM + 1
     for a, n, off, h in _blocks(data, length):
-        size = len(h.sums) - 1
-        at = np.arange(off, off + n + reach - 1)
-        grams = h.of(at, at + GRAM)
+        grams = h.grams[off : off + n + reach - 1]
         bits = np.uint64(21)
-        key = (grams >> bits << bits) | np.arange(len(at), dtype=np.uint64)
+        key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
         w = 1
         while 2 * w <= reach:
             key = np.minimum(key[:-w], key[w:])
@@ -85,8 +126,8 @@ def runs(data: bytes, length: int) -> list[np.ndarray]:
         begin = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         end = np.append(begin[1:], n)
         p, lo, hi = anchor[begin] + off, begin + off, end - 1 + off
-        whole = h.of(lo, hi + length) ^ ((p - lo).astype(np.uint64) << np.uint64(8)) ^ (hi - lo).astype(np.uint64)
-        right, left = h.of(p, np.minimum(p + GRAM + half, size)), h.of(np.maximum(p - half, 0), p + GRAM)
+        whole = _mixed(h.strings[lo], h.strings[hi], p - lo, hi - lo)
+        right, left = h.halves(p, half)
         out.append([grams[anchor[begin]], whole, right, left, begin + a, end + a])
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else []
 
@@ -138,7 +179,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
                     mine = (at >= a) & (at < a + size)
                     s = at[mine] - a + off
                     if len(s):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(np.full(len(s), copy)), pa.array(name[mine]), pa.array(h.of(s, s + length).view(np.int64)), pa.array(at[mine].astype(np.int32))], ["doc", "copy", "bucket", "string", "start"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc)), pa.array(np.full(len(s), copy)), pa.array(name[mine]), pa.array(h.strings[s].view(np.int64)), pa.array(at[mine].astype(np.int32))], ["doc", "copy", "bucket", "string", "start"])
 
     each = keyed.select("doc", "copy", "text").join(checked_broadcast(lists), ["doc", "copy"]).mapInArrow(strings, "doc long, copy long, bucket long, string long, start int")
     place = F.dense_rank().over(Window.partitionBy("bucket", "string").orderBy(*order))
