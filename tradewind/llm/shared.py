@@ -13,6 +13,8 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 
 #: Bytes of a side that checked_broadcast() may broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a batch that goes to a Python worker; texts are long, and the buffers of the largest batch stay.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -100,6 +102,15 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size_in_bytes(df) <= limit else df
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """df; from now on its session hands at most about BATCH_BYTES at once to Python workers, unless less is set."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    had = int(df.sparkSession.conf.get(name, "-1").rstrip("b"))
+    if not 0 < had <= BATCH_BYTES:
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

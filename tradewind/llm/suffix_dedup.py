@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checked_broadcast, staged
+from .shared import bound_batches, checked_broadcast, staged
 
 GRAM = 32
 #: Starts of strings that are worked on at a time, which bounds the memory that a long text takes.
@@ -155,7 +155,7 @@ def repeated_spans(keyed: DataFrame, length: int) -> DataFrame:
                 if columns:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["doc", "copy", "bucket", "whole", "after", "before", "start", "end"])
 
-    anchors = keyed.select("doc", "copy", "text").mapInArrow(find, "doc long, copy long, bucket long, whole long, after int, before int, start int, end int")
+    anchors = bound_batches(keyed).select("doc", "copy", "text").mapInArrow(find, "doc long, copy long, bucket long, whole long, after int, before int, start int, end int")
     order = ["doc", "copy", "start"]
     bucket, whole = Window.partitionBy("bucket"), Window.partitionBy("bucket", "whole")
     dealt = anchors.repartition("bucket").withColumns({"mixed": F.min("whole").over(bucket) < F.max("whole").over(bucket), "at": F.dense_rank().over(whole.orderBy(*order))})

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
+from .shared import bound_batches
 
 #: Labelled documents that are learnt from, at most.
 SAMPLE = 16_000
@@ -96,7 +97,7 @@ def count_characters(docs: DataFrame, text_col: str = "text") -> DataFrame:
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["code", "n"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return bound_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def language_model(counts: DataFrame) -> np.ndarray:
@@ -409,7 +410,7 @@ def score_toxicity(docs: DataFrame, judge: Toxicity, id_col: str = "doc_id", tex
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([judge.score(t.as_py() or "") for t in b.column(1)], pa.float64())], ["c0", "score"])
 
-    return rows.mapInArrow(run, f"c0 {kind}, score double").select(F.col("c0").alias(id_col), "score")
+    return bound_batches(rows).mapInArrow(run, f"c0 {kind}, score double").select(F.col("c0").alias(id_col), "score")
 
 
 def with_toxicity(docs: DataFrame, judge: Toxicity, text_col: str = "text", name: str = "toxicity") -> DataFrame:
@@ -419,4 +420,4 @@ def with_toxicity(docs: DataFrame, judge: Toxicity, text_col: str = "text", name
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([judge.score(t or "") for t in texts], dtype=float)
 
-    return docs.withColumn(name, score(F.col(text_col)))
+    return bound_batches(docs).withColumn(name, score(F.col(text_col)))
