@@ -103,11 +103,10 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def bound_batches(df: DataFrame) -> DataFrame:
-    """df; from now on its session hands at most about BATCH_BYTES at once to Python workers, unless less is set."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    had = int(df.sparkSession.conf.get(name, "-1").rstrip("b"))
-    if not 0 < had <= BATCH_BYTES:
-        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+    """df; from now on its session hands at most about BATCH_BYTES at once to Python workers, unless another bound than the default is set."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name) == "67108864b":
+        conf.set(name, str(BATCH_BYTES))
     return df
 
 
