@@ -71,7 +71,10 @@ def test_no_evidence_in_other_words(model, text):
     assert judge.evidence(text) == 0
 
 
-@pytest.mark.parametrize("word", ["1d10t", "m0r.0n", "aaab", "l|1", "tr4$h"])
+SIGNS = ["".join(np.random.default_rng(k).choice(list("abcdlo016!|+.€ee"), 9)) for k in range(40)]
+
+
+@pytest.mark.parametrize("word", ["1d10t", "m0r.0n", "aaab", "l|1", "tr4$h", "6!6|6!6|", *SIGNS])
 def test_decoding_finds_the_best_path(model, word):
     def value(path):
         text, total = "".join(x for x, _ in path), sum(c for _, c in path)

@@ -41,8 +41,6 @@ DOUBLES = 4
 MARGIN, SPAN = 6.0, 32
 #: Characters counted at a time.
 BLOCK = 1 << 20
-#: Paths kept at each position of a lattice.
-BEAM = 64
 
 # The letters that signs stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "€": "e", "£": "l", "¡": "i"}
@@ -137,19 +135,19 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(word: str, model: np.ndarray) -> str:
-    """The likeliest path through a word's lattice, by Viterbi decoding with beams of BEAM states."""
-    beam = START
+    """The likeliest path through a word's lattice, by Viterbi decoding over all states: the last two letters."""
+    states = START
     for options in lattice(word):
-        beam = _step(beam, options, model)
-    return _best(beam, model)[1]
+        states = _step(states, options, model)
+    return _best(states, model)[1]
 
 
 START: dict = {(EDGE, EDGE): (0.0, None)}
 
 
-def _step(beam: dict, options: list[tuple[str, float]], model: np.ndarray) -> dict:
+def _step(states: dict, options: list[tuple[str, float]], model: np.ndarray) -> dict:
     after: dict = {}
-    for (a, b), (score, path) in beam.items():
+    for (a, b), (score, path) in states.items():
         for letters, cost in options:
             x, y, s = a, b, score + cost
             for c in letters:
@@ -157,13 +155,13 @@ def _step(beam: dict, options: list[tuple[str, float]], model: np.ndarray) -> di
                 x, y, s = y, z, s + model[x, y, z]
             if (x, y) not in after or after[x, y][0] < s:
                 after[x, y] = s, (path, letters)
-    return dict(sorted(after.items(), key=lambda kv: (-kv[1][0], kv[0]))[:BEAM])
+    return after
 
 
-def _best(beam: dict, model: np.ndarray) -> tuple[float, str]:
+def _best(states: dict, model: np.ndarray) -> tuple[float, str]:
     """The value and the letters of the likeliest path that ends here."""
-    value, end = min(((-(kv[1][0] + model[kv[0][0], kv[0][1], EDGE])), kv[0]) for kv in beam.items())
-    path, out = beam[end][1], []
+    value, end = min(((-(kv[1][0] + model[kv[0][0], kv[0][1], EDGE])), kv[0]) for kv in states.items())
+    path, out = states[end][1], []
     while path:
         path, letters = path
         out.append(letters)
@@ -179,12 +177,12 @@ def parted(run: str, model: np.ndarray) -> set[str]:
     for i in range(n):
         window = "".join(map("".join, parts[i : i + SPAN])).rstrip(" ")
         if window not in known:
-            beam, found = START, []
+            states, found = START, []
             for c, blank in parts[i : i + SPAN]:
-                beam = _step(beam, lattice(c)[0], model)
-                found.append(_best(beam, model))
+                states = _step(states, lattice(c)[0], model)
+                found.append(_best(states, model))
                 if blank:
-                    beam = _step(beam, [("", lattice(blank)[0][0][1])], model)
+                    states = _step(states, [("", lattice(blank)[0][0][1])], model)
             known[window] = found
         spans.append(known[window])
     # The cost of parting is that of the blank after a word.
