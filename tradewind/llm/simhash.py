@@ -68,11 +68,11 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return _signed(2 * _vote(hashes) > len(hashes)) if len(hashes) else 0
 
 
-def shingle_set(text: str | None, size: int = 5, seed: int = 42) -> list[int]:
+def shingle_set(text: str | None, size: int = 5, seed: int = 42) -> np.ndarray:
     """The distinct hashes of a text's word shingles, as signed numbers."""
     words = (text or "").encode().lower().split()
     hashes = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in shingles(words, size)), np.uint64)
-    return np.unique(hashes).view(np.int64).tolist()
+    return np.unique(hashes).view(np.int64)
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +234,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in sliced(batches):
-            found = [np.array(shingle_set(t.as_py(), size), np.int64) for t in x.column(1)]
+            found = [shingle_set(t.as_py(), size) for t in x.column(1)]
             firsts = pa.array([prefix(s, frequent, counts, similarity) for s in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array([len(s) for s in found], pa.int32()), firsts], ["id", "sha", "m", "p"])
 
