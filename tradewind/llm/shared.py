@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 #: Bytes of a side that checked_broadcast() may broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of a batch that goes to a Python worker; texts are long, and the buffers of the largest batch stay.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
