@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, packing, pii, quality, simhash, suffix_dedup, toxicity, url_rules
+from . import ann, chat, decontam, fim, packing, pii, prefix_trie, quality, simhash, suffix_dedup, toxicity, url_rules
 from .labelled import fold
 from .shared import literal_rows, read, staged
 
@@ -113,6 +113,81 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(lines) AS turns_sha256, lengt
 FROM joined
 """
 
+def _crc32(column: Column) -> Column:
+    return F.crc32(column.cast("string"))
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation begins anew with some turns of the one that its number names; the trie is of these."""
+    turns = read(spark, sf_dir, "conversations")
+    ids = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    keys = staged(prefix_trie.turn_keys(turns), "turns")
+    c, turn = F.col("conv_id"), F.struct("place", "h1", "h2", "words")
+    heads = keys.where("place <= 3 and conv_id % 20 = 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("head")).withColumnRenamed("conv_id", "source")
+    taken = (_crc32(c) % 4).cast("int")
+    begun = ids.withColumns({"source": c - c % 20, "h": taken}).join(heads, "source", "left")
+    begun = staged(begun.select("conv_id", F.slice(F.coalesce("head", F.array().cast(heads.schema["head"].dataType)), F.lit(1), F.col("h")).alias("head")), "begun")
+    copied = begun.select("conv_id", F.inline("head"))
+    kept = keys.where(F.col("place") > taken).join(begun.select("conv_id", F.size("head").alias("n")), "conv_id")
+    kept = kept.select("conv_id", (F.col("place") - taken + F.col("n")).alias("place"), "h1", "h2", "words")
+    nodes = prefix_trie.trie_of(copied.union(kept), ids)
+    return nodes.withColumn("ends_sha256", F.sha2(F.array_join("ends", ","), 256)).drop("ends")
+
+
+#: crc32 of the decimal conv_id modulo 4, bit by bit: DuckDB has no such function.
+CRC_SQL = """h AS (
+  WITH RECURSIVE bits(conv_id, text, pos, crc) AS (
+    SELECT conv_id, CAST(conv_id AS VARCHAR), 0, 4294967295::BIGINT FROM ids
+    UNION ALL
+    SELECT conv_id, text, pos + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+    FROM (SELECT *, CASE WHEN pos % 8 = 0 THEN xor(crc, ascii(text[pos // 8 + 1])::BIGINT) ELSE crc END AS v FROM bits WHERE pos < 8 * length(text)))
+  SELECT conv_id, xor(crc, 4294967295) % 4 AS h FROM bits WHERE pos = 8 * length(text))"""
+OP11_SQL = f"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), {CRC_SQL},
+own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+taken AS (SELECT h.conv_id, o.place, o.role, o.text FROM h JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 20 AND o.place <= h.h),
+got AS (SELECT h.conv_id, h, count(t.place) AS n FROM h LEFT JOIN taken t USING (conv_id) GROUP BY ALL),
+rebuilt AS (SELECT * FROM taken UNION ALL SELECT o.conv_id, o.place - g.h + g.n, o.role, o.text FROM own o JOIN got g USING (conv_id) WHERE o.place > g.h),
+turns AS (SELECT *, sha256(length(role) || ' ' || role || text) AS digest, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt),
+paths AS (
+  SELECT conv_id, place AS depth, sha256(string_agg(digest, '' ) OVER w) AS key, sha256(string_agg(digest, '') OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS above,
+         words, count(*) OVER (PARTITION BY conv_id) AS length
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY place)
+  UNION ALL SELECT conv_id, 0, '', NULL, 0, n FROM (SELECT i.conv_id, count(t.place) AS n FROM ids i LEFT JOIN turns t USING (conv_id) GROUP BY 1)),
+linked AS (SELECT * REPLACE (CASE WHEN depth = 1 THEN '' ELSE above END AS above) FROM paths),
+nodes AS (
+  SELECT key, min(conv_id) AS conv_id, min(depth) AS depth, min(above) AS above, count(*) AS n_convs, min(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = length), '')) AS ends_sha256
+  FROM linked GROUP BY key),
+kids AS (SELECT above AS key, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (key)),
+sums AS (
+  SELECT p.key, sum((n.n_convs - 1) * n.words) AS saved_tokens, count(*) FILTER (n.n_children = 0) AS n_leaves
+  FROM whole n JOIN linked p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY 1)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children::BIGINT AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM whole n JOIN sums s USING (key) LEFT JOIN nodes p ON p.key = n.above
+"""
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.fill_in_middle(read(spark, sf_dir, "documents"), seed=1)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+OP13_SQL = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS d FROM documents),
+drawn AS (SELECT *, ('0x' || d[1:8])::UBIGINT::BIGINT AS h1, ('0x' || d[9:16])::UBIGINT::BIGINT AS h2, ('0x' || d[17:24])::UBIGINT::BIGINT AS h3, ('0x' || d[25:32])::UBIGINT::BIGINT AS h4,
+  regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]', 0, 's') AS units FROM texts),
+placed AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM drawn),
+cut AS (SELECT doc_id, n, text, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM placed)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM cut
+"""
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -124,9 +199,13 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op10_chat": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
+    "op13_fill_in_middle": OP13_SQL,
 }
