@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, fim, packing, pii, prefix_trie, quality, simhash, suffix_dedup, toxicity, url_rules
+from . import ann, chat, decontam, fim, lm, packing, pii, prefix_trie, quality, simhash, suffix_dedup, toxicity, url_rules
 from .labelled import fold
 from .shared import literal_rows, read, staged
 
@@ -171,6 +171,12 @@ FROM whole n JOIN sums s USING (key) LEFT JOIN nodes p ON p.key = n.above
 """
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), fold("doc_id", 10) == 0
+    scored = lm.score_texts(docs, lm.learn_language(docs.where(~held)))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fim.fill_in_middle(read(spark, sf_dir, "documents"), seed=1)
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
@@ -200,6 +206,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_chat": op10_chat,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_language": op12_language,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
