@@ -1,7 +1,8 @@
 """The registered queries over the star-schema tables and their DuckDB SQL.
 
 The tables stand in for a seller's data: line items with orders and parts for sales, events for ads (their days
-moved so that the last ones agree), parts for stock, weekly ad sums for business reports.
+moved so that the last ones agree), parts for stock, weekly ad sums for business reports. Sales and ads are prepared
+once an application and folder, and stored by month; all reports read these facts.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import periods as P
 from .functions.columns import numeric_total
 from .operators import ads, forecast, prep, rootcause, sales, trends
+from .sources import facts
 
 DAYS_BACK = 8217
 TOKEN = "term7"
@@ -28,7 +30,24 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> str:
+    """The path of facts that are made from a folder's tables and written when they are first asked for."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _stored:
+        path = facts.new_path(spark, name)
+        facts.write_facts(make(spark, d), path)
+        _stored[key] = path
+    return _stored[key]
+
+
 def sales_table(spark: SparkSession, d: str) -> DataFrame:
+    return facts.read_facts(spark, stored(spark, d, "sales", make_sales))
+
+
+def make_sales(spark: SparkSession, d: str) -> DataFrame:
     items, orders, parts, customers, nations = (_read(spark, d, n) for n in ("lineitem", "orders", "part", "customer", "nation"))
     rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -41,8 +60,7 @@ def sales_table(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_orderstatus").alias("sales_channel"), F.col("n_name").alias("ship_state"), F.col("l_shipdate").cast("timestamp").alias("imported_at"),
         "l_linenumber", "l_suppkey",
     )
-    # The latest order tells the latest sale, so the facts need not be read for it.
-    return P.with_latest_from(prep.derive_sales(rows), orders, date="o_orderdate", purchase_date="o_orderdate")
+    return prep.derive_sales(rows)
 
 
 SALES = """
@@ -57,6 +75,10 @@ r AS (SELECT max(date) AS ref, max(purchase_date) AS last FROM sales)"""
 
 
 def ppc_table(spark: SparkSession, d: str) -> DataFrame:
+    return facts.read_facts(spark, stored(spark, d, "ppc", make_ppc))
+
+
+def make_ppc(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
     amount = F.col("value").cast("decimal(18,4)")
@@ -67,7 +89,7 @@ def ppc_table(spark: SparkSession, d: str) -> DataFrame:
         count("click").alias("clicks"), F.when(kind == "click", (F.col("value") * 0.25).cast("decimal(18,4)")).otherwise(0).alias("spend"),
         F.when(kind == "purchase", amount).otherwise(0).alias("sales"), count("purchase").alias("orders"), count("purchase").alias("units"),
     )
-    return P.with_latest_from(prep.row_ratios(rows), rows, date="date")
+    return prep.row_ratios(rows)
 
 
 PPC = f"""

@@ -6,6 +6,9 @@ scans below the joins, and prunes partitions, files and row groups.
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,32 +21,53 @@ def _checked(period: str) -> str:
     return period
 
 
-def with_latest_from(df: DataFrame, source: DataFrame, **columns: str) -> DataFrame:
-    """df, told that the latest values of some of its columns can be read from columns of a narrower table."""
-    df.latest_from = {name: (source, column) for name, column in columns.items()}
-    return df
+def month_name(day: str) -> str:
+    """The column by which stored facts are partitioned, with the first day of the month of a column of days."""
+    return f"{day}_month"
+
 
+@dataclass(frozen=True)
+class Latest:
+    """What a stored table knows of itself: the column of its days and the latest of them."""
 
-def _latest(df: DataFrame, column: str) -> tuple[DataFrame, Column]:
-    source, name = getattr(df, "latest_from", {}).get(column, (df, column))
-    return source, F.col(name)
+    column: str
+    day: dt.date | None
 
 
 def day_of(df: DataFrame, date_col: str = "date", as_of: str | None = None) -> Column:
-    """The day as_of, else the latest day of df, as a literal; null if there is none."""
+    """The day as_of, else the latest day of df, as a literal; null if there is none. Stored facts are not read for it."""
     if as_of is not None:
         return F.lit(as_of).cast("date")
-    source, day = _latest(df, date_col)
-    return F.lit(source.agg(F.max(day).cast("date")).first()[0]).cast("date")
+    known = getattr(df, "latest", None)
+    if known is not None and known.column == date_col:
+        return F.lit(known.day).cast("date")
+    return F.lit(df.agg(F.max(date_col).cast("date")).first()[0]).cast("date")
 
 
 def moment_of(df: DataFrame, ts_col: str) -> Column | None:
-    """The latest moment of df, as a literal; None if there is none."""
-    source, at = _latest(df, ts_col)
-    micros = source.agg(F.unix_micros(F.max(at).cast("timestamp"))).first()[0]
+    """The latest moment of df, as a literal; None if there is none. Of stored facts, only the latest day is read, if the day is that of the moment."""
+    known = getattr(df, "latest", None)
+    rows = df
+    if known is not None and known.day is not None:
+        if df.schema[ts_col].dataType.typeName() == "date" and ts_col == known.column:
+            return F.lit(known.day).cast("timestamp")
+        rows = within(df, F.lit(known.day), None, known.column)
+    micros = rows.agg(F.unix_micros(F.max(ts_col).cast("timestamp"))).first()[0]
     return None if micros is None else F.timestamp_micros(F.lit(micros))
 
 
+def within(df: DataFrame, first: Column | None, last: Column | None, date_col: str = "date") -> DataFrame:
+    """Rows from the first to the last day, both included; without one of them, it is open. Stored facts are read by month."""
+    for bound, after in ((first, True), (last, False)):
+        if bound is None:
+            continue
+        bound = bound.cast("date")
+        month = month_name(date_col)
+        for name, b in [(date_col, bound)] + [(month, F.trunc(bound, "month"))] * (month in df.columns):
+            df = df.where(F.col(name) >= b if after else F.col(name) <= b)
+    return df
+
+
 def reference_day(df: DataFrame, date_col: str = "date", as_of: str | None = None) -> DataFrame:
     """One row (ref): the day as_of, else the latest day of df."""
     return df.sparkSession.range(1).select(day_of(df, date_col, as_of).alias("ref"))
@@ -88,27 +112,27 @@ def in_period(df: DataFrame, period: str, date_col: str = "date", as_of: str | N
     """df in a named period, with its days as columns start_date and end_date; null days drop rows."""
     ref = day_of(df, date_col, as_of)
     start = start_of(period, ref)
-    return df.where(F.col(date_col).between(start, ref)).withColumns({"start_date": start, "end_date": ref})
+    return within(df, start, ref, date_col).withColumns({"start_date": start, "end_date": ref})
 
 
 def between_days(df: DataFrame, first: str | None, last: str | None, date_col: str = "date") -> DataFrame:
     """Literal days, both included; nothing if one of them is None."""
     if first is None or last is None:
         return df.limit(0)
-    return df.where(F.col(date_col).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return within(df, F.lit(first), F.lit(last), date_col)
 
 
 def last_days(df: DataFrame, days: int, date_col: str = "date", ref: Column | None = None) -> DataFrame:
     """The last so many days up to the reference day (df's latest one, if none is given)."""
     ref = day_of(df, date_col) if ref is None else ref
-    return df.where(F.col(date_col).between(F.date_sub(ref, days - 1), ref))
+    return within(df, F.date_sub(ref, days - 1), ref, date_col)
 
 
 def labelled_days(df: DataFrame, days: int, date_col: str = "date", ref: Column | None = None) -> DataFrame:
     """Rows of the last so many days and as many before, with slice 'current' or 'prior'."""
     ref = day_of(df, date_col) if ref is None else ref
     day = F.col(date_col)
-    rows = df.where((day > F.date_sub(ref, 2 * days)) & (day <= ref))
+    rows = within(df, F.date_sub(ref, 2 * days - 1), ref, date_col)
     return rows.withColumn("slice", F.when(day > F.date_sub(ref, days), "current").otherwise("prior"))
 
 
@@ -116,7 +140,7 @@ def labelled_period(df: DataFrame, period: str, ref: Column, date_col: str = "da
     """Rows of a named period up to the reference day and of the one before, with slice 'current' or 'prior'."""
     days, day = four_days(period, ref), F.col(date_col)
     now = day.between(days["current_start"], days["current_end"])
-    rows = df.where(day.between(days["prior_start"], days["current_end"]) & (now | (day <= days["prior_end"])))
+    rows = within(df, days["prior_start"], days["current_end"], date_col).where(now | (day <= days["prior_end"]))
     return rows.withColumn("slice", F.when(now, "current").otherwise("prior"))
 
 
@@ -130,4 +154,6 @@ def since_timestamp(df: DataFrame, period: str, ts_col: str) -> DataFrame:
     if last is None:
         return df
     start = {"LAST_7_DAYS": last - F.expr("interval 7 days"), "MTD": F.date_trunc("month", last), "YTD": F.date_trunc("year", last)}.get(period, last - F.expr("interval 30 days"))
-    return df.where(F.col(ts_col).cast("timestamp") >= start)
+    known = getattr(df, "latest", None)
+    rows = df if known is None else within(df, start, None, known.column)  # a moment's day is not before its period's
+    return rows.where(F.col(ts_col).cast("timestamp") >= start)

@@ -28,7 +28,7 @@ COLORS, SIZES = "(White|Black|Blue)", "(Small/Medium|Large/X-Large|Large)"
 def pack_size(kind):
     """Pieces to a pack by product type; 1 for others."""
     pairs = [F.lit(x) for pair in PACKS.items() for x in pair]
-    return F.coalesce(F.get(F.map_values(F.map_filter(F.create_map(*pairs), lambda k, v: k == kind)), F.lit(0)), F.lit(1))
+    return F.coalesce(F.create_map(*pairs)[kind], F.lit(1))
 
 
 def derive_sales(df: DataFrame) -> DataFrame:
@@ -54,8 +54,7 @@ def prep_sales(orders: DataFrame, catalogue: DataFrame, channel: str = "Amazon.c
     names = normalized(catalogue, {"item": "item_name"})
     clash = [c for c in names.columns if c in raw.columns and c != "asin"]
     names = names.withColumnsRenamed({c: f"{c}_asin" for c in clash})
-    sales = of_catalogue(raw, names).where(F.col("sales_channel") == channel)
-    sales = sales.withColumn("purchase_date", text_time(F.col("purchase_date"), formats)).join(names, "asin", "left")
+    sales = raw.where(F.col("sales_channel") == channel).withColumn("purchase_date", text_time(F.col("purchase_date"), formats)).join(names, "asin")
     found = {name: F.nullif(F.regexp_extract("item_name", pattern, 1), F.lit("")) for name, pattern in (("color", COLORS), ("size", SIZES))}
     numbers = {c: F.col(c).try_cast("double") for c in MONEY if c in sales.columns} | {"quantity": F.col("quantity").try_cast("double").try_cast("long")}
     sales = sales.withColumns(found | numbers).where("quantity > 0")
@@ -113,14 +112,18 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), *keys)
 
 
-def dedupe_check(df: DataFrame, keys: list[str], latest: str, then: list[str]) -> DataFrame:
-    """One row: the rows, keys and repeated keys of df, and the rows and repeated keys that dedupe_latest() leaves."""
+def order_totals(sales: DataFrame) -> DataFrame:
+    """By order: its lines, revenue, units, pairs and first day. Sales that are stored by order are not shuffled for it."""
+    sums = {"revenue": "double", "units_sold_amazon": "long", "pairs_sold": "long"}
+    return sales.groupBy("order_id").agg(F.count("*").alias("lines"), *(F.sum(c).cast(kind).alias(c) for c, kind in sums.items()), F.min("date").alias("date"))
 
-    def tally(rows: DataFrame, prefix: str) -> DataFrame:
-        each = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-        return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(f"{prefix}_rows"), F.count("*").alias(f"{prefix}_keys"), F.count_if(F.col("n") > 1).alias(f"{prefix}_repeated"))
 
-    return tally(df, "all").join(F.broadcast(tally(dedupe_latest(df, keys, latest, then), "kept")))  # two tables of one row
+def dedupe_check(df: DataFrame, keys: list[str], latest: str, then: list[str]) -> DataFrame:
+    """One row: the rows, keys and repeated keys of df, and the rows and repeated keys that dedupe_latest() leaves, all from one pass."""
+    order = Window.partitionBy(*keys).orderBy(F.desc(latest), *map(F.desc, then))
+    each = df.withColumn("_at", F.row_number().over(order)).groupBy(*keys).agg(F.count("*").alias("all"), F.count_if(F.col("_at") == 1).alias("kept"))
+    tally = lambda c: [F.coalesce(F.sum(c), F.lit(0)).alias(f"{c}_rows"), F.count_if(F.col(c) > 0).alias(f"{c}_keys"), F.count_if(F.col(c) > 1).alias(f"{c}_repeated")]
+    return each.agg(*tally("all"), *tally("kept"))
 
 
 def campaigns(ppc: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import periods as P
 from ..functions.columns import ratio, total, week_ending_monday
 from .ads import ad_ratios, ad_sums
 from .trends import by_week
@@ -19,12 +20,13 @@ def in_days(days: Days) -> Column:
 
 def good_and_bad(ppc: DataFrame, good: Days, bad: Days, keys: list[str]) -> DataFrame:
     """Ad totals by keys in both windows, of the keys that come in either."""
-    rows = ppc.where(in_days(good) | in_days(bad)).dropna(subset=keys)
+    days = sorted([*good, *bad])
+    rows = P.between_days(ppc, days[0], days[-1]).where(in_days(good) | in_days(bad)).dropna(subset=keys)
     return rows.groupBy(*keys).agg(*ad_sums(in_days(good), "good_"), *ad_sums(in_days(bad), "bad_"))
 
 
 def term_stats(ppc: DataFrame, days: Days, sort: str = "sales", top_n: int | None = None) -> DataFrame:
-    rows = ppc.where(in_days(days)).dropna(subset=["search_term"]).groupBy("search_term").agg(*ad_sums()).withColumns(ad_ratios("", ("cvr", "acos")))
+    rows = P.between_days(ppc, *days).dropna(subset=["search_term"]).groupBy("search_term").agg(*ad_sums()).withColumns(ad_ratios("", ("cvr", "acos")))
     ordered = rows.orderBy(F.desc(sort), "search_term")
     return ordered if top_n is None else ordered.limit(top_n)
 
@@ -38,8 +40,9 @@ def term_comparison(ppc: DataFrame, good: Days, bad: Days, top_n: int = 25) -> D
 
 def keyword_compare(ppc: DataFrame, good: Days, bad: Days, top_spend: int = 20, worst: int = 20) -> DataFrame:
     """Of the keywords with the largest spend: ratios in both windows and changes, the worst first."""
-    top = ppc.dropna(subset=["keyword"]).groupBy("keyword").agg(F.sum("spend").alias("s")).orderBy(F.desc("s"), "keyword").limit(top_spend)
-    both = good_and_bad(ppc.join(F.broadcast(top.select("keyword")), "keyword", "left_semi"), good, bad, ["keyword"])
+    inside, both = in_days(good) | in_days(bad), [*ad_sums(in_days(good), "good_"), *ad_sums(in_days(bad), "bad_")]
+    every = ppc.dropna(subset=["keyword"]).groupBy("keyword").agg(F.sum("spend").alias("_spend"), F.count_if(inside).alias("_inside"), *both)
+    both = every.orderBy(F.desc("_spend"), "keyword").limit(top_spend).where("_inside > 0").drop("_spend", "_inside")
     names = ("cpc", "cvr", "roas", "acos")
     table = both.withColumns(ad_ratios("good_", names) | ad_ratios("bad_", names))
     deltas = {f"{n}_delta": F.col(f"bad_{n}") - F.col(f"good_{n}") for n in ("sales", "orders", "cvr")}
@@ -68,7 +71,7 @@ def waste_terms(ppc: DataFrame, token: str, min_spend: float = 5, keys: tuple[st
 
 
 def perf_by_match_type(ppc: DataFrame, days: Days | None = None) -> DataFrame:
-    rows = ppc if days is None else ppc.where(in_days(days))
+    rows = ppc if days is None else P.between_days(ppc, *days)
     return rows.dropna(subset=["match_type"]).groupBy("match_type").agg(*ad_sums(columns=("clicks", "spend", "sales", "orders")))
 
 
@@ -85,9 +88,9 @@ def type_compare(sales: DataFrame, split: str) -> DataFrame:
     now = F.col("date") >= F.lit(split).cast("date")
     rows = sales.where("date is not null").dropna(subset=["type"])
     table = rows.groupBy("type").agg(*(total(F.when(c, F.col("revenue"))).cast("double").alias(f"revenue_{n}") for n, c in (("before", ~now), ("after", now))), F.count_if(~now).alias("_b"), F.count_if(now).alias("_a"))
-    whole = table.agg(F.sum("revenue_before").alias("_wb"), F.sum("revenue_after").alias("_wa"))
-    both = table.where("_a > 0 and _b > 0").join(F.broadcast(whole))
-    return both.select("type", "revenue_before", "revenue_after", ratio(F.col("revenue_before"), F.col("_wb")).alias("share_before"), ratio(F.col("revenue_after"), F.col("_wa")).alias("share_after"))
+    whole = lambda n: F.sum(f"revenue_{n}").over(Window.partitionBy(F.lit(1)))  # noqa: E731  one row a type
+    both = table.withColumns({f"share_{n}": ratio(F.col(f"revenue_{n}"), whole(n)) for n in ("before", "after")})
+    return both.where("_a > 0 and _b > 0").select("type", "revenue_before", "revenue_after", "share_before", "share_after")
 
 
 def conversion_baseline(report: DataFrame, base: list[str], recent: list[str]) -> DataFrame:

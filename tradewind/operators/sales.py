@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import periods as P
 from ..functions.columns import pct_change, ratio, ratio0, total
 
+# The columns that reports may group by, and their metrics.
 GROUPS = ("type", "color", "item_name", "asin", "size")
-#: Columns whose distinct values grow with the data.
-MANY = ("asin", "item_name")
 METRICS = ("revenue", "pairs_sold", "units_sold_amazon", "orders")
 
 
@@ -66,20 +65,23 @@ def sales_summary_days(sales: DataFrame, days: int) -> DataFrame:
     return both.withColumns({f"{n}_change_pct": pct_change(F.col(f"current_{n}"), F.col(f"prior_{n}")) for n in names})
 
 
-def _with_whole(df: DataFrame, columns: dict[str, str], keys: list[str]) -> DataFrame:
-    """df, an aggregate by keys, with totals of some columns over all its rows.
-
-    A window over few groups; where groups grow with the data, which no one task should hold, a second aggregate of one
-    row.
-    """
-    if any(k in MANY or k == "product_name" for k in keys):
-        return df.join(F.broadcast(df.agg(*(F.sum(c).alias(n) for c, n in columns.items()))))
+def _with_whole(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """df, an aggregate of few groups, with totals of some columns over all its rows."""
     return df.withColumns({n: F.sum(c).over(Window.partitionBy(F.lit(1))) for c, n in columns.items()})
 
 
-def _share(df: DataFrame, column: str, name: str, keys: list[str], scale: float = 1.0) -> DataFrame:
-    """df, an aggregate by keys, with a column's share of its total over all rows; 0 if the total is not above 0."""
-    return _with_whole(df, {column: "_whole"}, keys).withColumn(name, ratio0(F.col(column), F.col("_whole")) * scale).drop("_whole")
+def _largest(df: DataFrame, keys: list[str], by: str, top_n: int, columns: dict[str, str]) -> DataFrame:
+    """The rows of an aggregate by keys that are first by a column, falling, then by keys, with totals of some columns over all its rows.
+
+    The totals are a row of the same table, from ROLLUP, which is kept as the first of the top_n and one; so groups may
+    be as many as there are rows, and none but these few meet in one task.
+    """
+    values = [c for c in df.columns if c not in keys]
+    both = df.groupingSets([keys, []], *keys).agg(*(F.first(c).alias(c) for c in values), *(F.sum(c).alias(n) for c, n in columns.items()), F.grouping(keys[0]).alias("_all"))
+    first = both.orderBy(F.desc("_all"), F.desc(by), *keys).limit(top_n + 1)
+    whole = Window.partitionBy(F.lit(1))
+    first = first.withColumns({n: F.max(F.when(F.col("_all") == 1, F.col(n))).over(whole) for n in columns.values()})
+    return first.where("_all = 0").drop("_all")
 
 
 def sales_breakdown(sales: DataFrame, period: str, group_by: str, metric: str = "revenue", top_n: int = 10, as_of: str | None = None) -> DataFrame:
@@ -87,7 +89,8 @@ def sales_breakdown(sales: DataFrame, period: str, group_by: str, metric: str =
     _one_of(group_by, GROUPS), _one_of(metric, METRICS)
     rows = P.in_period(sales, period, as_of=as_of).dropna(subset=[group_by])
     grouped = rows.groupBy(group_by).agg(*sums(), F.first("start_date").alias("start_date"), F.first("end_date").alias("end_date"))
-    return _share(grouped, metric, f"{metric}_pct", [group_by]).orderBy(F.desc(metric), group_by).limit(top_n)
+    first = _largest(grouped, [group_by], metric, top_n, {metric: "_whole"})
+    return first.withColumn(f"{metric}_pct", ratio0(F.col(metric), F.col("_whole"))).drop("_whole").orderBy(F.desc(metric), group_by)
 
 
 def _long(pairs: DataFrame, names: list[str]) -> DataFrame:
@@ -117,18 +120,18 @@ def kpi_comparison(sales: DataFrame, period: str, as_of: str | None = None) -> D
     return both.select(*changes, "current_start", "current_end", "prior_start", "prior_end")
 
 
-def _drivers(sales: DataFrame, period: str, keys: list[str], metric: str, ref: Column) -> DataFrame:
+def _drivers(sales: DataFrame, period: str, keys: list[str], metric: str, ref: Column, top_n: int) -> DataFrame:
     grouped = both_sums(P.labelled_period(sales, period, ref).dropna(subset=keys), keys)
     table = grouped.select(*keys, F.col(f"current_{metric}").alias("current"), F.col(f"prior_{metric}").alias("prior"))
     table = table.withColumn("change_abs", F.col("current") - F.col("prior"))
     share = F.coalesce(ratio(F.col("change_abs"), F.col("_whole")), F.lit(0.0)) * 100
-    return _with_whole(table, {"change_abs": "_whole"}, keys).withColumn("contribution_pct", share).drop("_whole")
+    return _largest(table, keys, "change_abs", top_n, {"change_abs": "_whole"}).withColumn("contribution_pct", share).drop("_whole")
 
 
 def compare_drivers(sales: DataFrame, period: str, group_by: str, metric: str = "revenue", top_n: int = 10, as_of: str | None = None) -> DataFrame:
     """By one column: the metric now and before, its change and share of the whole change, the largest gains first."""
     _one_of(group_by, GROUPS), _one_of(metric, METRICS)
-    return _drivers(sales, period, [group_by], metric, P.day_of(sales, as_of=as_of)).orderBy(F.desc("change_abs"), group_by).limit(top_n)
+    return _drivers(sales, period, [group_by], metric, P.day_of(sales, as_of=as_of), top_n).orderBy(F.desc("change_abs"), group_by)
 
 
 def explain_change(sales: DataFrame, period: str, dimension: str, metric: str = "revenue", top_n: int = 10, as_of: str | None = None) -> DataFrame:
@@ -136,8 +139,8 @@ def explain_change(sales: DataFrame, period: str, dimension: str, metric: str =
     _one_of(dimension, GROUPS), _one_of(metric, METRICS)
     keys = ["asin", "item_name"] if dimension == "asin" else [dimension]
     ref = P.day_of(sales, as_of=as_of)
-    table = _drivers(sales, period, keys, metric, ref).withColumn("change_pct", pct_change(F.col("current"), F.col("prior")))
-    return table.withColumns(P.four_days(period, ref)).orderBy(F.desc("change_abs"), *keys).limit(top_n)
+    table = _drivers(sales, period, keys, metric, ref, top_n).withColumn("change_pct", pct_change(F.col("current"), F.col("prior")))
+    return table.withColumns(P.four_days(period, ref)).orderBy(F.desc("change_abs"), *keys)
 
 
 def top_products(sales: DataFrame, days: int, metric: str = "revenue", top_n: int = 10) -> DataFrame:
@@ -152,7 +155,7 @@ def mix(sales: DataFrame, days: int, key: str = "type") -> DataFrame:
     """By one column, over the last days: revenue, pairs and orders, and shares of revenue and pairs (null of a zero total)."""
     grouped = P.last_days(sales, days).dropna(subset=[key]).groupBy(key).agg(*sums()).drop("units_sold_amazon")
     shares = {"revenue_pct": ratio(F.col("revenue"), F.col("_r")), "pairs_pct": ratio(F.col("pairs_sold"), F.col("_p"))}
-    return _with_whole(grouped, {"revenue": "_r", "pairs_sold": "_p"}, [key]).withColumns(shares).drop("_r", "_p")
+    return _with_whole(grouped, {"revenue": "_r", "pairs_sold": "_p"}).withColumns(shares).drop("_r", "_p")
 
 
 def sales_by(sales: DataFrame, period: str, keys: list[str], top_n: int | None = None, ts_col: str = "purchase_date") -> DataFrame:
@@ -164,18 +167,49 @@ def sales_by(sales: DataFrame, period: str, keys: list[str], top_n: int | None =
         return sales.limit(0).select(F.lit("").alias("missing"))
     rows = P.since_timestamp(sales, period, ts_col).dropna(subset=keys)
     grouped = rows.groupBy(*keys).agg(*sums()).drop("units_sold_amazon").withColumn("aov", ratio0(F.col("revenue"), F.col("orders")))
-    shared = _share(grouped, "revenue", "revenue_share", keys, 100.0)
-    return shared if top_n is None else shared.orderBy(F.desc("revenue"), *keys).limit(top_n)
+    share = ratio0(F.col("revenue"), F.col("_whole")) * 100.0
+    if top_n is None:
+        return _with_whole(grouped, {"revenue": "_whole"}).withColumn("revenue_share", share).drop("_whole")
+    return _largest(grouped, keys, "revenue", top_n, {"revenue": "_whole"}).withColumn("revenue_share", share).drop("_whole").orderBy(F.desc("revenue"), *keys)
+
+
+# The columns of a sales analysis.
+DIMENSIONS = ("type", "size", "color", "ship_state")
+
+
+def sales_by_dimensions(sales: DataFrame, period: str, dimensions: tuple[str, ...] = DIMENSIONS, ts_col: str = "purchase_date") -> DataFrame:
+    """(dimension, value, revenue, pairs_sold, orders, aov, revenue_share): sales_by() for each of the columns that there are, from one scan.
+
+    Rows are first summed by all of the columns and the order, so that GROUPING SETS multiply these sums, and orders are
+    told apart exactly in each set.
+    """
+    names = [d for d in dimensions if d in sales.columns]
+    parts = {"revenue": "double", "pairs_sold": "long"}
+    orders = P.since_timestamp(sales, period, ts_col).groupBy(*names, "order_id").agg(*(F.sum(c).alias(c) for c in parts))
+    found = orders.groupingSets([[d] for d in names], *names).agg(
+        *(total(F.col(c)).cast(kind).alias(c) for c, kind in parts.items()), F.count_distinct("order_id").alias("orders"), *(F.grouping(d).alias(f"_{k}") for k, d in enumerate(names))
+    )
+    # A set's own column is the one that is not grouped away.
+    own = [F.when(F.col(f"_{k}") == 0, F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("value"))) for k, d in enumerate(names)]
+    table = found.select(F.coalesce(*own).alias("own"), *parts, "orders").select("own.*", *parts, "orders").where("value is not null")
+    whole = F.sum("revenue").over(Window.partitionBy("dimension"))
+    return table.withColumns({"aov": ratio0(F.col("revenue"), F.col("orders")), "revenue_share": ratio0(F.col("revenue"), whole) * 100.0})
 
 
 def velocity(sales: DataFrame, period: str, top_n: int = 20, ts_col: str = "purchase_date") -> DataFrame:
     """By product: pairs and revenue a day, over the whole days between the first and the last moment, and one."""
     rows = P.since_timestamp(sales, period, ts_col)
-    span = rows.agg(F.greatest(F.floor((F.unix_seconds(F.max(ts_col)) - F.unix_seconds(F.min(ts_col))) / 86400) + 1, F.lit(1)).alias("days"))
-    grouped = rows.dropna(subset=["product_name"]).groupBy("product_name").agg(*sums()).drop("units_sold_amazon", "orders")
+    grouped = rows.groupBy("product_name").agg(*sums()[:2], F.min(ts_col).alias("_first"), F.max(ts_col).alias("_last"))
+    # All rows have a part in the span, those without a product in nothing else.
+    named = F.col("product_name").isNotNull()
+    both = grouped.withColumn("_all", F.explode(F.when(named, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    both = both.groupBy(F.when(F.col("_all") == 0, F.col("product_name")).alias("product_name"), "_all").agg(F.sum("revenue").alias("revenue"), F.sum("pairs_sold").alias("pairs_sold"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    first = both.orderBy(F.desc("_all"), F.desc("revenue"), "product_name").limit(top_n + 1)
+    whole = lambda f, c: f(F.when(F.col("_all") == 1, F.col(c))).over(Window.partitionBy(F.lit(1)))
+    days = F.greatest(F.floor((F.unix_seconds(whole(F.max, "_last")) - F.unix_seconds(whole(F.min, "_first"))) / 86400) + 1, F.lit(1))
     c = F.col
-    daily = grouped.join(F.broadcast(span)).withColumns({"pairs_per_day": ratio(c("pairs_sold"), c("days")), "revenue_per_day": ratio(c("revenue"), c("days"))}).drop("days")
-    return daily.orderBy(F.desc("revenue"), "product_name").limit(top_n)
+    daily = first.withColumn("days", days).where("_all = 0").withColumns({"pairs_per_day": ratio(c("pairs_sold"), c("days")), "revenue_per_day": ratio(c("revenue"), c("days"))})
+    return daily.drop("days", "_all", "_first", "_last").orderBy(F.desc("revenue"), "product_name")
 
 
 def weekday_sales(sales: DataFrame, period: str, ts_col: str = "purchase_date") -> DataFrame:
@@ -206,7 +240,7 @@ def topn_share_within(table: DataFrame, value: str, by: list[str], n: int) -> Da
 
 def totals_by(sales: DataFrame, key: str, since: str | None = None) -> DataFrame:
     """By one column, of all time or since a day: totals."""
-    rows = sales if since is None else sales.where(F.col("date") >= F.lit(since).cast("date"))
+    rows = sales if since is None else P.within(sales, F.lit(since), None)
     return rows.dropna(subset=[key]).groupBy(key).agg(*sums())
 
 

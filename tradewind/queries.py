@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +12,7 @@ from .fixtures import (
 
 from .functions.columns import utc_time
 from .plans import report
-from .sources import tables
+from .sources import facts, tables
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -28,12 +25,6 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 # Sources and preparation
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a query writes and reads again: where the cluster keeps its checkpoints, or a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def scan_table(spark: SparkSession, d: str) -> DataFrame:
     return tables.scan_table(spark, "lineitem", d).select("l_orderkey", "l_linenumber", "l_quantity")
@@ -53,7 +44,7 @@ REPORT_SQL = f"WITH {PPC}, {REPORT} SELECT week - 1 AS date, week, round(ordered
 @query(REPORT_SQL)
 def scan_csv_report(spark: SparkSession, d: str) -> DataFrame:
     """The report written as a file of text and read again."""
-    path = _folder(spark, "report")
+    path = facts.new_path(spark, "report")
     _report_text(spark, d).write.option("header", True).csv(path)
     return prep.prep_business_report(tables.scan_csv_report(spark, path))
 
@@ -366,7 +357,7 @@ TYPES = ["ECONOMY", "SMALL", "MEDIUM", "LARGE", "PROMO", "STANDARD"]
 PIVOT = ", ".join(f"{{}}CAST(sum(CASE WHEN type = '{t}' THEN revenue END) AS DOUBLE){{}} AS {t}" for t in TYPES)
 on_sales("pivot_type", lambda s: trends.pivot_weeks(s, "type", TYPES, fill=False), f"SELECT {MON} AS week, {PIVOT.replace('{}', '')} FROM sales GROUP BY 1")
 ITEMS = [f"{a} {b}" for a in ("blue", "cold", "hot", "large", "new", "old", "red", "small") for b in ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget")]
-on_sales("pivot_sku", lambda s: trends.pivot_weeks(s, "item_name", ITEMS), f"SELECT {MON} AS week, {', '.join(f'coalesce(CAST(sum(revenue) FILTER (item_name = {chr(39)}{t}{chr(39)}) AS DOUBLE), 0) AS {chr(34)}{t}{chr(34)}' for t in ITEMS)} FROM sales GROUP BY 1")
+on_sales("pivot_sku", lambda s: trends.pivot_weeks(s, "item_name", ITEMS, other="other"), f"SELECT {MON} AS week, {', '.join(f'coalesce(CAST(sum(revenue) FILTER (item_name = {chr(39)}{t}{chr(39)}) AS DOUBLE), 0) AS {chr(34)}{t}{chr(34)}' for t in ITEMS)}, coalesce(CAST(sum(revenue) FILTER (item_name NOT IN {tuple(ITEMS)}) AS DOUBLE), 0) AS other FROM sales GROUP BY 1")
 on_sales(
     "weekly_sku_pivot",
     trends.weekly_sku_pivot,
@@ -387,11 +378,11 @@ on_ppc("keyword_compare", lambda p: rootcause.keyword_compare(p, GOOD, BAD), KC)
 on_ppc("keyword_compare_active", lambda p: rootcause.keyword_compare_active(rootcause.keyword_compare(p, GOOD, BAD)), f"SELECT * FROM ({KC}) WHERE good_spend > 10 AND bad_spend > 10")
 BRAND = f"CASE WHEN lower(search_term) LIKE '%{TOKEN}%' THEN 'Branded' ELSE 'Non-Branded' END"
 on_ppc("brand_split", lambda p: rootcause.brand_split(p, TOKEN), f"SELECT *, {RATIOS(('cvr', 'roas'))} FROM (SELECT {MON} AS week, {BRAND} AS brand_type, {ADS()} FROM ppc GROUP BY 1, 2)")
-for name, keys in (("waste_terms", ("search_term",)), ("waste_terms_by_match_type", ("search_term", "match_type"))):
+for name, keys, days in (("waste_terms", ("search_term",), (BAD[1], BAD[1])), ("waste_terms_by_match_type", ("search_term", "match_type"), None)):
     on_ppc(
         name,
-        lambda p, keys=keys: rootcause.waste_terms(p, TOKEN, keys=keys),
-        f"SELECT *, {RATIOS(('cvr',))} FROM (SELECT {', '.join(keys)}, {ADS()} FROM ppc WHERE {BRAND} = 'Non-Branded' GROUP BY {', '.join(keys)}) WHERE spend > 5 AND orders = 0",
+        lambda p, keys=keys, days=days: rootcause.waste_terms(P.between_days(p, *days) if days else p, TOKEN, keys=keys),
+        f"SELECT *, {RATIOS(('cvr',))} FROM (SELECT {', '.join(keys)}, {ADS()} FROM ppc WHERE {BRAND} = 'Non-Branded' {'AND ' + IN.format(*days) if days else ''} GROUP BY {', '.join(keys)}) WHERE spend > 5 AND orders = 0",
     )
 on_sales("sku_mix", lambda s: rootcause.sku_mix(s, SPLIT).withColumn("share", F.round("share", 9)), f"SELECT period, item_name, revenue, round({div('revenue', 'sum(revenue) OVER (PARTITION BY period)')}, 9) AS share FROM (SELECT CASE WHEN date < '{SPLIT}' THEN 'before' ELSE 'after' END AS period, item_name, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales GROUP BY 1, 2)")
 on_sales(
@@ -450,7 +441,7 @@ on_sales("cash_decision_check", lambda s: forecast.cash_decision_check(_flow(s),
 
 def _raw_exports(spark: SparkSession, d: str) -> str:
     """Raw exports of orders, catalogue and ads, written as tables; there are none of inventory."""
-    path = _folder(spark, "exports")
+    path = facts.new_path(spark, "exports")
     sold = sales_table(spark, d)
     sold.select(
         F.col("order_id").cast("string").alias("amazon-order-id"), F.date_format("purchase_date", "yyyy-MM-dd'T'HH:mm:ss").alias("purchase-date"), "asin", F.col("item_name").alias("product-name"),
@@ -484,6 +475,10 @@ def load_all(spark: SparkSession, d: str) -> DataFrame:
 )
 def report_bundle(spark: SparkSession, d: str) -> DataFrame:
     """All reports of a period over loaded exports, written; one of them read again."""
-    path = _folder(spark, "bundle")
+    path = facts.new_path(spark, "bundle")
     report.report_bundle(_loaded(spark, d), "LAST_30_DAYS", path)
     return _rounded(spark.read.parquet(f"{path}/period=LAST_30_DAYS/sales_breakdown").select("type", "revenue", "orders", "revenue_pct"), "revenue", "revenue_pct")
+
+
+# Last, as it refers to queries of this module
+from . import report_queries  # noqa: E402, F401
