@@ -77,16 +77,23 @@ def brute_members(rows):
             t = m[0]
             if ("@" in t or len(re.sub("[^0-9]", "", t)) >= P.DIGITS) and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
                 spans.append((m.start(), m.end(), -1, t))
+        piece = r"\(?[0-9]+\)?(?:[.-][0-9]+)*"
+        for m in re.finditer(rf"(?<!\S)\+?{piece}(?: {piece})+(?=[.,;:!?]*(?:\s|$))", text):
+            if P.DIGITS <= len(re.sub("[^0-9]", "", m[0])) <= P.MOST and not any(a < m.end() and m.start() < b for a, _, b, _ in base):
+                spans.append((m.start(), m.end(), -1, m[0]))
         for a, b, k, t in spans:
-            left = re.search(r"(?:^|\s)(\S+\s+\S+)\s*$", text[max(a - P.NEAR, 0) : a])
-            right = re.search(r"""^[.,;:!?)\]"']*\s+(\S+\s+\S+)(?:\s|$)""", text[b : b + P.NEAR])
+            left = re.search(r"(?:^|\s)(\S+\s+\S+)\s*$", text[:a])
+            right = re.search(r"""^[.,;:!?)\]"']*\s+(\S+\s+\S+)(?:\s|$)""", text[b:])
+            # Whole words within NEAR characters, and the blank that ends them if the text goes on.
+            left = left if left and (a <= P.NEAR or left.start() >= a - P.NEAR) else None
+            right = right if right and (len(text) - b <= P.NEAR or right.end() <= P.NEAR) else None
             own[t] = max(k, own.get(t, -1))
             for side, m in (("<", left), (">", right)):
                 if m:
                     edges.setdefault(side + re.sub("[0-9]+", "0", m[1].lower()), set()).add(t)
     known = {t: k for t, k in own.items() if k >= 0 and any(t in x for x in edges.values())}
     seeds = set(known)
-    for _ in range(P.ROUNDS):
+    while True:
         sure = {}
         for p, tokens in edges.items():
             kinds = [known.get(t) for t in tokens]
@@ -114,6 +121,35 @@ def hops():
     return rows
 
 
+def test_a_chain_of_hops_is_followed_to_its_end(spark):
+    """Each hop's identifiers come with the pattern before theirs and with one of their own."""
+    names = [f"n{chr(97 + k)}" for k in range(14)]
+    rows = [(k, f"begin with na at +1 (555) 010-{1000 + k} end") for k in range(4)]
+    for hop in range(12):
+        for k in range(3):
+            number = f"7{hop:02}{k}5550"
+            rows += [(0, f"begin with {names[hop]} at {number} end" if hop == 0 else f"it {names[hop]} at {number} end"), (0, f"it {names[hop + 1]} at {number} stop")]
+    known = brute_members(rows)
+    assert len(known) == 36
+    found = P.occurrences(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.token: r.kind for r in P.members(found).collect()} == known
+
+
+def test_identifiers_in_several_words(spark):
+    rows = [(k, f"please call me at +1 (555) 010-{1000 + k} today or so") for k in range(6)]
+    rows += [(10, "please call me at 555 010 7788, today or so"), (11, "please call me at (555) 010-77.88 today"), (12, "x " + "1 " * 20_000 + "x"), (13, "please call me at 1 2 3 today"), (14, "again 555 010 7788"), (15, "no 555 010 7788x")]
+    got = {r.doc_id: [s.token for s in r.spans if s not in r.base] for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10] == got[14] == ["555 010 7788"] and got[11] == ["(555) 010-77.88"] and not got[12] and not got[13] and not got[15]
+    assert {r.token: r.kind for r in P.members(P.occurrences(spark.createDataFrame(rows[:12] + rows[13:], "doc_id long, text string"))).collect()} == brute_members(rows[:12] + rows[13:])
+
+
+def test_words_are_not_cut(spark):
+    long = "y" * 100
+    rows = [(0, f"{long} at 123456789 {long} z"), (1, f"a {long} 123456789"), (2, f"b {'y' * 70} c 987654321 d {'y' * 70} e"), (3, f"{'y' * 74} at 55555 {'y' * 74} at")]
+    around = {r.doc: [list(s.around) for s in r.other] for r in P.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert around == {0: [["", ""]], 1: [["", ""]], 2: [[f"<{'y' * 70} c", f">d {'y' * 70}"]], 3: [[f"<{'y' * 74} at", f">{'y' * 74} at"]]}
+
+
 def test_discoveries_induce_patterns(spark):
     rows = hops()
     got = {r.doc_id: [tuple(s)[1:] for s in r.spans if s not in r.base] for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -10,6 +10,7 @@ pattern of their kind fits.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +31,18 @@ PATTERNS = [
 NEEDED = ["@", ".", None, "+"]
 #: Written words with a digit or an @: what may be an identifier.
 SHAPED = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Digits that an identifier other than an address has at least.
-DIGITS = 5
-#: Rounds of discovery, at most.
-ROUNDS = 8
+#: Two or more written words of digits, with one blank between: what may be an identifier in several words. What follows
+#: the last one without a blank is a part of the match, so that no place is looked at twice.
+RUN = r"(?<![^\x20\x09-\x0D])[(+]?[0-9]++[)]?(?:[.-][0-9]++)*+(?:\x20[(]?[0-9]++[)]?(?:[.-][0-9]++)*+)++[^\x20\x09-\x0D]*+"
+#: Digits that an identifier other than an address has at least, and one in several words at most.
+DIGITS, MOST = 5, 19
+#: Rounds of discovery after which the members are one table again.
+TOGETHER = 8
 #: Confidence from which patterns and identifiers count, and distinct members that a pattern goes with at least.
 CONFIDENT, MEMBERS = 0.8, 3
 #: What an identifier that is no member weighs against a pattern; a member of another kind weighs 1.
 UNKNOWN = 0.25
-#: Characters before and after a span in which its patterns' words are looked for.
+#: Characters before and after a span in which its patterns' words have to stand whole.
 NEAR = 80
 
 SPAN = "struct<start:int,kind:int,end:int,token:string>"
@@ -100,15 +104,28 @@ def base_spans(text: str) -> Column:
 
 
 def _context(text: Column, start: Column, end: Column) -> Column:
-    """The last two words before a place and the first two after it, each an empty text if there are fewer; lower-cased, digits as 0."""
+    """The last two words before a place and the first two after it, each an empty text if there are fewer within NEAR characters; lower-cased, digits as 0."""
     before = F.substr(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
     after = F.substr(text, end + 1, F.lit(NEAR))
-    found = [F.regexp_extract(before, r"(?:^|\s)([^\s]+\s+[^\s]+)\s*$", 1), F.regexp_extract(after, r"""^[.,;:!?)\]"']*\s+([^\s]+\s+[^\s]+)(?:\s|$)""", 1)]
-    return F.array(*(F.when(x != "", F.concat(F.lit(side), F.regexp_replace(F.lower(x), "[0-9]+", "0"))).otherwise("") for side, x in zip("<>", found, strict=True)))
+    # Where the text goes on beyond NEAR, a word that reaches its edge may be longer.
+    first = F.when(start > NEAR, F.regexp_extract(before, r"\s([^\s]+\s+[^\s]+)\s*$", 1)).otherwise(F.regexp_extract(before, r"(?:^|\s)([^\s]+\s+[^\s]+)\s*$", 1))
+    last = F.when(F.length(text) - end > NEAR, F.regexp_extract(after, r"""^[.,;:!?)\]"']*\s+([^\s]+\s+[^\s]+)\s""", 1)).otherwise(F.regexp_extract(after, r"""^[.,;:!?)\]"']*\s+([^\s]+\s+[^\s]+)(?:\s|$)""", 1))
+    return F.array(*(F.when(x != "", F.concat(F.lit(side), F.regexp_replace(F.lower(x), "[0-9]+", "0"))).otherwise("") for side, x in (("<", first), (">", last))))
+
+
+def _runs(text: Column) -> Column:
+    """The identifiers in several words that there may be, as an array of SPAN; signs after the last word are left out."""
+    found = F.coalesce(F.when(text.rlike("[0-9)] [(0-9]"), F.expr(_spans("text", RUN, -1))), F.array().cast(f"array<{SPAN}>"))
+
+    def cut(s: Column) -> Column:
+        token = F.regexp_replace(s["token"], "[.,;:!?]+$", "")
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), (s["start"] + F.length(token)).alias("end"), token.alias("token"))
+
+    return F.filter(F.transform(found, cut), lambda s: s["token"].rlike(r"^[0-9()+.\x20-]*[0-9)]$") & F.length(_digits(s["token"])).between(DIGITS, MOST))
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(doc, sha, base, other): each row's base spans, and other words that may be identifiers; both with the patterns around them.
+    """(doc, sha, base, other): each row's base spans, and other words and runs of words that may be identifiers; both with the patterns around them.
 
     keep: with row too, all columns of docs.
     """
@@ -117,17 +134,19 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other = F.when(F.col("text").rlike("[0-9@]"), F.expr(_spans("text", SHAPED, -1)))
     rows = rows.withColumn("other", F.coalesce(other, F.array().cast(f"array<{SPAN}>")))
     likely = F.filter("other", lambda s: s["token"].contains("@") | (F.length(_digits(s["token"])) >= DIGITS))
-    rows = rows.withColumn("other", F.filter(likely, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    rows = rows.withColumn("other", F.concat(likely, _runs(F.col("text"))))
+    rows = rows.withColumn("other", F.filter("other", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     add = lambda name: F.transform(name, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["token"].alias("token"), _context(F.col("text"), s["start"], s["end"]).alias("around")))
     return rows.select(*(["row"] if keep else []), "doc", "sha", add("base").alias("base"), add("other").alias("other"))
 
 
-def members(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def members(found: DataFrame) -> DataFrame:
     """(token, kind) of the discovered identifiers, from occurrences().
 
     A pattern's confidence in a kind is the share of that kind's members among its distinct identifiers, of which
     those of no kind weigh UNKNOWN; an identifier's is that not all its patterns are wrong, and its kind the one it
-    has most confidence in, of equals the first. Each round is a table of its own.
+    has most confidence in, of equals the first. Each round is a table of its own; rounds follow each other until one
+    adds nothing, which comes, as each adds identifiers of the graph.
     """
     both = found.select(F.explode(F.concat("base", "other")).alias("s")).select(F.explode("s.around").alias("pattern"), "s.token", "s.kind").where("pattern <> ''")
     edges = staged(both.groupBy("pattern", "token").agg(F.max("kind").alias("own")), "edges")
@@ -136,7 +155,7 @@ def members(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     edges = staged(edges.join(wide, "pattern", "left_semi"), "graph")
     seeds = edges.where("own >= 0").groupBy("token").agg(F.min("own").alias("kind"))
     known = staged(seeds.withColumn("round", F.lit(0)), "members")
-    for n in range(1, rounds + 1):
+    for n in count(1):
         told = edges.select("pattern", "token").join(known, "token", "left")
         counts = told.groupBy("pattern").agg(F.count_if(F.col("kind").isNull()).alias("unknown"), *(F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(len(KINDS))))
         kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"k{k}").alias("n")) for k in range(len(KINDS))))
@@ -151,6 +170,8 @@ def members(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if fresh.isEmpty():
             break
         known = known.union(fresh)
+        if n % TOGETHER == 0:
+            known = staged(known, "members")
     return known.where("round > 0").select("token", "kind")
 
 
