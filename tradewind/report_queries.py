@@ -11,7 +11,7 @@ from .fixtures import (
     ADS, CHANGE, CHANGES, FIVE, KPIS, NOW, ORACLES, PPC, PRIOR, QUERIES, RATIOS, SALES, SUMS,
     ads, div, div0, inventory_table, make_sales, on_sales, ppc_table, prep, query, sales, sales_table, stored,
 )
-from .plans import report, tools
+from .plans import report, table_functions, tools
 from .sources import facts, tables
 
 # The store
@@ -232,3 +232,24 @@ put(
     on(*TREND),
     ("recent_avg", "prior_avg", "change_pct", "total"),
 )
+
+# The same from SQL, by table functions
+
+_functions: dict[tuple[str, str], str] = {}
+
+
+def functions(spark: SparkSession, d: str) -> str:
+    """The prefix of the table functions over a folder's facts; they are created when one is first asked for."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _functions:
+        _functions[key] = f"f{len(_functions)}_"
+        table_functions.create_functions(spark, _tables(spark, d), _functions[key])
+    return _functions[key]
+
+
+SQL_CALLS = {
+    "get_sales_summary": ("", ()), "get_ppc_summary": ("days => 7", ()), "get_marketing_summary": ("", MARKETING), "get_top_keywords": ("days => 30", ()), "get_top_products": ("days => 90, metric => 'revenue'", ()),
+    "get_product_mix": ("", ("revenue_pct",)), "get_color_performance": ("", ("revenue_pct",)), "get_sales_summary_period": ("period => 'LAST_7_DAYS'", ()), "compare_periods": ("group_by => 'size'", ("contribution_pct",)),
+}
+for _name, (_said, _round) in SQL_CALLS.items():
+    put(f"sql_{_name}", lambda spark, d, n=_name, said=_said: spark.sql(f"SELECT * FROM {functions(spark, d)}{n}({said})"), ORACLES[f"tool_{_name}"], _round)
