@@ -235,12 +235,12 @@ put(
 
 # The same from SQL, by table functions
 
-_functions: dict[tuple[str, str], str] = {}
+_functions: dict[tuple[str, str, str], str] = {}
 
 
 def functions(spark: SparkSession, d: str) -> str:
     """The prefix of the table functions over a folder's facts; they are created when one is first asked for."""
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.sessionUUID(), d)  # temporary functions are a session's
     if key not in _functions:
         _functions[key] = f"f{len(_functions)}_"
         table_functions.create_functions(spark, _tables(spark, d), _functions[key])
