@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bound_batches, text_or_empty
+from .shared import bound_batches, released, text_or_empty
 
 #: Pieces to a group, on average.
 GROUP = 4096
@@ -257,7 +257,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: in
                 kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], [id_col, "start", "length", "doc_tokens", "ids"])
 
-    return bound_batches(rows).mapInArrow(run, f"{id_col} long, start long, length long, doc_tokens long, ids binary")
+    return bound_batches(rows).mapInArrow(released(run), f"{id_col} long, start long, length long, doc_tokens long, ids binary")
 
 
 def closest_fill(counts: dict[int, int], capacity: int, order: list[int] | None = None) -> dict[int, int]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bound_batches, checked_broadcast, discard, partitions, staged
+from .shared import bound_batches, checked_broadcast, discard, partitions, released, staged
 
 #: Shingles hashed at a time, which bounds the memory that a long text takes.
 BLOCK = 1 << 16
@@ -92,7 +92,7 @@ def _per_text(df: DataFrame, id_col: str, text_col: str, f: Callable, name: str,
             values = pa.array([f(t.as_py()) for t in x.column(1)], arrow)
             yield pa.RecordBatch.from_arrays([x.column(0), values], ["id", name])
 
-    return bound_batches(rows).mapInArrow(run, f"id long, {name} {kind}")
+    return bound_batches(rows).mapInArrow(released(run), f"id long, {name} {kind}")
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
@@ -239,7 +239,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array([len(s) for s in found], pa.int32()), firsts], ["id", "sha", "m", "p"])
 
     hashed = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
-    rows = staged(bound_batches(hashed).mapInArrow(run, "id long, sha binary, m int, p array<long>"), "prefixes")
+    rows = staged(bound_batches(hashed).mapInArrow(released(run), "id long, sha binary, m int, p array<long>"), "prefixes")
     named = staged(rows.groupBy("sha").agg(F.min("id").alias("node"), F.count("*").alias("n")), "classes")
     # Texts of one class are equal; a repeated id may stand for two of them.
     nodes = rows.withColumnRenamed("id", "node").join(named, ["sha", "node"], "left_semi").dropDuplicates(["node"])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import labelled_sample
-from .shared import bound_batches
+from .shared import bound_batches, give_back_memory, released
 
 #: Labelled documents that are learnt from, at most.
 SAMPLE = 16_000
@@ -95,7 +95,7 @@ def count_characters(docs: DataFrame, text_col: str = "text") -> DataFrame:
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["code", "n"])
 
-    return bound_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return bound_batches(docs).select(F.col(text_col).cast("string").alias("text")).mapInArrow(released(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def language_model(counts: DataFrame) -> np.ndarray:
@@ -344,7 +344,7 @@ def _label_counts(sample: DataFrame, model: np.ndarray) -> DataFrame:
         names = sorted(counts[0].keys() | counts[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([counts[y][f] for f in names], pa.int64()) for y in (1, 0))], ["f", "toxic", "clean"])
 
-    return sample.mapInArrow(run, "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.mapInArrow(released(run), "f string, toxic long, clean long").groupBy("f").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _evidence(sample: DataFrame, judge: Toxicity) -> DataFrame:
@@ -352,7 +352,7 @@ def _evidence(sample: DataFrame, judge: Toxicity) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([judge.evidence(t.as_py()) for t in b.column(0)], pa.float64()), b.column(1)], ["e", "y"])
 
-    return sample.mapInArrow(run, "e double, y int")
+    return sample.mapInArrow(released(run), "e double, y int")
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, label: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
@@ -408,14 +408,16 @@ def score_toxicity(docs: DataFrame, judge: Toxicity, id_col: str = "doc_id", tex
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([judge.score(t.as_py() or "") for t in b.column(1)], pa.float64())], ["c0", "score"])
 
-    return bound_batches(rows).mapInArrow(run, f"c0 {kind}, score double").select(F.col("c0").alias(id_col), "score")
+    return bound_batches(rows).mapInArrow(released(run), f"c0 {kind}, score double").select(F.col("c0").alias(id_col), "score")
 
 
 def with_toxicity(docs: DataFrame, judge: Toxicity, text_col: str = "text", name: str = "toxicity") -> DataFrame:
     """docs with one more column, the score of each row's text; null texts count as empty."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([judge.score(t or "") for t in texts], dtype=float)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([judge.score(t or "") for t in texts], dtype=float)
+        give_back_memory()
 
     return bound_batches(docs).withColumn(name, score(F.col(text_col)))
