@@ -55,7 +55,7 @@ def test_restored_text(model):
 
 HIDDEN = [
     "what a l o s e r", "y o u i d i o t", "y o u i i i d i o t", "i d i o t e", "u r a m 0 r 0 n", "the s  t u p i d clown", "s\tt\tu\tp\ti\td",
-    "i\nd\ni\no\nt", "iiddiioott", "i i d d i i o o t t", "stuppid", "a looser", "mmorronn!", "you 1ddi0t", "idddioott", "STUPPID",
+    "id iot", "an i d iot.", "(st upid", "st  up\nid!", "los er", "IDI OT", "iiddiioottt ii dd", "i\nd\ni\no\nt", "iiddiioott", "i i d d i i o o t t", "stuppid", "a looser", "mmorronn!", "you 1ddi0t", "idddioott", "STUPPID",
 ]
 
 
@@ -65,12 +65,28 @@ def test_evidence_of_spaced_and_doubled_words(model, text):
     assert judge.evidence(text) == 3.0
 
 
-@pytest.mark.parametrize("text", ["", "the clown met a trash letter", "a b c d e", "1 2 3 4 5", "w h a t", "a " * 5000, "los er", "m o r e"])
+@pytest.mark.parametrize("text", ["", "the clown met a trash letter", "a b c d e", "1 2 3 4 5", "w h a t", "a " * 5000, "los er.s", "los xer", "m o r e", "the los. er"])
 def test_no_evidence_in_other_words(model, text):
     judge = X.Toxicity(model, {f"={w}": 3.0 for w in ("idiot", "loser", "stupid", "moron")})
     assert judge.evidence(text) == 0
 
 
+def test_doubled_letters_in_all_ways(model):
+    """However many there are: as by listing all ways."""
+    draw = np.random.default_rng(4)
+    names = sorted({"".join(draw.choice(list("abc"), draw.integers(1, 7))) for _ in range(400)})
+    judge = X.Toxicity(model, {**{f"={w}": 1.0 for w in names[::2]}, **{w: 1.0 for w in names[1::2] if 4 <= len(w) <= 7}})
+    hits = 0
+    for _ in range(300):
+        word = "".join(str(c) * int(draw.choice([1, 2, 2, 3], p=[0.4, 0.3, 0.25, 0.05])) for c in draw.choice(list("abc"), draw.integers(1, 9)))
+        runs = X._runs(word)
+        ways = product(*([x, x[0]] if len(x) == 2 else [x] for x in runs))
+        want = {f for w in map("".join, ways) for f in X.word_features(w) if f in judge.names}
+        assert judge.of_doubled(word) == want, word
+        hits += len(want)
+    assert hits > 100
+
+
 SIGNS = ["".join(np.random.default_rng(k).choice(list("abcdlo016!|+.€ee"), 9)) for k in range(40)]
 
 

@@ -3,8 +3,9 @@
 A written word may hide another one: digits and signs stand for letters, letters repeat, spaces or dots come in
 between. The channel gives each written character the letters it may stand for, which makes a lattice; Viterbi
 decoding finds its likeliest path under a language model of characters that is counted over all documents. A run of
-single characters is read between all blanks where words may part, and doubled letters as one and as two. The restored
-words are then scored by the words and word beginnings that go with toxic labels.
+single characters is read between all blanks where words may part, and doubled letters as one and as two. Pieces beside
+each other that a word of the lexicon falls into are decoded with their blanks, which may part words or not. The
+restored words are then scored by the words and word beginnings that go with toxic labels.
 """
 
 from __future__ import annotations
@@ -34,8 +35,13 @@ KEPT_WORDS = 120_000
 SIGN, REPEAT, SKIP = -1.5, -0.5, -0.7
 #: Of blanks inside a run of single characters: one blank that parts words, a longer blank that does not.
 PART, JOIN = -1.0, -2.0
-#: Doubled letters of a word that are each read as one and as two, in all ways; in words with more the lattice decides.
+#: Of blanks between pieces of several characters: one that does not part words.
+APART = -5.0
+#: Doubled letters of a word of which all ways to read them as one and as two are listed; with more, the lexicon is
+#: looked up by words without doubled letters instead, which gives the same.
 DOUBLES = 4
+#: Letters that a word of the lexicon has at least to be looked for in pieces.
+PIECES = 4
 #: How much less likely than the best way to part a run of single characters another may be whose words are read, and
 #: the characters that a word between two blanks of a run may have; the whole run is read in any case.
 MARGIN, SPAN = 6.0, 32
@@ -111,7 +117,10 @@ def language_model(counts: DataFrame) -> np.ndarray:
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each run of equal characters, the letters it may stand for and their log-probabilities; a blank may part words."""
+    """For each run of equal characters, the letters it may stand for and their log-probabilities; blanks may part words.
+
+    One or two blanks stand between single characters, three between pieces.
+    """
     out, k, word = [], 0, word.lower()
     while k < len(word):
         c, n = word[k], 1
@@ -121,7 +130,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         if c in LEET:
             options = [(x * m, SIGN) for x in LEET[c] for m in {1, min(n, 2)}]
         elif c == " ":
-            options = [("", 0.0), (" ", PART)] if n == 1 else [("", JOIN), (" ", 0.0)]
+            options = [("", 0.0), (" ", PART)] if n == 1 else [("", JOIN if n == 2 else APART), (" ", 0.0)]
         elif c in SEPARATORS or c.isspace():
             options = [("", SKIP)]
         elif n >= 3:
@@ -229,9 +238,13 @@ def _evened(run: str) -> str:
     return BLANK.sub(lambda m: " " if len(m[0]) == 1 else "  ", run)
 
 
+def _runs(word: str) -> list[str]:
+    return [m[0] for m in re.finditer(r"(.)\1*", word, re.DOTALL)]
+
+
 def undoubled(word: str) -> Iterator[str]:
-    """A word with each of its doubled letters as one and as two, in all ways; with too many of them, as it is."""
-    runs = [m[0] for m in re.finditer(r"(.)\1*", word, re.DOTALL)]
+    """A word with each of its doubled letters as one and as two, in all ways; with more than DOUBLES of them, as it is."""
+    runs = _runs(word)
     twice = [k for k, x in enumerate(runs) if len(x) == 2 and x.isalpha()]
     if len(twice) > DOUBLES:
         twice = []
@@ -292,6 +305,12 @@ class Toxicity:
     def __post_init__(self) -> None:
         self.names = {f.partition("#")[0] for f in self.weights}
         self.heads = {collapsed(f.lstrip("="))[:3] for f in self.names}
+        self.short: dict[str, list[str]] = {}
+        for f in sorted(self.names):
+            self.short.setdefault(collapsed(f.lstrip("=")), []).append(f)
+        self.words = {f[1:] for f in self.names if f[0] == "=" and len(f) > PIECES}
+        self.begun = {w[:k] for w in self.words for k in range(1, len(w))}
+        self.joins: dict[str, bool] = {}
 
     def plain(self, token: str) -> bool:
         """Whether a written word is one of letters only that begins like no feature of the lexicon, doubled letters or not.
@@ -310,18 +329,61 @@ class Toxicity:
             near = self.begins[head] = any(short[:k] in self.heads for k in (1, 2, 3))
         return not near and not TRIPLE.search(low)
 
+    def of_doubled(self, word: str) -> set[str]:
+        """The lexicon's features that a word has in any way to read its doubled letters as one and as two."""
+        runs = _runs(word)
+        ways = [{1, 2} if len(x) == 2 and x.isalpha() else {len(x)} for x in runs]
+        short, found = "".join(x[0] for x in runs), set()
+        for k in {*range(1, 8), len(runs)}:
+            for f in self.short.get(short[:k], ()) if k <= len(runs) else ():
+                own = [len(x) for x in _runs(f.lstrip("="))]
+                fits = all(n in w for n, w in zip(own[:-1], ways, strict=False))
+                if fits and (own[-1] in ways[k - 1] and k == len(runs) if f[0] == "=" else own[-1] <= max(ways[k - 1])):
+                    found.add(f)
+        return found
+
+    def pieced(self, text: str) -> set[str]:
+        """The words of the lexicon that a text has in pieces, where it is likelier that no words part between them."""
+        pieces, found = text.lower().split(), set()
+        for i, piece in enumerate(pieces):
+            if piece not in self.begun:
+                if piece[0] not in EDGES or (piece := piece.lstrip(EDGES)) not in self.begun:
+                    continue
+            whole, run = piece, piece
+            for j in range(i + 1, len(pieces)):
+                last = pieces[j].rstrip(EDGES)
+                whole, run = whole + last, f"{run}   {last}"
+                if last and whole in self.words and self._joins(run, whole):
+                    found.add(whole)
+                if last != pieces[j] or whole not in self.begun:
+                    break
+        return found
+
+    def _joins(self, run: str, word: str) -> bool:
+        known = self.joins.get(run)
+        if known is None:
+            if len(self.joins) > KEPT_WORDS:
+                self.joins.clear()
+            known = self.joins[run] = decode(run, self.model) == word
+        return known
+
     def features(self, token: str) -> tuple[str, ...]:
         """Those of a written word's features that the lexicon names."""
         found = self.kept.get(token)
         if found is None:
             if len(self.kept) > KEPT_WORDS:
                 self.kept.clear()
-            found = self.kept[token] = tuple({f for x in _readings(token, self.model) for f in word_features(x) if f in self.names})
+            every = _readings(token, self.model)
+            names = {f for x in every for f in word_features(x) if f in self.names}
+            names.update(f for x in every if len(DOUBLE.findall(x)) > DOUBLES for f in self.of_doubled(x))
+            found = self.kept[token] = tuple(names)
         return found
 
     def evidence(self, text: str) -> float:
         """The three strongest words' weights, each counting half as much as the one before; 0 for a clean text."""
         found = [x for x in (self.features(t) for t in _tokens(text) if not self.plain(t)) if x]
+        told = {f for x in found for f in x}
+        found += [tuple(f for f in word_features(w) if f in self.names) for w in self.pieced(text) if f"={w}" not in told]
         if not found:
             return 0.0
         counts = Counter(f for x in found for f in x)
