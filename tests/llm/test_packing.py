@@ -67,3 +67,11 @@ def test_query(spark):
         assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
         padded += 2048 - ends[-1] if ends[-1] & (ends[-1] - 1) else 0
     assert padded <= 2048 * 2
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, 5, "x", 9, 2), (2, 2048, "y", 9, 3), (3, 7, "z", 9, 4)], "doc_id long, length long, Sequence_ID string, offset int, _group int")
+    packed = P.pack(df)
+    assert packed.columns == ["doc_id", "length", "sequence_id", "offset"]
+    assert sorted((r.doc_id, r.length) for r in packed.collect()) == [(1, 5), (2, 2048), (3, 7)]
+    assert P.pack(df.limit(0)).collect() == []

@@ -317,8 +317,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, spread_by: list[str] | None =
 
     Pieces are spread over groups of about `group` pieces by a hash of the columns spread_by (all of them, if none
     are named); they are counted for that, so they are best a written table. Lengths are from 1 to capacity. Rows
-    that are alike in every column go to one group. An empty table gives an empty result.
+    that are alike in every column go to one group. An empty table gives an empty result. Columns of pieces that have
+    the result's names already, or _group, in any case, are left out.
     """
+    pieces = pieces.drop(*(c for c in pieces.columns if c.lower() in ("sequence_id", "offset", "_group")))
     n = max(1, math.ceil(pieces.count() / group))
     columns = pieces.columns
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*(spread_by or columns)), F.lit(n)))
