@@ -52,3 +52,22 @@ def test_odd_rows(spark):
 def test_query_has_the_odd_conversation(spark):
     row = op10_chat(spark, "/root/testdata/sf0.001").where("conv_id = -1").first()
     assert (row.n_turns, row.loss_chars) == (2, len("<|im_end|><|im_start|>assistant ok"))
+
+
+def test_null_roles_and_texts_of_messages(spark):
+    rows = [(1, 0, 0, 1, None, None, "c"), (1, 1, 1, 1, "assistant", None, "c"), (1, 2, 2, 1, "assistant", "yes", "c"), (1, 2, 2, 1, "assistant", "yes", "c")]
+    said = read_back(format_messages(spark.createDataFrame(rows, "conv_id long, seq long, message long, part long, role string, text string, formatted string"))).collect()
+    assert [tuple(t) for t in said[0].turns] == [("", ""), ("assistant", ""), ("assistant", "yes"), ("assistant", "yes")] and said[0].loss == ["", "yes", "yes"]
+
+
+def test_a_very_long_conversation_equals_a_plain_version(spark, tmp_path):
+    """Whole digests, over many chunks, against joined strings."""
+    import hashlib
+
+    spark.createDataFrame([(c, k, "assistant" if k % 2 else "user", f"text {k} <|im_end|> \\" * (k % 3)) for c, n in ((1, 3000), (2, 1), (3, 257)) for k in range(n)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in op10_chat(spark, str(tmp_path)).collect()}
+    for c, n in ((1, 3000), (2, 1), (3, 257)):
+        turns = [("assistant" if k % 2 else "user", f"text {k} <|im_end|> \\" * (k % 3)) for k in range(n)]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[c].n_turns == n and got[c].loss_chars == len(loss) and got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()

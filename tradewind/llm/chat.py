@@ -62,9 +62,11 @@ def format_messages(messages: DataFrame, assistant: str = "assistant", chunk: in
 
     A conversation's formatted text is its chunks' in order; null sequence numbers are in the null chunk, before
     the others. Each turn is <|im_start|>role, a line break, its text, <|im_end|>, a line break; roles and texts are
-    escaped. loss_spans are (start, end) of the assistant's escaped texts in the chunk, in code points.
+    escaped. loss_spans are (start, end) of the assistant's escaped texts in the chunk, in code points. Rows that repeat
+    are turns of their own; those of one sequence number go by message, part, role and text. Null roles and texts count
+    as empty. No messages give no chunks. Further columns are not read.
     """
-    turn = F.struct("seq", "message", "part", "role", "text")
+    turn = F.struct("seq", "message", "part", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
     chunks = messages.withColumn("chunk", F.floor(F.col("seq") / chunk)).groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     chunks = chunks.withColumn(
         "turns", F.transform("turns", lambda t: F.struct((t["role"] == assistant).alias("loss"), F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body")))
@@ -86,7 +88,8 @@ def format_messages(messages: DataFrame, assistant: str = "assistant", chunk: in
 def read_back(chunks: DataFrame) -> DataFrame:
     """(conv_id, chunk, turns, loss, chars) of format_messages()'s chunks, from their text and spans alone.
 
-    turns: array of (role, text), unescaped; loss: the unescaped texts under the loss mask, in order.
+    turns: array of (role, text), unescaped; loss: the unescaped texts under the loss mask, in order. Each chunk gives a
+    row, repeated ones too; a null text gives nulls; no chunks give no rows.
     """
     parts = F.slice(F.split("formatted", r"<\|im_start\|>"), 2, 1 << 30)
 

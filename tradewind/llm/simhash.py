@@ -161,7 +161,8 @@ def link_buckets(indexes: list[DataFrame], verify: Callable[[DataFrame], DataFra
 def link_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(fp, component): the distinct fingerprints of fps(fp) that others within the radius link; lone ones are left out.
 
-    component is the smallest fingerprint, as a signed number, that can be reached.
+    component is the smallest fingerprint, as a signed number, that can be reached. Null fingerprints are left out,
+    repeated ones count once; an empty table gives an empty result; further columns are not read.
     """
     nodes = fps.select("fp").where("fp is not null").distinct()
     # The variants of one fingerprint are many rows; few fingerprints to a task keep their exchange in memory.
