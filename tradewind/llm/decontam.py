@@ -4,7 +4,9 @@ Windows are laid where a document shares a word shingle with an item, lined up w
 similarity 0. Which items a window is held against, the fingerprints tell: they are cut into BLOCKS blocks, so that
 of two fingerprints within the radius one block differs in at most radius // BLOCKS bits. Items are indexed under all
 such variants of their blocks, windows look their blocks up, and the shingles of the pairs within the radius are
-compared. Of blocks of 13 bits that may differ in 2, one pair in nine that have nothing in common meets.
+compared; of those that meet beyond it, the pairs within REACH, too. Of blocks of 13 bits that may differ in 2, one pair
+in nine that have nothing in common meets; of fingerprints of texts with nothing in common, three in 10,000 are within
+REACH.
 """
 
 from __future__ import annotations
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 
 from .shared import checked_broadcast, staged
 
-#: Bits of a fingerprint in which a window and its item may differ, of 128. At a similarity of 0.8 about 19 do, with a deviation of 4.
-RADIUS = 29
+#: Bits of a fingerprint in which a window and its item may differ, of 128, to be sure to meet; and those in which they may
+#: differ if they meet. At a similarity of 0.8 about 19 do, with a deviation of 4.
+RADIUS, REACH = 29, 45
 #: The blocks that each half of a fingerprint is cut into: (lowest bit, bits).
 CUTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 BLOCKS = 2 * len(CUTS)
@@ -74,13 +77,13 @@ def differing(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{x}{a}").bitwiseXOR(F.col(f"{x}{b}"))) for x in ("fp", "fp2")), F.lit(0))
 
 
-def find_passages(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def find_passages(docs: DataFrame, items: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS, reach: int = REACH, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(id_col, item_col, start, n_words, similarity): where documents hold an item, once for each pair, at its best window.
 
     start counts the document's words before the window, n_words the window's. Words are lower-cased runs of letters
     and digits. similarity is the weighted Jaccard one of the shingles of window and item, each weighing as often as
-    it comes; windows of at least `similarity` whose fingerprint is within the radius of the item's count, of equal
-    ones the first. Items of fewer words than a shingle, null and empty texts, and null ids take no part; texts have
+    it comes; windows of at least `similarity` whose fingerprint is within the radius of the item's count, or within
+    reach if a block of both is close, of equal ones the first. Items of fewer words than a shingle, null and empty texts, and null ids take no part; texts have
     no bound of length. Rows that repeat an id count as one document or item of several texts. Empty tables give an
     empty result; further columns are not read.
     """
@@ -102,11 +105,11 @@ def find_passages(docs: DataFrame, items: DataFrame, size: int = 5, similarity:
     windows = windows.select("doc", "start", "span", (last - first).alias("n_words"), F.slice("shingles", first + 1, F.greatest(last - first - size + 1, F.lit(0))).alias("shingles"))
     windows = staged(with_fingerprint(windows.where(F.col("n_words") >= size)), "windows")
 
-    # Fingerprints within the radius.
+    # Fingerprints within the radius, and within reach.
     left = windows.select("doc", "start", "span", "n_words", "fp", "fp2", F.explode(blocks()).alias("key"))
     right = staged(known.select("item", F.col("n_words").alias("span"), "fp", "fp2").select("item", F.explode(blocks(radius // BLOCKS)).alias("key")), "index")
     prints = known.select("item", F.col("fp").alias("fp_item"), F.col("fp2").alias("fp2_item"))
-    near = left.join(checked_broadcast(right), "key").join(checked_broadcast(prints), "item").where(differing("", "_item") <= radius)
+    near = left.join(checked_broadcast(right), "key").join(checked_broadcast(prints), "item").where(differing("", "_item") <= max(radius, reach))
     near = staged(near.select("doc", "start", "span", "n_words", "item").distinct(), "near")
 
     # The shingles themselves.
