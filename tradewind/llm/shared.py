@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar
 from functools import wraps
 
 import pyarrow as pa
@@ -20,17 +21,20 @@ BROADCAST_BYTES = 64 << 20
 BATCH_BYTES = 1 << 20
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset.
 
-    Our own is local to the machine, so only a local master may do without the setting.
+    Our own is local to the machine, so only a local master may do without the setting; it is one an application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(folder)
+        app = spark.sparkContext.applicationId
+        folder = _own_folders.get(app) or _own_folders.setdefault(app, f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return folder
 
 
@@ -54,22 +58,24 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     _delete(spark, path, on_exit=True)
     out = spark.read.schema(df.schema).parquet(path)
     out.stage_path = path
-    for made in _scratch:
+    for made in _scratch.get():
         made.append(out)
     return out
 
 
-_scratch: list[list[DataFrame]] = []
+#: The lists that staged() adds to; each thread has its own.
+_scratch: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch() -> Iterator[list[DataFrame]]:
     """The list of tables that are staged inside, so that they can be discarded when the result is written."""
-    _scratch.append([])
+    made: list[DataFrame] = []
+    before = _scratch.set((*_scratch.get(), made))
     try:
-        yield _scratch[-1]
+        yield made
     finally:
-        _scratch.pop()
+        _scratch.reset(before)
 
 
 def discard(*tables: DataFrame) -> None:
