@@ -232,9 +232,6 @@ class WordEncoder:
             out[k].append(ids)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, start, length, doc_tokens, ids): the pieces of every document, cut at multiples of capacity.
 
@@ -246,7 +243,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: in
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoders.get(tokenizer_path) or _encoders.setdefault(tokenizer_path, WordEncoder(tokenizer_path))
+        coder = WordEncoder(tokenizer_path)  # of this task alone: workers live on, and would keep its 100 MB through other work
         for x in batches:
             for k in range(0, len(x), TEXTS):
                 part = x.slice(k, TEXTS)
