@@ -37,3 +37,11 @@ def test_query_equals_its_sql(spark, sql, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_waste_terms_reads_all_days(spark, tmp_path):
+    rows = [("2024-01-03 00:00:00", "click", 1, 40.0, 1), ("2024-01-10 00:00:00", "click", 1, 40.0, 1), ("2024-01-03 00:00:00", "click", 2, 90.0, 2), ("2024-01-20 00:00:00", "purchase", 2, 9.0, 2)]
+    made = [f"(TIMESTAMP '{ts}', '{kind}', {user}, {value}, '{{\"k\": {k}}}')" for ts, kind, user, value, k in rows]
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {', '.join(made)}) t(ts, event_type, user_id, value, props)) TO '{tmp_path}/events.parquet'")
+    got = QUERIES["waste_terms"](spark, str(tmp_path)).collect()
+    assert [(r.search_term, r.clicks, r.spend, r.orders) for r in got] == [("term1", 2, 20, 0)]
