@@ -53,3 +53,45 @@ def test_codes_come_close(beam):
     assert ((near - x) ** 2).sum() < 0.25 * (x**2).sum()
     assert np.allclose(coder.scores(coder.tables(x[:5].astype(float)), codes), x[:5] @ near.T, atol=1e-3)
     assert np.allclose(coder.norms(codes), (near**2).sum(1), rtol=1e-4)
+
+
+def long_rows():
+    draw = np.random.default_rng(4)
+    return {i: (v * 3).tolist() for i, v in enumerate(draw.normal(size=(3000, 256)))}
+
+
+def shifted_rows():
+    """Norms from 1e-3 to 1e3, tight groups, and a common offset that is large beside what tells rows apart."""
+    draw = np.random.default_rng(5)
+    groups = draw.normal(size=(40, 24))[draw.integers(0, 40, 3000)] + draw.normal(0, 1e-4, (3000, 24))
+    rows = np.concatenate([groups[:1500] + 300, groups[1500:] * 10 ** draw.uniform(-3, 3, (1500, 1))])
+    return dict(enumerate(rows.tolist()))
+
+
+@pytest.mark.parametrize("rows", [long_rows, shifted_rows])
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_none_is_missed_on_rows_that_codes_tell_badly(spark, rows, metric):
+    vectors = rows()
+    x, queries = np.array(list(vectors.values())), [i for i in vectors if i % 50 == 0]
+    want = {}
+    for q in queries:
+        s = np.array([np.dot(x[q], v) if metric == "ip" else -((x[q] - v) ** 2).sum() for v in x])
+        s[q] = -np.inf
+        want[q] = np.sort(s)[::-1][:20]
+    got = {}
+    for r in A.search(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, sample=512, metric=metric).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    assert got.keys() == want.keys() and all(np.allclose(got[q], want[q], rtol=1e-11, atol=1e-9 * np.abs(want[q]).max()) for q in want)
+
+
+def test_blocks_and_large_numbers(spark, monkeypatch):
+    monkeypatch.setattr(A, "CODES", 100)
+    monkeypatch.setattr(A, "QUERIES", 30)
+    monkeypatch.setattr(A, "LANES", 7)
+    x = np.random.default_rng(6).integers(-2, 3, (900, 5)) * 2.0**500
+    vectors = {i: v.tolist() for i, v in enumerate(x) if v.any()}
+    want = brute(vectors, [i for i in vectors if i % 20 == 0], 20)
+    got = {}
+    for r in A.search(spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {q: [i for i, _ in found] for q, found in want.items()}

@@ -2,9 +2,10 @@
 
 Every vector is the sum of one codeword from each of several full-dimensional codebooks, found by beam search, and
 what the sum leaves is its residual. A query's inner products with all codewords make a lookup table; a vector's
-score is the sum of its codewords' entries. The best of each query by this score are then ranked by their exact
-inner products. Queries and codes are held against each other in blocks, so that no task's memory grows with the
-input.
+score is the sum of its codewords' entries. By the inequality of Cauchy and Schwarz this score is off by at most the
+residual's norm times the query's: the vectors that this bound lets be among a query's nearest, however many, are
+ranked by their exact inner products, so that none is missed on whatever rows. Blocks of codes stay where they are
+and queries pass by them in blocks, so that no task's memory grows with the input.
 """
 
 from __future__ import annotations
@@ -17,15 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import bound_batches, staged
 
 #: Vectors that codebooks are learnt from, at most.
 SAMPLE = 8192
 BOOKS, WORDS, BEAM, STEPS = 28, 256, 2, 8
-#: Candidates that are ranked exactly, for each neighbour asked for.
-RERANK = 12
-#: Vectors to a block of codes, and to a block of queries.
-CODES, QUERIES = 8192, 128
+#: Vectors to a block of codes, and to a block of queries; queries that are scored at once.
+CODES, QUERIES, LANES = 8192, 1024, 128
 
 
 @dataclass
@@ -57,10 +56,11 @@ class Codebooks:
 
     def scores(self, tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """The approximate inner products of queries, by their tables, and coded vectors."""
-        out = np.zeros((tables.shape[1], len(codes)), np.float32)
+        out = np.zeros((len(codes), tables.shape[1]), np.float32)
+        part = np.empty_like(out)
         for j, table in enumerate(tables):
-            out += table[:, codes[:, j]]
-        return out
+            out += np.take(np.ascontiguousarray(table.T), codes[:, j], axis=0, out=part, mode="clip")
+        return np.ascontiguousarray(out.T)
 
 
 def learn_codebooks(x: np.ndarray, books: int = BOOKS, words: int = WORDS, steps: int = STEPS, seed: int = 0) -> Codebooks:
@@ -86,12 +86,13 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda v: v != 0)
 
 
-def inner_product(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
-def squared_distance(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+def exact_scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Inner products of the rows of q and x, or squared distances, negated: summed in double precision, first component first."""
+    total = np.zeros(len(q))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for a, b in zip(q.T, x.T, strict=True):
+            total += a * b if metric == "ip" else (a - b) * (a - b)
+    return total if metric == "ip" else -total
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -104,22 +105,59 @@ def _blocks(df: DataFrame, size: int, key: Column, schema: str, pack) -> DataFra
     return df.withColumn("block", F.pmod(key, F.lit(n))).groupBy("block").applyInArrow(pack, schema)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, rerank: int = RERANK, metric: str = "ip") -> DataFrame:
+def best_of_block(coder: Codebooks, centre: np.ndarray, scale: float, queries: np.ndarray, nodes: np.ndarray, x: np.ndarray, codes: np.ndarray, left: np.ndarray, n: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's row, node, score) of the n nearest of a block's vectors to each query, exactly; and ties with the last.
+
+    x * scale is centre, plus the sum that its codes stand for, plus a residual whose norm is at most left. The best by
+    lookup tables are multiplied out, and the worst of them is a bar that any other has to reach by its bound.
+    """
+    rows, places = [], []
+    n = min(n, len(nodes))
+    scaled = x * scale
+    lengths = np.linalg.norm(scaled, axis=1)
+    reach = np.abs(coder.books).max((1, 2)).sum() * np.sqrt(x.shape[1])  # no sum of codewords is longer
+    off = left + 4e-7 * (x.shape[1] + len(coder.books)) * reach + 1e-9 * lengths
+    for k in range(0, len(queries), LANES):
+        size = np.abs(queries[k : k + LANES]).max(1, keepdims=True)
+        unit = queries[k : k + LANES] / size
+        norm = np.linalg.norm(unit, axis=1, keepdims=True)
+        unit /= norm
+        norms, shifts = (norm * size * scale)[:, 0], unit @ centre
+        for i, near in enumerate(coder.scores(coder.tables(unit.astype(np.float32)), codes)):
+            # In units of the query's norm: q x, or q x - |x|^2 / 2, which orders like the distance.
+            less = lengths**2 / (2 * norms[i]) if metric == "l2" else None
+            near, slack = near + shifts[i], 1e-9 * (lengths.max() + norms[i])
+            if metric == "l2":
+                near, slack = near - less, slack + 1e-9 * less
+            seeds, bound = np.argpartition(-near, n - 1)[:n], near + off
+            bar = (scaled[seeds] @ unit[i] - (less[seeds] if metric == "l2" else 0)).min()
+            may = np.flatnonzero(~(bound < bar - 2 * slack))
+            s = scaled[may] @ unit[i] - (less[may] if metric == "l2" else 0)
+            bar = s[np.argpartition(-s, n - 1)[n - 1]]
+            may = may[~(s < bar - 2 * (slack[may] if metric == "l2" else slack))]
+            rows.append(np.full(len(may), k + i))
+            places.append(may)
+    at, place = np.concatenate(rows), np.concatenate(places)
+    return at, nodes[place], exact_scores(queries[at], x[place], metric)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, metric: str = "ip") -> DataFrame:
     """(query_id, rank, id, score): the k nearest vectors of each query row, by inner product in double precision.
 
-    With metric "l2", nearness is the squared distance, negated.
+    With metric "l2", nearness is the squared distance, negated. The result is exact.
 
     is_query: a condition on id_col. A query's candidates are all rows but itself; ties go to the smaller id. Copies
     of a vector are coded and scored once, and each keeps its k + 1 smallest ids, which are all that can be among a
-    query's nearest. Codebooks are learnt from at most `sample` distinct vectors, drawn by a hash; all vectors are
-    coded. Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those with
-    a null id or of another length than the most frequent one; rows that repeat an id count once, with one of their
-    vectors. Fewer than two vectors give an empty result; further columns are not read.
+    query's nearest. Codebooks are learnt from at most `sample` distinct vectors, drawn by a hash, which steers the
+    work, not the result; all vectors are coded. Vectors that are null, empty, zero, or hold null or non-finite
+    components take no part, nor do those with a null id or of another length than the most frequent one; rows that
+    repeat an id count once, with one of their vectors. Fewer than two vectors give an empty result; further columns
+    are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.max(F.struct("v", "asks")).alias("r")).select("id", "r.v", "r.asks")
     rows = staged(rows, "vectors")
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    length = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "n").first()
     result = "query_id long, rank int, id long, score double"
     if length is None:
         return vectors.sparkSession.createDataFrame([], result)
@@ -130,59 +168,57 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     members = staged(members.withColumn("node", F.min("id").over(Window.partitionBy("v"))), "members")
     nodes = members.where("place = 1").select("node", "v")
 
+    # A power of two, so that components are at most 1 in single precision and scaling is exact.
+    largest = nodes.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    scale = 2.0 ** -np.clip(np.frexp(largest)[1], -1000, 1000)
     drawn = nodes.orderBy(F.xxhash64("node"), "node").limit(sample).collect()  # at most `sample` vectors
-    coder = learn_codebooks(np.array([r.v for r in sorted(drawn, key=lambda r: r.node)], np.float32))
+    drawn = np.array([r.v for r in sorted(drawn, key=lambda r: r.node)]) * scale
+    centre = drawn.mean(0)
+    coder = learn_codebooks((drawn - centre).astype(np.float32))
     spread = F.xxhash64("node")
 
     def pack_codes(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        codes = np.concatenate([coder.encode(_matrix(part.column("v")).astype(np.float32)) for part in table.to_batches(2048)])
-        norms = coder.norms(codes).astype(np.float32)
-        return pa.table({"shard": [key[0].as_py()], "nodes": [np.asarray(table["node"]).tobytes()], "codes": [codes.tobytes()], "norms": [norms.tobytes()]})
+        x, codes, left = [], [], []
+        for part in table.to_batches(2048):
+            x.append(_matrix(part.column("v")))
+            part = x[-1] * scale - centre
+            codes.append(coder.encode(part.astype(np.float32)))
+            for j, book in enumerate(coder.books):
+                part -= book[codes[-1][:, j]]
+            left.append(np.linalg.norm(part, axis=1) * (1 + 1e-9))
+        parts = {"ids": np.asarray(table["node"]), "x": np.concatenate(x), "codes": np.concatenate(codes), "left": np.concatenate(left)}
+        return pa.table({"shard": [key[0].as_py()]} | {c: [v.tobytes()] for c, v in parts.items()})
 
     def pack_queries(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
         x = np.concatenate([_matrix(part.column("v")) for part in table.to_batches()])
         return pa.table({"part": [key[0].as_py()], "ids": [np.asarray(table["id"]).tobytes()], "x": [x.tobytes()]})
 
-    codes = staged(_blocks(nodes, CODES, spread, "shard long, nodes binary, codes binary, norms binary", pack_codes), "codes")
+    codes = staged(_blocks(nodes, CODES, spread, "shard long, ids binary, x binary, codes binary, left binary", pack_codes), "codes")
     asking = rows.where("asks").select("id", "v")
     asked = staged(_blocks(asking, QUERIES, F.xxhash64("id"), "part long, ids binary, x binary", pack_queries), "queries")
-    shards = codes.agg(F.max("shard")).first()[0]
-    pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards or 0).cast("int")))).join(codes, "shard")
-    pairs = pairs.select("part", "shard", "ids", "x", "nodes", "codes", "norms")
-    pairs = pairs.repartitionByRange(max(1, asked.count()), "part").sortWithinPartitions("part", "shard")
-    wide = (k + 1) * rerank
+    shards = codes.agg(F.max("shard")).first()[0] or 0
+    passing = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards).cast("long"))).alias("shard"), "part", "ids", "x")
+    both = codes.withColumn("part", F.lit(-1).cast("long")).unionByName(passing, allowMissingColumns=True).select("shard", "part", "ids", "x", "codes", "left")
+    both = both.repartitionByRange(shards + 1, "shard").sortWithinPartitions("shard", "part")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each block of queries, the best over all blocks of codes, which come one after another."""
-        part, ids, best, near = None, np.zeros(0, np.int64), np.zeros((0, 0), np.int64), np.zeros((0, 0), np.float32)
-
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best.ravel()), pa.array(near.ravel())], ["query_id", "node", "near"])
-
+        """A block of codes comes first, then all blocks of queries, one after another."""
+        shard, block = None, ()
         for b in batches:
             for r in b.to_pylist():
-                if r["part"] != part:
-                    yield told()
-                    part, ids = r["part"], np.frombuffer(r["ids"], np.int64)
-                    tables = coder.tables(np.frombuffer(r["x"], float).reshape(len(ids), -1).astype(np.float32))
-                    best, near = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.float32)
-                nodes = np.frombuffer(r["nodes"], np.int64)
-                s = coder.scores(tables, np.frombuffer(r["codes"], np.uint8).reshape(len(nodes), -1))
-                if metric == "l2":
-                    s = 2 * s - np.frombuffer(r["norms"], np.float32)
-                s, names = np.concatenate([near, s], axis=1), np.concatenate([best, np.broadcast_to(nodes, s.shape)], axis=1)
-                n = min(wide, s.shape[1])
-                top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                near, best = np.take_along_axis(s, top, 1), np.take_along_axis(names, top, 1)
-        yield told()
-
-    found = staged(pairs.mapInArrow(score, "query_id long, node long, near float").select("query_id", "node"), "found")
-    exact = found.join(nodes.withColumnRenamed("v", "w"), "node").join(asking.withColumnRenamed("id", "query_id"), "query_id")
-    exact = exact.select("query_id", "node", (inner_product("v", "w") if metric == "ip" else -squared_distance("v", "w")).alias("score"))
+                ids = np.frombuffer(r["ids"], np.int64)
+                x = np.frombuffer(r["x"], float).reshape(len(ids), -1)
+                if r["part"] < 0:
+                    shard, block = r["shard"], (ids, x, np.frombuffer(r["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(r["left"], float))
+                elif r["shard"] == shard:
+                    at, found, s = best_of_block(coder, centre, scale, x, *block, k + 1, metric)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(found), pa.array(s)], ["query_id", "node", "score"])
+
+    found = staged(bound_batches(both).mapInArrow(score, "query_id long, node long, score double"), "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
-    top = exact.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
+    top = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1)
     full = top.join(members.select("node", "id"), "node").where("id <> query_id")
     return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
