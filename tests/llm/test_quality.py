@@ -92,3 +92,36 @@ def test_one_label_and_no_rows(spark):
     ranking = Q.learn_quality(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int"))
     assert {r.score for r in Q.score_quality(docs, ranking).collect()} == {0.5}
     assert {r.score for r in Q.score_quality(docs, Q.learn_quality(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"))).collect()} == {0.5}
+
+
+def test_all_labelled_documents_count(spark, monkeypatch):
+    monkeypatch.setattr(Q, "BLOCK", 40)
+    monkeypatch.setattr(Q, "LEAST", 5)
+    monkeypatch.setattr(Q, "SORTED", 30)
+    monkeypatch.setattr(Q, "BINS", 4)
+    rows = [(k, t, y) for k, t, y in texts(600) if y or k % 60 == 0]  # few bad ones, less than one for each block
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, quality int")
+    ranking = Q.learn_quality(docs, labels)
+    z = Q.expanded(np.array([plain_features(t) for _, t, _ in rows]))
+    assert np.allclose(ranking.mean, z.mean(0)) and np.allclose(ranking.scale, z.std(0) + 1e-6)
+    strengths = ((z - z.mean(0)) / (z.std(0) + 1e-6)) @ ranking.weights
+    assert abs(ranking.threshold - np.quantile(strengths, sum(y == 0 for *_, y in rows) / len(rows))) < 1e-6
+    good = strengths[[k for k, r in enumerate(rows) if r[2]]]
+    assert (good > strengths[[k for k, r in enumerate(rows) if not r[2]]].max()).mean() > 0.95
+
+
+@pytest.mark.parametrize("good, bad", [(1, 300), (300, 1), (20, 400), (30, 30)])
+def test_every_document_is_in_a_preference(good, bad):
+    z = np.eye(good + bad)
+    d = Q.preferences(z, good)
+    assert (d[:, :bad] < 0).any(0).all() and (d[:, bad:] > 0).any(0).all() and np.abs(d.sum(1)).max() == 0
+
+
+@pytest.mark.parametrize("share", [0.0, 0.11, 0.5, 0.77, 1.0])
+def test_quantiles_are_exact(spark, monkeypatch, share):
+    monkeypatch.setattr(Q, "SORTED", 10)
+    monkeypatch.setattr(Q, "BINS", 4)
+    x = np.concatenate([np.random.default_rng(1).normal(size=120), [0.25] * 70, [1e6, -1e6], [3.0] * 20])
+    df = spark.createDataFrame([(float(v),) for v in x], "s double")
+    assert abs(Q.exact_quantile(df, "s", share) - np.quantile(x, share)) < 1e-9
