@@ -181,3 +181,11 @@ def test_query(spark, docs, tmp_path):
     assert len(rows) == docs.count()
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in rows)
     assert len({r.train_tokens for r in rows}) == 1 and all(math.isfinite(r.score) and r.score < 0 for r in rows)
+
+
+def test_all_documents_are_trained_on_once(spark, monkeypatch):
+    read, train = [], lm.train_round
+    monkeypatch.setattr(lm, "train_round", lambda texts, model, units: read.append([r.text for r in texts.collect()]) or train(texts, model, units))
+    rows = [(k, f"w{k} a b") for k in range(100)]
+    lm.learn_language(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(read) == lm.ROUNDS and all(read) and sorted(t for part in read for t in part) == sorted(t for _, t in rows)

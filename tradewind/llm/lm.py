@@ -3,8 +3,8 @@
 All training tokens are counted. The most frequent words are units of their own; other words are the unit of their last
 two bytes, and then a word in it, by counts: a word that was never counted has the share of its unit that words counted
 once suggest. So probabilities of a token add up to one over all words, known or not. The recurrent model predicts
-units. It is trained in rounds: every partition trains the last round's model on its part of a share of the documents,
-and the models are averaged, weighted by what they have read.
+units. It is trained in rounds, which share all documents out among them: every partition trains the last round's model on
+its part of the round's documents, and the models are averaged, weighted by what they have read.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from .shared import bound_batches, staged
 
 #: Frequent words that are units, units for the last two bytes of others.
 FREQUENT, ENDINGS = 3839, 256
-#: Rounds of training; in each, one document in SHARE is read, in every part of the input, other ones in each round.
-ROUNDS, SHARE = 3, 32
+#: Rounds of training; each reads other documents, in every part of the input, and together they read all.
+ROUNDS = 3
 #: Distinct words that a task holds before it hands their counts on, and tokens whose documents are scored side by side.
 WORDS, POOL = 200_000, 1_500_000
 #: Numbers of a model that are averaged together, and tasks whose models are averaged first.
@@ -146,9 +146,11 @@ def train_round(texts: DataFrame, model: recurrent.Model, units: Units) -> recur
     return _shaped(np.concatenate([np.frombuffer(p, np.float32) for _, p in rows]), model) if rows else model
 
 
-def learn_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, share: int = SHARE) -> LanguageModel:
+def learn_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, share: int | None = None) -> LanguageModel:
     """A model of the language of all texts; see score_texts().
 
+    Each document is trained on once, in one of the rounds; or once in every `share` rounds, if that is given.
+
     Null texts count as empty, which is a text that ends at once; rows that repeat count as often as they come. Of an
     empty table a model is learnt that knows no word. Ids only deal documents to rounds; further columns are not read.
     """
@@ -170,7 +172,7 @@ def learn_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     units = Units(dict(zip(words, number[1 : 1 + len(words)].tolist(), strict=True)), number[1 + len(words) :], int(number[0]), counts[order])
     unseen = (once + 1) / (many + once + 2)
     per_count = (1 - unseen) / np.maximum(many, 1)
-    model = recurrent.initial(units.counts)
+    model, share = recurrent.initial(units.counts), share or rounds
     for k in range(rounds):
         part = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(share)) == k % share)
         model = train_round(_texts(part, text_col), model, units)
