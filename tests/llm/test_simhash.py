@@ -111,3 +111,28 @@ def test_odd_rows(spark, f):
         assert sorted((r.doc_id or 0) for r in rows) == [0, 1, 2, 3, 5]
         assert rows[0].__fields__ == df.columns
     assert f(df.limit(0)).collect() == []
+
+
+def test_near_duplicates_come_from_fingerprints_first(spark, monkeypatch):
+    """What deletion variants bring together is verified and then left out of the search by prefixes, which finds the rest."""
+    calls, link = [], S.link_buckets
+
+    def watched(indexes, verify, possible=None, known=None):
+        checked = []
+        out = link(indexes, lambda pairs: checked.extend(map(tuple, pairs.collect())) or verify(pairs), possible, known)
+        calls.append((possible is not None, checked, {r.node: r.component for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(S, "link_buckets", watched)
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    mixed = [" ".join(words), " ".join(words[:399]), " ".join(words[:330]), "else where is none of it"]
+    same = "a a a a a a a a a a a a a a a a a a a a "
+    mixed += [same + "one two three four five", same + "six seven eight nine ten"]  # equal fingerprints, not near copies
+    prints = [S.fingerprint(t) for t in mixed]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2 < (prints[0] ^ prints[2]).bit_count() and prints[4] == prints[5]
+    got = {r.id: r.component_id for r in S.near_duplicates(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0}
+    (by_prefix, checked, found), (then, rest, whole) = calls
+    assert (by_prefix, then) == (False, True) and {(1, 0), (5, 4)} <= set(checked) and found == {0: 0, 1: 0}
+    assert (1, 0) not in rest and whole == {0: 0, 1: 0, 2: 0}

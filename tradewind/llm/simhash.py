@@ -8,7 +8,9 @@ Pairs are not made within whole buckets. First each member of a bucket is held a
 that others were copied from, and against one member that a hash draws; members that this already puts into one component need no more comparison. Only pairs of a bucket that
 lie in different components then follow, all of them, so no link between components is lost.
 
-Near copies by the similarity of their shingles use the same linking, with the first shingles of each text as keys.
+Near copies by the similarity of their shingles are first those whose fingerprints link, by deletion variants, and whose
+similarity then proves to suffice. The rest, which fingerprints lose, use the same linking, with the first shingles of each
+text as keys.
 There a pair counts in a bucket only if what both texts have left from that shingle on can still make them as similar
 (positional filter), so that texts which merely share a frequent passage make no pairs.
 """
@@ -119,13 +121,14 @@ def segments_for(radius: int, bits: int = 64) -> list[tuple[int, int, int]]:
     return [(0, a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def link_buckets(indexes: list[DataFrame], verify: Callable[[DataFrame], DataFrame], possible: Callable[..., Column] | None = None) -> DataFrame:
+def link_buckets(indexes: list[DataFrame], verify: Callable[[DataFrame], DataFrame], possible: Callable[..., Column] | None = None, known: DataFrame | None = None) -> DataFrame:
     """(node, component) of nodes that indexes(key, id) bring together and that verify() lets pass.
 
     The indexes share no keys; buckets of one node are left out of each in turn, which bounds the memory.
     verify takes pairs (a, b) and returns those that are linked. Buckets have no limit of size: see the module's text.
     With possible, indexes also have a node's size m and its rest r in the bucket. possible(m, r, m2, r2) is a
     condition on two nodes of a bucket; every linked pair has a bucket in which it holds.
+    known: (node, component) of nodes that are linked already; pairs within a component are not verified again.
     """
     kept = []
     for part in indexes:
@@ -140,8 +143,16 @@ def link_buckets(indexes: list[DataFrame], verify: Callable[[DataFrame], DataFra
     first = index.groupBy("key").agg(F.min(draw).alias("d"), F.min(F.struct("id", "m", "r")).alias("least"))
     first = first.select("key", F.inline(F.array_distinct(F.array("d.rep", "least"))).alias("rep", "m2", "r2"))
     pairs = index.join(first, "key").where((F.col("id") != F.col("rep")) & fits)
-    pairs = staged(pairs.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct(), "pairs")
-    linked = staged(verify(pairs), "links")
+    pairs = pairs.select(F.greatest("id", "rep").alias("a"), F.least("id", "rep").alias("b")).distinct()
+    if known:
+        for end in ("a", "b"):
+            pairs = pairs.join(known.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+        pairs = pairs.where("ca is null or cb is null or ca <> cb").select("a", "b")
+    pairs = staged(pairs, "pairs")
+    linked = verify(pairs)
+    if known:
+        linked = linked.union(known.where("node <> component"))
+    linked = staged(linked, "links")
     found = connected_components(linked)
     # The pairs of a bucket that are in different components, or in none yet. All buckets that they share are open.
     grouped = index.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "m", "r", F.coalesce("component", "id").alias("component"))
@@ -212,11 +223,12 @@ def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity:
     return s[np.lexsort((s, count))[: prefix_size(len(s), similarity)]]
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(id, component_id) of the rows whose text other rows copy, exactly or nearly; others are left out.
 
     Near copies have a Jaccard similarity of at least `similarity` between their sets of word shingles, which is
-    verified exactly. No such pair is missed: of n shingles, in an order that all texts share, two texts as similar
+    verified exactly. Pairs whose fingerprints (of three-word shingles) differ in at most `radius` bits are found by
+    deletion variants and verified first. No other such pair is missed, either: of n shingles, in an order that all texts share, two texts as similar
     have one in common among their first n - similarity * n + 1 (prefix filter). Frequent shingles come last in that
     order. component_id is the smallest id of the group. Null and empty texts, and rows without an id, take no part.
     Rows that repeat an id count as one.
@@ -237,14 +249,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for x in sliced(batches):
             found = [shingle_set(t.as_py(), size) for t in x.column(1)]
             firsts = pa.array([prefix(s, frequent, counts, similarity) for s in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array([len(s) for s in found], pa.int32()), firsts], ["id", "sha", "m", "p"])
+            marks = pa.array([fingerprint(t.as_py()) for t in x.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(2), pa.array([len(s) for s in found], pa.int32()), firsts, marks], ["id", "sha", "m", "p", "fp"])
 
     hashed = texts.withColumn("sha", F.unhex(F.sha2("text", 256)))
-    rows = staged(bound_batches(hashed).mapInArrow(released(run), "id long, sha binary, m int, p array<long>"), "prefixes")
+    rows = staged(bound_batches(hashed).mapInArrow(released(run), "id long, sha binary, m int, p array<long>, fp long"), "prefixes")
     named = staged(rows.groupBy("sha").agg(F.min("id").alias("node"), F.count("*").alias("n")), "classes")
     # Texts of one class are equal; a repeated id may stand for two of them.
     nodes = rows.withColumnRenamed("id", "node").join(named, ["sha", "node"], "left_semi").dropDuplicates(["node"])
-    nodes = staged(nodes.select("node", "m", "p"), "nodes")
+    nodes = staged(nodes.select("node", "m", "p", "fp"), "nodes")
     keys = nodes.select("node", "m", F.posexplode("p").alias("place", "key")).select("key", F.col("node").alias("id"), "m", (F.col("m") - F.col("place")).alias("r"))
     index = [keys.where(F.pmod("key", F.lit(PARTS)) == k) for k in range(PARTS)]
 
@@ -265,7 +278,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return table.select(*(F.col(c).alias(end if c in ("id", "node") else c + end) for c in table.columns))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(of(nodes, "a"), "a").join(of(nodes, "b"), "b")
+        both = pairs.join(of(nodes.drop("fp"), "a"), "a").join(of(nodes.drop("fp"), "b"), "b")
         close = staged(both.where(may_be_close(F.col("ma"), F.col("mb"), F.size(F.array_intersect("pa", "pb")))).select("a", "b"), "close")
         wanted = staged(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "wanted")
         full = staged(sets(texts.join(checked_broadcast(wanted), "id", "left_semi")).dropDuplicates(["id"]), "shingles")
@@ -273,7 +286,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    linked = link_buckets(index, verify, possible).withColumnRenamed("component", "linked")
+    def verify_marks(pairs: DataFrame) -> DataFrame:
+        marks = nodes.select("node", "fp")
+        both = pairs.join(of(marks, "a"), "a").join(of(marks, "b"), "b")
+        return verify(both.where(F.bit_count(F.col("fpa").bitwiseXOR(F.col("fpb"))) <= radius).select("a", "b"))
+
+    marked = nodes.select("node", "fp").repartition(4 * partitions(df.sparkSession), "node")
+    marked = marked.select(F.explode(deletion_variants([F.col("fp")], segments_for(radius))).alias("key"), F.col("node").alias("id"))
+    known = link_buckets([marked], verify_marks)
+    linked = link_buckets(index, verify, possible, known).withColumnRenamed("component", "linked")
     named = named.join(linked, "node", "left").where("n > 1 or linked is not null").select("sha", F.coalesce("linked", "node").alias("component_id"))
     return rows.select("id", "sha").join(named, "sha").select("id", "component_id")
 
