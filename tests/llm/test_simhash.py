@@ -136,3 +136,28 @@ def test_near_duplicates_come_from_fingerprints_first(spark, monkeypatch):
     (by_prefix, checked, found), (then, rest, whole) = calls
     assert (by_prefix, then) == (False, True) and {(1, 0), (5, 4)} <= set(checked) and found == {0: 0, 1: 0}
     assert (1, 0) not in rest and whole == {0: 0, 1: 0, 2: 0}
+
+
+def test_frequent_shingles_reach_the_driver_as_columns(spark, monkeypatch):
+    """The same as by sorting all, but for ties in the last place, and no row object for each in the driver."""
+    rng = random.Random(4)
+    values = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
+    rows = [([v for k, v in enumerate(values) if k % (d + 1) == 0],) for d in range(30)]
+    counts = {}
+    for (row,) in rows:
+        for v in row:
+            counts[v] = counts.get(v, 0) + 1
+    most = []
+    frame = type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: most.append(len(out := collect(self))) or out)
+    sets = spark.createDataFrame(rows, "s array<long>")
+    for limit in (0, 10, 700, 10_000):
+        got = dict(zip(*(x.tolist() for x in S.frequent_shingles(sets, limit)), strict=True))
+        assert all(counts[v] == n > 1 for v, n in got.items()) and list(got) == sorted(got)
+        repeated = sorted((n for n in counts.values() if n > 1), reverse=True)
+        assert abs(len(got) - min(limit, len(repeated))) <= 60
+        assert all(v in got for v, n in counts.items() if n > 1 and n > min(got.values(), default=99))
+    texts = [(k, " ".join(f"w{k % 5}x{i}" for i in range(900))) for k in range(40)]
+    S.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert max(most) <= 40

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import bound_batches, checked_broadcast, discard, partitions, released, staged
+from .shared import bound_batches, checked_broadcast, collected, discard, partitions, released, staged
 
 #: Shingles hashed at a time, which bounds the memory that a long text takes.
 BLOCK = 1 << 16
@@ -202,7 +202,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 # Near copies: similarity of word shingles.
 
-#: The part of the documents whose shingles are counted to find frequent ones, one in so many, and how many of these
+#: The part of the documents whose shingles are counted to find frequent ones, one in so many, and about how many of these
 #: are told to the tasks. Both steer the work only: any order of the shingles gives the same pairs.
 COUNTED, FREQUENT = 8, 200_000
 #: Steps in which the index is built.
@@ -223,6 +223,27 @@ def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, similarity:
     return s[np.lexsort((s, count))[: prefix_size(len(s), similarity)]]
 
 
+def frequent_shingles(sets: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(about `limit` of the most frequent hashes in the arrays s of sets, none of which comes once, in order; their counts).
+
+    A histogram of the counts tells which they are, so that no task and not the driver sorts or merges them. Of those that
+    tie for the last places a range of hashes is taken. The driver gets them as columns, without an object for each.
+    """
+    counted = staged(sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "frequent")
+    least, share, left = 1, 0.0, limit
+    for n, many in counted.groupBy("n").count().orderBy(F.desc("n")).collect():  # at most the root of twice the shingles
+        if many > left:
+            least, share = n, left / many
+            break
+        left -= many
+    cut = int(share * 2**64) - 2**63
+    often = collected(counted.where((F.col("n") > least) | ((F.col("n") == least) & (F.col("h") < F.lit(cut)))))
+    discard(counted)
+    frequent, counts = often["h"].to_numpy(), often["n"].to_numpy()
+    order = np.argsort(frequent)
+    return frequent[order], counts[order]
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(id, component_id) of the rows whose text other rows copy, exactly or nearly; others are left out.
 
@@ -239,11 +260,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def sets(rows: DataFrame) -> DataFrame:
         return _per_text(rows, "id", "text", lambda t: shingle_set(t, size), "s", "array<long>")
 
-    counted = sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0)).select(F.explode("s").alias("h"))
-    often = counted.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(FREQUENT)
-    often = np.array([tuple(r) for r in often.collect()], np.int64).reshape(-1, 2)
-    often = often[np.argsort(often[:, 0])]
-    frequent, counts = np.ascontiguousarray(often[:, 0]), np.ascontiguousarray(often[:, 1])
+    frequent, counts = frequent_shingles(sets(texts.where(F.pmod(F.xxhash64("id"), F.lit(COUNTED)) == 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in sliced(batches):
