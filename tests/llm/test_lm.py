@@ -189,3 +189,20 @@ def test_all_documents_are_trained_on_once(spark, monkeypatch):
     rows = [(k, f"w{k} a b") for k in range(100)]
     lm.learn_language(spark.createDataFrame(rows, "doc_id long, text string"))
     assert len(read) == lm.ROUNDS and all(read) and sorted(t for part in read for t in part) == sorted(t for _, t in rows)
+
+
+def test_windows_take_all_classes_together(monkeypatch):
+    """A window's cost does not go with its classes one by one, and classes of more rows than a chunk add up."""
+    monkeypatch.setattr(recurrent, "_by_class", lambda *_: pytest.fail("classes one by one"))
+    model, draw = small(5)
+    units = np.minimum(draw.geometric(0.3, (9, 20)) - 1, 28)
+    assert (units < 8).sum() > 3 * recurrent.CHUNK
+    grads, _, loss = recurrent.gradients(model, np.zeros((9, 5)), units, 29)
+    assert np.isclose(loss, -sum(slow_score(model, d) for d in units))
+    for c in range(4):
+        move = 1e-5 * draw.normal(0, 1, model["unit"][c].shape)
+        losses = [recurrent.gradients(model | {"unit": np.concatenate([model["unit"][:c], [model["unit"][c] + s * move], model["unit"][c + 1 :]])}, np.zeros((9, 5)), units, 29)[2] for s in (1, -1)]
+        assert np.isclose((losses[0] - losses[1]) / 2, (grads["unit"].get(c, 0 * move) * move).sum(), rtol=1e-3, atol=1e-9)
+    before = {k: v.copy() for k, v in model.items()}
+    assert recurrent.train(model, [np.append(u, 29) for u in units], 29)[1] == units.size + 9
+    assert all((before[k] == model[k]).all() for k in model)

@@ -16,6 +16,8 @@ Model = dict[str, np.ndarray]
 HIDDEN, CLASSES = 16, 64
 #: Streams that are trained side by side, and steps that the gradient goes back.
 LANES, STEPS = 128, 16
+#: States of one class that are trained in one product of a batch.
+CHUNK = 16
 #: Adagrad's rate, and what its sums of squares begin with.
 RATE, POWER = 0.1, 1e-6
 #: States whose probabilities are worked out at once.
@@ -37,20 +39,6 @@ def initial(counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES, dt
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _step(model: Model, h: np.ndarray, units: np.ndarray):
-    """The next state, and what its gradient needs."""
-    k = h.shape[1]
-    x, a = model["input"][units] + model["bias"], h @ model["state"]
-    gates = _sigmoid(x[:, : 2 * k] + a[:, : 2 * k])
-    z, r, an = gates[:, :k], gates[:, k:], a[:, 2 * k :]
-    n = np.tanh(x[:, 2 * k :] + r * an)
-    return n + z * (h - n), (h, z, r, an, n)
-
-
 def _powers(states: np.ndarray, weights: np.ndarray, said: np.ndarray, bounded: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(exp of the scores of what can be said in each state, their sums, logarithms of the probability of what was said).
 
@@ -111,7 +99,7 @@ def _halved(model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _advance(into: np.ndarray, state: np.ndarray, h: np.ndarray, units: np.ndarray) -> np.ndarray:
-    """What _step() gives as the next state, in fewer passes, from _halved()."""
+    """The next state, from _halved()."""
     k = h.shape[1]
     x, a = into[units], h @ state
     gates = x[:, : 2 * k]
@@ -156,48 +144,93 @@ def score(model: Model, documents: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def gradients(model: Model, h: np.ndarray, units: np.ndarray, end: int) -> tuple[dict, np.ndarray, float]:
-    """(gradients, next state, loss) of a window: units by lane and step; the gradient ends where the window begins.
+def _in_chunks(kind: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places of sorted classes in chunks of CHUNK rows of one class, the class of each chunk, the classes that come, their first chunks)."""
+    counts = np.bincount(kind, minlength=classes)
+    chunks = -(-counts // CHUNK)
+    first, seen = np.cumsum(chunks) - chunks, np.flatnonzero(counts)
+    place = np.arange(len(kind)) + (first * CHUNK - (np.cumsum(counts) - counts))[kind]
+    return place, np.repeat(np.arange(classes), chunks), seen, first[seen]
 
-    Of input, the gradient is (rows, their gradients), and of unit and unit_bias by class.
+
+def _window(model: Model, h: np.ndarray, units: np.ndarray, end: int) -> tuple[dict, np.ndarray, float]:
+    """What gradients() gives, with the gradients of unit and its bias as (classes, one array of both, the bias last).
+
+    Only what a step needs of the one before it is done step by step; all else is done for the whole window at once.
     """
-    steps, k = units.shape[1], h.shape[1]
-    before, kept = [], []
+    (lanes, steps), k, kind = units.shape, h.shape[1], h.dtype
+    said = units.T.reshape(-1)
+    keep = (units.T != end)[:, :, None].astype(kind)
+    x, state = (model["input"][said] + model["bias"]).reshape(steps, lanes, 3 * k), model["state"].copy()
+    x[:, :, : 2 * k] *= 0.5
+    state[:, : 2 * k] *= 0.5
+    before, gates, an, n = (np.empty((steps, lanes, w), kind) for w in (k, 2 * k, k, k))
     for t in range(steps):
-        h, parts = _step(model, h, units[:, t])
-        keep = (units[:, t] != end)[:, None].astype(h.dtype)
-        h = h * keep
-        before.append(parts)
-        kept.append(keep)
-    states, said = np.concatenate([p[0] for p in before]), units.T.reshape(-1)
-    size, rows = model["unit_bias"].shape[1], np.arange(len(said))
+        before[t], a, g, m = h, h @ state, gates[t], n[t]
+        np.add(x[t, :, : 2 * k], a[:, : 2 * k], out=g)
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
+        an[t] = a[:, 2 * k :]
+        np.multiply(g[:, k:], an[t], out=m)
+        m += x[t, :, 2 * k :]
+        np.tanh(m, out=m)
+        h = h - m
+        h *= g[:, :k]
+        h += m
+        h *= keep[t]
+    states, size, rows = before.reshape(-1, k), model["unit_bias"].shape[1], np.arange(len(said))
     both, classes, inside = _with_bias(model, states)
     off, own = _shares(both, classes, said // size)
     loss = -float(own.sum())
     off[rows, said // size] -= 1
-    grads: dict = {"class": states.T @ off, "class_bias": off.sum(0), "unit": {}, "unit_bias": {}}
+    grads: dict = {"class": states.T @ off, "class_bias": off.sum(0)}
     up = off @ model["class"].T
-    for c, at, slot in _by_class(model, said):
-        off, own = _shares(both[at], inside[c], slot)
-        loss -= float(own.sum())
-        off[np.arange(len(at)), slot] -= 1
-        grads["unit"][c], grads["unit_bias"][c] = states[at].T @ off, off.sum(0)
-        up[at] += off @ model["unit"][c].T
-    up = up.reshape(steps, len(units), k)
-    inputs, sums, after = np.empty((steps, len(units), 3 * k), h.dtype), np.zeros_like(model["state"]), np.zeros_like(h)
+
+    order = np.argsort(said, kind="stable")
+    by_unit = said[order]
+    place, of, seen, first = _in_chunks(by_unit // size, len(inside))
+    slot, padded = by_unit % size, np.zeros((len(of) * CHUNK, k + 1), kind)
+    padded[place] = both[order]
+    padded, weights = padded.reshape(-1, CHUNK, k + 1), inside[of]
+    off = (padded @ weights).reshape(-1, size)
+    np.minimum(off, 80, out=off)
+    own = off[place, slot]
+    np.exp(off, out=off)
+    whole = off.sum(1)
+    loss -= float((own - np.log(whole[place])).sum())
+    off /= whole[:, None]
+    off[place, slot] -= 1
+    off = off.reshape(-1, CHUNK, size)
+    # Rows that fill a chunk are zero, with their 1 for the bias.
+    grads["inside"] = seen, np.add.reduceat(padded.transpose(0, 2, 1) @ off, first)
+    up[order] += (off @ weights[:, :k].transpose(0, 2, 1)).reshape(-1, k)[place]
+
+    up, z, r = up.reshape(steps, lanes, k), gates[:, :, :k], gates[:, :, k:]
+    dn = (1 - z) * (1 - n * n) * keep
+    into = np.stack([(before - n) * z * (1 - z) * keep, dn * an * r * (1 - r), dn], 2)
+    down = into.copy()
+    down[:, :, 2] *= r
+    z, after, across = z * keep, np.zeros_like(h), np.ascontiguousarray(model["state"].T)
     for t in range(steps - 1, -1, -1):
-        (was, z, r, an, n), after = before[t], after * kept[t]
-        dn = after * (1 - z) * (1 - n * n)
-        dz, dr = after * (was - n) * z * (1 - z), dn * an * r * (1 - r)
-        inputs[t] = np.concatenate([dz, dr, dn], 1)
-        down = np.concatenate([dz, dr, dn * r], 1)
-        sums += was.T @ down
-        after = after * z + down @ model["state"].T + up[t]
-    inputs = inputs.reshape(-1, 3 * k)
-    seen, at = np.unique(said, return_inverse=True)
-    by_unit = np.zeros((len(seen), 3 * k), h.dtype)
-    np.add.at(by_unit, at, inputs)
-    return grads | {"state": sums, "bias": inputs.sum(0), "input": (seen, by_unit)}, h, loss
+        into[t] *= after[:, None]
+        down[t] *= after[:, None]
+        after = after * z[t]
+        after += down[t].reshape(lanes, 3 * k) @ across
+        after += up[t]
+    into = into.reshape(-1, 3 * k)
+    starts = np.flatnonzero(np.concatenate([[True], by_unit[1:] != by_unit[:-1]]))
+    return grads | {"state": states.T @ down.reshape(-1, 3 * k), "bias": into.sum(0), "input": (by_unit[starts], np.add.reduceat(into[order], starts))}, h, loss
+
+
+def gradients(model: Model, h: np.ndarray, units: np.ndarray, end: int) -> tuple[dict, np.ndarray, float]:
+    """(gradients, next state, loss) of a window: units by lane and step; the gradient ends where the window begins.
+
+    Of input, the gradient is (rows, their gradients), and of unit and unit_bias by class.
+    """
+    grads, h, loss = _window(model, h, units, end)
+    seen, both = grads.pop("inside")
+    return grads | {"unit": dict(zip(seen.tolist(), both[:, :-1], strict=True)), "unit_bias": dict(zip(seen.tolist(), both[:, -1], strict=True))}, h, loss
 
 
 def train(model: Model, documents: list[np.ndarray], end: int, lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> tuple[Model, int]:
@@ -222,12 +255,12 @@ def train(model: Model, documents: list[np.ndarray], end: int, lanes: int = LANE
     for t in range(0, length, steps):
         places = cuts[:-1, None] + np.arange(t, min(t + steps, length))
         window = np.where(places < cuts[1:, None], text[np.minimum(places, len(text) - 1)], end)
-        grads, h, _ = gradients(model, h, window, end)
+        grads, h, _ = _window(model, h, window, end)
         for name in ("class", "class_bias", "state", "bias"):
             move(name, ..., grads[name] / window.size)
         seen, grad = grads["input"]
         move("input", seen, grad / window.size)
-        for name in ("unit", "unit_bias"):
-            for c, grad in grads[name].items():
-                move(name, c, grad / window.size)
+        seen, grad = grads["inside"]
+        move("unit", seen, grad[:, :-1] / window.size)
+        move("unit_bias", seen, grad[:, -1] / window.size)
     return model, len(text)
