@@ -34,11 +34,12 @@ _stored: dict[tuple[str, str, str], str] = {}
 
 
 def stored(spark: SparkSession, d: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> str:
-    """The path of facts that are made from a folder's tables and written when they are first asked for."""
+    """The path of facts that are made from a folder's tables and written when they are first asked for; those with orders in slices of these."""
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _stored:
-        path = facts.new_path(spark, name)
-        facts.write_facts(make(spark, d), path)
+        path, made = facts.new_path(spark, name), make(spark, d)
+        slices = facts.slices_for(_read(spark, d, "lineitem").count()) if "order_id" in made.columns else 1
+        facts.write_facts(made, path, key="order_id", slices=slices)
         _stored[key] = path
     return _stored[key]
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.periods import Latest, month_name
 
 
+# The rows that one write shuffles at once, and the most slices that more are dealt to, as each slice reads the input.
+SLICE_ROWS, MOST_SLICES = 1_000_000, 8
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; with a local master and no such setting, a new one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,13 +36,40 @@ def _by_month(df: DataFrame, day: str) -> DataFrame:
     return df.withColumn(month_name(day), F.trunc(day, "month")).hint("rebalance", month_name(day))
 
 
-def write_facts(df: DataFrame, path: str, day: str = "date") -> None:
+@contextlib.contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a query has shuffled leaves the disk when the query ends, not when the driver next collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def slices_for(rows: int) -> int:
+    """The slices in which so many rows are written."""
+    return max(1, min(MOST_SLICES, rows // SLICE_ROWS))
+
+
+def sliced(df: DataFrame, key: str, slices: int) -> list[DataFrame]:
+    """df in slices of about equal size, each with all rows of its keys; null is a key, too. Joins by the key are sliced on both sides."""
+    if slices == 1:
+        return [df]
+    return [df.where(F.pmod(F.xxhash64(key), F.lit(slices)) == k) for k in range(slices)]
+
+
+def write_facts(df: DataFrame, path: str, day: str = "date", key: str | None = None, slices: int = 1) -> None:
     """Writes a table of facts, by month, in place of all that was there. Rows without a day have a part of their own.
 
-    Its columns are kept beside it, at path.columns, as a table without rows has no files.
+    Its columns are kept beside it, at path.columns, as a table without rows has no files. With slices, rows are written
+    in so many by their keys, one after the other: the disk holds what one of them has shuffled, not what all have.
     """
     _by_month(df.limit(0), day).coalesce(1).write.mode("overwrite").parquet(f"{path}.columns")
-    _by_month(df, day).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(month_name(day)).parquet(path)
+    with freed_shuffles(df.sparkSession):
+        for k, part in enumerate(sliced(df, key, slices)):
+            _by_month(part, day).write.mode("append" if k else "overwrite").option("partitionOverwriteMode", "static").partitionBy(month_name(day)).parquet(path)
 
 
 def replace_months(df: DataFrame, path: str, day: str = "date") -> None:
