@@ -7,6 +7,7 @@ import time
 import pytest
 
 from tradewind import fixtures
+from tradewind.plans import report
 from tradewind.sources import facts
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,10 @@ def test_sales_are_stored_in_slices_of_orders(spark, folder, monkeypatch):
     assert seen == [("order_id", 3)] and same(fixtures.make_sales(spark, folder), held)
     plan = facts.sliced(fixtures.make_sales(spark, folder), "order_id", 3)[1]._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("pmod(xxhash64(") == 2  # line items and orders are both sliced before they meet
+
+
+def test_reports_leave_no_shuffles(spark, tmp_path):
+    held = {"sales": fixtures.sales_table(spark, SF), "ppc": fixtures.ppc_table(spark, SF)}
+    before = shuffled(spark)
+    report.report_bundle(held, "LAST_30_DAYS", str(tmp_path), names=["color_performance", "top_products", "bid_recommendations"])
+    assert left(spark, before) == set()

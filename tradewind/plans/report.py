@@ -101,5 +101,7 @@ def report_bundle(tables: Tables, period: str, path: str, campaign: str = "All C
     if names is None:
         names = [n for n in REPORTS if n != "inventory_risk" or "inventory" in held and not held["inventory"].isEmpty()]
     for name in names:
-        run_report(name, held, period).write.mode("overwrite").parquet(f"{path}/period={period}/{name}")
+        report = run_report(name, held, period)
+        with facts.freed_shuffles(report.sparkSession):
+            report.write.mode("overwrite").parquet(f"{path}/period={period}/{name}")
     return names
