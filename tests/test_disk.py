@@ -71,3 +71,21 @@ def test_reports_leave_no_shuffles(spark, tmp_path):
     before = shuffled(spark)
     report.report_bundle(held, "LAST_30_DAYS", str(tmp_path), names=["color_performance", "top_products", "bid_recommendations"])
     assert left(spark, before) == set()
+
+
+def test_line_items_are_shuffled_for_parts_and_orders_only(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        lines = fixtures.make_sales(spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set(name, was)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    at = next(k for k, x in enumerate(lines) if "FileScan" in x and "l_orderkey" in x)
+    above, k = [], depth(lines[at])
+    for x in reversed(lines[:at]):
+        if depth(x) < k:
+            k = depth(x)
+            above.append(x)
+    assert sum("Exchange hashpartitioning" in x for x in above) == 2

@@ -50,8 +50,9 @@ def sales_table(spark: SparkSession, d: str) -> DataFrame:
 
 def make_sales(spark: SparkSession, d: str) -> DataFrame:
     items, orders, parts, customers, nations = (_read(spark, d, n) for n in ("lineitem", "orders", "part", "customer", "nation"))
-    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    rows = rows.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    # Line items are shuffled for parts and for orders only, and an order's lines come together.
+    orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     pack = F.when(F.col("p_type") == "MEDIUM", 3).when(F.col("p_type") == "LARGE", 6).otherwise(1)
     rows = rows.select(
         F.col("l_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp").alias("purchase_date"), F.col("l_partkey").cast("string").alias("asin"),
