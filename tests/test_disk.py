@@ -89,3 +89,9 @@ def test_line_items_are_shuffled_for_parts_and_orders_only(spark):
             k = depth(x)
             above.append(x)
     assert sum("Exchange hashpartitioning" in x for x in above) == 2
+
+
+def test_stored_facts_are_compressed(spark, tmp_path):
+    facts.write_facts(fixtures.make_ppc(spark, SF), f"{tmp_path}/facts")
+    names = [f for _, _, found in os.walk(f"{tmp_path}/facts") for f in found if f.endswith(".parquet")]
+    assert names and all(f.endswith(".zstd.parquet") for f in names)

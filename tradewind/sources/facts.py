@@ -69,7 +69,7 @@ def write_facts(df: DataFrame, path: str, day: str = "date", key: str | None = N
     _by_month(df.limit(0), day).coalesce(1).write.mode("overwrite").parquet(f"{path}.columns")
     with freed_shuffles(df.sparkSession):
         for k, part in enumerate(sliced(df, key, slices)):
-            _by_month(part, day).write.mode("append" if k else "overwrite").option("partitionOverwriteMode", "static").partitionBy(month_name(day)).parquet(path)
+            _by_month(part, day).write.mode("append" if k else "overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy(month_name(day)).parquet(path)
 
 
 def replace_months(df: DataFrame, path: str, day: str = "date") -> None:
