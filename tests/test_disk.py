@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from tradewind import fixtures
+from tradewind import fixtures, queries
 from tradewind.plans import report
 from tradewind.sources import facts
 
@@ -95,3 +95,15 @@ def test_stored_facts_are_compressed(spark, tmp_path):
     facts.write_facts(fixtures.make_ppc(spark, SF), f"{tmp_path}/facts")
     names = [f for _, _, found in os.walk(f"{tmp_path}/facts") for f in found if f.endswith(".parquet")]
     assert names and all(f.endswith(".zstd.parquet") for f in names)
+
+
+def test_loaded_exports_are_stored_for_their_reports(spark, folder, monkeypatch):
+    """A report reads months of the store, not all exports with their catalogue again."""
+    monkeypatch.setattr(facts, "SLICE_ROWS", 2000)
+    seen = []
+    monkeypatch.setattr(report, "report_bundle", lambda held, *rest, f=report.report_bundle: seen.append(held) or f(held, *rest))
+    got = queries.QUERIES["report_bundle"](spark, folder)
+    assert got.count() == 4 and {n for n in seen[0] if hasattr(seen[0][n], "latest")} == {"sales", "ppc"}
+    plan = report.run_report("sales_breakdown", seen[0])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "PartitionFilters: [isnotnull(date_month" in plan
+    assert same(queries._loaded(spark, folder)["sales"].select("order_id", "asin", "date", "pairs_sold"), seen[0]["sales"])

@@ -66,15 +66,15 @@ def load_all(spark: SparkSession, folder: str, campaign: str | None = None, chan
     return {"sales": prep.prep_sales(raw["orders"], raw["asins"], channel), "ppc": prep.prep_ppc(raw["ppc"], campaign), "inventory": stock}
 
 
-def store_all(tables: Tables, store: str, since: str | None = None) -> None:
+def store_all(tables: Tables, store: str, since: str | None = None, slices: int = 1) -> None:
     """Writes prepared tables as a store: sales and ads by month, inventory as it is.
 
     since: only days from that day's month on are read and written, and replace those months; the others stay. Rows
-    without a day are written when all is.
+    without a day are written when all is. slices: all sales are written in so many by their orders; see write_facts().
     """
     for name in ("sales", "ppc"):
         if since is None:
-            facts.write_facts(tables[name], f"{store}/{name}")
+            facts.write_facts(tables[name], f"{store}/{name}", key="order_id", slices=slices if name == "sales" else 1)
         else:
             facts.replace_months(P.within(tables[name], F.trunc(F.lit(since).cast("date"), "month"), None), f"{store}/{name}")
     tables["inventory"].write.mode("overwrite").parquet(f"{store}/inventory")

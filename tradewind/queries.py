@@ -474,9 +474,10 @@ def load_all(spark: SparkSession, d: str) -> DataFrame:
     SELECT type, revenue, orders, round({div0('revenue', 'sum(revenue) OVER ()')}, 6) AS revenue_pct FROM (SELECT type, CAST(sum(revenue) AS DOUBLE) AS revenue, count(DISTINCT order_id) AS orders FROM f, fr WHERE date BETWEEN ref - 29 AND ref GROUP BY 1)"""
 )
 def report_bundle(spark: SparkSession, d: str) -> DataFrame:
-    """All reports of a period over loaded exports, written; one of them read again."""
-    path = facts.new_path(spark, "bundle")
-    report.report_bundle(_loaded(spark, d), "LAST_30_DAYS", path)
+    """All reports of a period over loaded exports, which are stored for it, written; one of them read again."""
+    path, store = facts.new_path(spark, "bundle"), facts.new_path(spark, "store")
+    report.store_all(_loaded(spark, d), store, slices=facts.slices_for(_read(spark, d, "lineitem").count()))
+    report.report_bundle(report.load_store(spark, store), "LAST_30_DAYS", path)
     return _rounded(spark.read.parquet(f"{path}/period=LAST_30_DAYS/sales_breakdown").select("type", "revenue", "orders", "revenue_pct"), "revenue", "revenue_pct")
 
 
