@@ -5,10 +5,12 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tradewind import fixtures, queries
+from tradewind.operators import prep
 from tradewind.plans import report
-from tradewind.sources import facts
+from tradewind.sources import facts, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -107,3 +109,33 @@ def test_loaded_exports_are_stored_for_their_reports(spark, folder, monkeypatch)
     plan = report.run_report("sales_breakdown", seen[0])._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "PartitionFilters: [isnotnull(date_month" in plan
     assert same(queries._loaded(spark, folder)["sales"].select("order_id", "asin", "date", "pairs_sold"), seen[0]["sales"])
+
+
+@pytest.fixture
+def name(spark):
+    yield "held_by_order"
+    for t in ("held_by_order", "held_by_order_slices"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
+def test_tables_by_key_are_written_in_slices(spark, name, tmp_path, monkeypatch):
+    df = spark.range(500).select((F.col("id") % 60).alias("order_id"), (F.col("id") % 3).alias("line"))
+    before = shuffled(spark)
+    held = tables.save_by_key(df, name, "order_id", 4, f"{tmp_path}/t", slices=3)
+    assert left(spark, before) == set() and same(df, held)
+    counted = prep.duplicates(held, ["order_id", "line"])
+    assert same(prep.duplicates(df, ["order_id", "line"]), counted) and "hashpartitioning" not in counted._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        tables.save_by_key(df, name, "order_id", 4, f"{tmp_path}/t", slices=3)
+    assert spark.table(name).count() == 500
+
+
+def test_half_a_table_by_key_has_no_name(spark, name, tmp_path, monkeypatch):
+    df = spark.range(500).select((F.col("id") % 60).alias("order_id"))
+    bad = lambda df, key, n: [df.where("order_id < 30"), df.select(F.assert_true(F.col("order_id") < 0).alias("order_id"))]
+    with monkeypatch.context() as m:
+        m.setattr(tables, "sliced", bad)
+        with pytest.raises(Exception):
+            tables.save_by_key(df, name, "order_id", 4, f"{tmp_path}/t", slices=2)
+    assert not spark.catalog.tableExists(name)
+    assert tables.save_by_key(df, name, "order_id", 4, f"{tmp_path}/t", slices=2).count() == 500

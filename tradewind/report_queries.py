@@ -50,7 +50,8 @@ def by_order(spark: SparkSession, d: str) -> DataFrame:
 
     name = "sales_by_order_" + stored(spark, d, "sales", make_sales)[-32:]
     if not spark.catalog.tableExists(name):
-        tables.save_by_key(sales_table(spark, d), name, "order_id", 16, facts.new_path(spark, name))
+        sold = sales_table(spark, d)
+        tables.save_by_key(sold, name, "order_id", 16, facts.new_path(spark, name), facts.slices_for(sold.count()))
     return spark.table(name)
 
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from .facts import freed_shuffles, sliced
+
 
 @dataclass(frozen=True)
 class Split:
@@ -59,15 +61,25 @@ def save_table(df: DataFrame, name: str, path: str | None = None) -> None:
     (writer if path is None else writer.option("path", path)).saveAsTable(name)
 
 
-def save_by_key(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+def save_by_key(df: DataFrame, name: str, key: str, buckets: int, path: str | None = None, slices: int = 1) -> DataFrame:
     """Creates a catalog table whose files are dealt by a key, and reads it.
 
     What is grouped, joined or numbered by that key, or by it and others, needs no shuffle of the table any more. Rows
-    are dealt before they are written, so that each bucket is one file.
+    are dealt before they are written, so that each bucket is one file, or one of each slice: with slices, rows are
+    written in so many by their keys, one after the other, and the disk holds what one of them has shuffled. Such a
+    table has its name when all rows are there; it takes the place of none.
     """
-    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
-    (writer if path is None else writer.option("path", path)).saveAsTable(name)
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    if slices > 1 and spark.catalog.tableExists(name):
+        raise ValueError(f"there is a table {name}, which slices do not replace")
+    fresh = name if slices == 1 else f"{name}_slices"
+    with freed_shuffles(spark):
+        for k, part in enumerate(sliced(df, key, slices)):
+            writer = part.repartition(buckets, key).write.mode("append" if k else "overwrite").option("compression", "zstd").bucketBy(buckets, key).sortBy(key)
+            (writer if path is None else writer.option("path", path)).saveAsTable(fresh)
+    if fresh != name:
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    return spark.table(name)
 
 
 def swap_tables(spark: SparkSession, name: str, fresh: str, backup: str) -> None:
