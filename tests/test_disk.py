@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tradewind import fixtures, queries
+from tradewind import fixtures, queries, report_queries
 from tradewind.operators import prep
 from tradewind.plans import report
 from tradewind.sources import facts, tables
@@ -139,3 +139,14 @@ def test_half_a_table_by_key_has_no_name(spark, name, tmp_path, monkeypatch):
             tables.save_by_key(df, name, "order_id", 4, f"{tmp_path}/t", slices=2)
     assert not spark.catalog.tableExists(name)
     assert tables.save_by_key(df, name, "order_id", 4, f"{tmp_path}/t", slices=2).count() == 500
+
+
+def test_sales_by_order_are_written_in_slices(spark, folder, monkeypatch):
+    monkeypatch.setattr(facts, "SLICE_ROWS", 2000)
+    seen = []
+    monkeypatch.setattr(tables, "sliced", lambda df, key, n, f=facts.sliced: seen.append((key, n)) or f(df, key, n))
+    totals = queries.QUERIES["order_totals"](spark, folder)
+    assert seen == [("order_id", 3)] and "Exchange" not in totals._jdf.queryExecution().executedPlan().toString()
+    assert same(prep.order_totals(fixtures.make_sales(spark, folder)), totals)
+    report_queries.by_order(spark, folder)
+    assert len(seen) == 1
